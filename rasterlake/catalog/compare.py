@@ -7,7 +7,7 @@ import pandas as pd
 
 
 def _norm(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, (list, tuple, np.ndarray)):
         return tuple(_norm(v) for v in value)

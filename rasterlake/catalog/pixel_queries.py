@@ -249,8 +249,9 @@ def _(t):
 @query("c24_delta_e76", f"select asset_id, round(sum(round(de, 6)), 4) total_de from ({_LAB_SQL}) group by asset_id")
 def _(t):
     coarse = tuple(c - c % 8 for c in rgb_columns())
-    de = color.delta_e76(rgb_columns(), coarse, _D50)
-    return t.pxrgb.select("asset_id", r6(de, "de")).groupBy("asset_id").agg(F.round(F.sum("de"), 4).alias("total_de"))
+    let = color.Stages(t.pxrgb)
+    de = let("de", color.delta_e76(rgb_columns(), coarse, _D50, let))
+    return let.df.select("asset_id", r6(de, "de")).groupBy("asset_id").agg(F.round(F.sum("de"), 4).alias("total_de"))
 
 
 @query("t03_worst_frames", f"""select asset_id, frame, db, rk from (select *, cast(row_number() over (partition by asset_id order by db, frame) as int) rk from (
@@ -515,8 +516,10 @@ _GC_SRC = "select asset_id, y, x, r/128e0-0.4e0 r, g/128e0-0.4e0 g, b/128e0-0.4e
     o as (select asset_id, y, x, mix*(yy-r)+r r, mix*(yy-g)+g g, mix*(yy-b)+b b from x)
     select asset_id, y, x, round(r/greatest(1e0,r,g,b), 6) cr, round(g/greatest(1e0,r,g,b), 6) cg, round(b/greatest(1e0,r,g,b), 6) cb from o""")
 def _(t):
-    out = color.gamut_compress(tuple(c / 128.0 - 0.4 for c in rgb_columns()), color.LUMA_709, 0.8)
-    return t.pxrgb.select("asset_id", "y", "x", *[r6(v, n) for v, n in zip(out, ("cr", "cg", "cb"))])
+    let = color.Stages(t.pxrgb)
+    rgb = let.triple("lin", [c / 128.0 - 0.4 for c in rgb_columns()])
+    out = color.gamut_compress(rgb, color.LUMA_709, 0.8, let)
+    return let.df.select("asset_id", "y", "x", *[r6(v, n) for v, n in zip(out, ("cr", "cg", "cb"))])
 
 
 _HEAD = 1000.0 / 203.0
@@ -547,22 +550,20 @@ _RH, _RS = 1 + 32 * (1000 / 10000) ** (1 / 12.4), 1 + 32 * (100 / 10000) ** (1 /
     select asset_id, y, x, round(case when t <= 1e-6 then r else r*rh/t end, 6) reinhard, round(case when t <= 1e-6 then g else g*ha/t end, 6) hable,
     round(case when t <= 1e-6 then b else b*mo/t end, 6) mobius, round({sq_srgb('least(greatest((yo-0.2627e0*ro-0.0593e0*bo)/0.6780e0,0e0),1e0)')}, 6) bt2446 from u""")
 def _(t):
-    rgb = tuple(c / 64.0 for c in rgb_columns())
-
-    def mode(name):
-        return color.tone_map(rgb, name, 1000.0, SRGB)
-
-    return t.pxrgb.select(
-        "asset_id", "y", "x", r6(mode("reinhard")[0], "reinhard"), r6(mode("hable")[1], "hable"),
-        r6(mode("mobius")[2], "mobius"), r6(mode("bt2446a")[1], "bt2446"))
+    let = color.Stages(t.pxrgb)
+    rgb = let.triple("lin", [c / 64.0 for c in rgb_columns()])
+    picks = (("reinhard", 0), ("hable", 1), ("mobius", 2), ("bt2446a", 1))
+    out = [r6(color.tone_map(rgb, mode, 1000.0, SRGB, let=let)[i], mode[:6] if mode == "bt2446a" else mode) for mode, i in picks]
+    return let.df.select("asset_id", "y", "x", *out)
 
 
 @query("c25_ootf", """with s as (select asset_id, y, x, r/255e0 r, g/255e0 g, b/255e0 b, 0.2627e0*(r/255e0)+0.6780e0*(g/255e0)+0.0593e0*(b/255e0) ys from pxrgb)
     select asset_id, y, x, round(case when ys = 0 then 0e0 else r*1000e0*pow(ys, 0.2e0) end, 6) display_r, round(g, 6) back_g from s""")
 def _(t):
-    display = color.ootf(unit_columns(), 1000.0)
-    back = color.ootf_inverse(display, 1000.0)
-    return t.pxrgb.select("asset_id", "y", "x", r6(display[0], "display_r"), r6(back[1], "back_g"))
+    let = color.Stages(t.pxrgb)
+    display = let.triple("display", color.ootf(unit_columns(), 1000.0, let))
+    back = color.ootf_inverse(display, 1000.0, let)
+    return let.df.select("asset_id", "y", "x", r6(display[0], "display_r"), r6(back[1], "back_g"))
 
 
 @query("c26_sdr_to_hdr_nits", """select asset_id, y, x, round(case when code <= 0 then 0e0 else pow(code::double, case when code <= 70

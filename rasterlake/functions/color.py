@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions import matrices
@@ -29,6 +29,37 @@ OOTF_NOMINAL_NITS = 1000.0
 RGB = tuple[Column, Column, Column]
 
 
+def inline(name: str, value: Column) -> Column:
+    """Use a step's expression in place; see Stages for long chains."""
+    return value
+
+
+class Stages:
+    """Names the steps of a long computation as columns of a DataFrame.
+
+    A column expression that uses an earlier step twice repeats its whole tree,
+    so chained steps grow exponentially and outgrow code generation. Naming the
+    step keeps the plan linear; the projections still run in one fused stage.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self._n = 0
+
+    def __call__(self, name: str, value: Column) -> Column:
+        self._n += 1
+        full = f"__{self._n}_{name}"
+        self.df = self.df.withColumn(full, value)
+        return F.col(full)
+
+    def triple(self, name: str, values) -> RGB:
+        """Name three columns in a single projection."""
+        self._n += 1
+        names = [f"__{self._n}_{name}{c}" for c in "rgb"]
+        self.df = self.df.withColumns(dict(zip(names, values)))
+        return tuple(F.col(n) for n in names)
+
+
 def luma(rgb: RGB, weights=LUMA_709) -> Column:
     r, g, b = rgb
     wr, wg, wb = weights
@@ -45,18 +76,19 @@ def _lab_f(t: Column) -> Column:
     return F.when(t > 0.008856, F.cbrt(t)).otherwise(t * 7.787 + F.lit(16.0 / 116.0))
 
 
-def lab_d50(rgb8: RGB, colorants) -> RGB:
+def lab_d50(rgb8: RGB, colorants, let=inline) -> RGB:
     """8-bit sRGB codes to CIE Lab under D50."""
     srgb = named_curve("iec61966-2-1")
-    linear = tuple(to_linear(c / 255.0, srgb) for c in rgb8)
-    x, y, z = apply_matrix(linear, colorants)
-    fx, fy, fz = _lab_f(x / LAB_XN), _lab_f(y / 1.0), _lab_f(z / LAB_ZN)
+    linear = tuple(let("lin", to_linear(c / 255.0, srgb)) for c in rgb8)
+    x, y, z = (let("xyz", v) for v in apply_matrix(linear, colorants))
+    fx, fy, fz = (let("f", v) for v in (_lab_f(x / LAB_XN), _lab_f(y / 1.0), _lab_f(z / LAB_ZN)))
     return fy * 116.0 - 16.0, (fx - fy) * 500.0, (fy - fz) * 200.0
 
 
-def delta_e76(rgb_a: RGB, rgb_b: RGB, colorants) -> Column:
-    lab_a, lab_b = lab_d50(rgb_a, colorants), lab_d50(rgb_b, colorants)
-    return F.sqrt(matrices.sum_of((p - q) * (p - q) for p, q in zip(lab_a, lab_b)))
+def delta_e76(rgb_a: RGB, rgb_b: RGB, colorants, let=inline) -> Column:
+    lab_a, lab_b = lab_d50(rgb_a, colorants, let), lab_d50(rgb_b, colorants, let)
+    apart = [let("apart", p - q) for p, q in zip(lab_a, lab_b)]
+    return F.sqrt(matrices.sum_of(d * d for d in apart))
 
 
 def gamut_contains(src_xy, dst_xy, slack: float = 1e-6) -> Column:
@@ -81,24 +113,24 @@ def gamut_contains(src_xy, dst_xy, slack: float = 1e-6) -> Column:
     return F.when(degenerate, F.lit(None).cast("boolean")).otherwise(inside)
 
 
-def gamut_compress(rgb: RGB, weights, keep: float) -> RGB:
+def gamut_compress(rgb: RGB, weights, keep: float, let=inline) -> RGB:
     """Desaturate towards grey of the same luminance, then normalise by the max.
 
     The saturation demand seen so far carries from R to G to B, so the three
     channels are chained in that order.
     """
-    y = luma(rgb, weights)
+    y = let("y", luma(rgb, weights))
     saturation = F.lit(0.0)
     lightness = F.lit(0.0)
     for value in rgb:
-        diff = value - y
-        inverse = F.lit(1.0) / F.when(diff == 0.0, F.lit(1.0)).otherwise(diff)
-        ratio = value * inverse
-        saturation = F.when(diff < 0.0, F.greatest(saturation, ratio)).otherwise(saturation)
-        lightness = F.greatest(lightness, F.when(diff <= 0.0, saturation).otherwise(ratio - inverse))
-    mix = clamp(F.lit(keep) * (saturation - lightness) + lightness, 0.0, 1.0)
-    mixed = tuple(mix * (y - v) + v for v in rgb)
-    peak = F.greatest(F.lit(1.0), *mixed)
+        diff = let("diff", value - y)
+        inverse = let("inv", F.lit(1.0) / F.when(diff == 0.0, F.lit(1.0)).otherwise(diff))
+        ratio = let("ratio", value * inverse)
+        saturation = let("sat", F.when(diff < 0.0, F.greatest(saturation, ratio)).otherwise(saturation))
+        lightness = let("light", F.greatest(lightness, F.when(diff <= 0.0, saturation).otherwise(ratio - inverse)))
+    mix = let("mix", clamp(F.lit(keep) * (saturation - lightness) + lightness, 0.0, 1.0))
+    mixed = tuple(let("mixed", mix * (y - v) + v) for v in rgb)
+    peak = let("peak", F.greatest(F.lit(1.0), *mixed))
     return tuple(v / peak for v in mixed)
 
 
@@ -129,16 +161,16 @@ def mobius(y: Column, peak: float, knee: float = MOBIUS_KNEE) -> Column:
 
 
 def tone_map(rgb: RGB, mode: str, peak_nits: float, dst: Curve,
-             sdr_white: float = SDR_WHITE_NITS, sdr_peak: float = 100.0) -> RGB:
+             sdr_white: float = SDR_WHITE_NITS, sdr_peak: float = 100.0, let=inline) -> RGB:
     """Scale all channels by the mapped maximum; identity without headroom."""
     headroom = peak_nits / sdr_white
     if headroom <= 1.0:
         return rgb
     if mode == "bt2446a":
-        return bt2446a(rgb, peak_nits, dst, sdr_white, sdr_peak)
+        return bt2446a(rgb, peak_nits, dst, sdr_white, sdr_peak, let)
     curve = {"reinhard": reinhard_segmented, "hable": hable, "mobius": mobius}[mode]
-    top = F.greatest(*rgb)
-    scale = F.when(top <= 1e-6, F.lit(1.0)).otherwise(curve(top, headroom) / top)
+    top = let("top", F.greatest(*rgb))
+    scale = let("scale", F.when(top <= 1e-6, F.lit(1.0)).otherwise(curve(top, headroom) / top))
     return tuple(v * scale for v in rgb)
 
 
@@ -146,9 +178,9 @@ def _rho(nits: float) -> float:
     return 1.0 + 32.0 * (nits / 10000.0) ** (1 / 12.4)
 
 
-def bt2446a_luma(y_prime: Column, hdr_nits: float, sdr_nits: float) -> Column:
+def bt2446a_luma(y_prime: Column, hdr_nits: float, sdr_nits: float, let=inline) -> Column:
     rho_h, rho_s = _rho(hdr_nits), _rho(sdr_nits)
-    p = F.log(y_prime * (rho_h - 1.0) + 1.0) / math.log(rho_h)
+    p = let("p", F.log(y_prime * (rho_h - 1.0) + 1.0) / math.log(rho_h))
     c = (
         F.when(p <= 0.7399, p * 1.0770)
         .when(p < 0.9909, p * p * -1.1510 + p * 2.7811 - 0.6302)
@@ -157,22 +189,22 @@ def bt2446a_luma(y_prime: Column, hdr_nits: float, sdr_nits: float) -> Column:
     return (F.pow(F.lit(rho_s), c) - 1.0) / (rho_s - 1.0)
 
 
-def bt2446a(rgb: RGB, peak_nits: float, dst: Curve, sdr_white: float, sdr_peak: float) -> RGB:
+def bt2446a(rgb: RGB, peak_nits: float, dst: Curve, sdr_white: float, sdr_peak: float, let=inline) -> RGB:
     k = sdr_white / max(1.0, peak_nits)
 
     def gamma(v):
         n = F.greatest(v * k, F.lit(0.0))
         return F.when(n <= 0.0, F.lit(0.0)).otherwise(F.pow(n, F.lit(1 / 12.4)))
 
-    r, g, b = (gamma(v) for v in rgb)
-    y = luma((r, g, b), LUMA_2020)
-    y_sdr = bt2446a_luma(y, peak_nits, sdr_peak)
-    f = F.when(y <= 0.0, F.lit(1.0)).otherwise(F.pow(y_sdr / y, F.lit(1.1)))
-    cb, cr = f * (b - y) / 1.8814, f * (r - y) / 1.4746
-    y_out = y_sdr - F.greatest(cr * 0.1, F.lit(0.0))
-    ro, bo = y_out + cr * 1.4746, y_out + cb * 1.8814
-    go = (y_out - ro * 0.2627 - bo * 0.0593) / 0.6780
-    return tuple(to_linear(clamp(v, 0.0, 1.0), dst) for v in (ro, go, bo))
+    r, g, b = (let("gamma", gamma(v)) for v in rgb)
+    y = let("y", luma((r, g, b), LUMA_2020))
+    y_sdr = let("ysdr", bt2446a_luma(y, peak_nits, sdr_peak, let))
+    f = let("f", F.when(y <= 0.0, F.lit(1.0)).otherwise(F.pow(y_sdr / y, F.lit(1.1))))
+    cb, cr = let("cb", f * (b - y) / 1.8814), let("cr", f * (r - y) / 1.4746)
+    y_out = let("yout", y_sdr - F.greatest(cr * 0.1, F.lit(0.0)))
+    ro, bo = let("ro", y_out + cr * 1.4746), let("bo", y_out + cb * 1.8814)
+    go = let("go", (y_out - ro * 0.2627 - bo * 0.0593) / 0.6780)
+    return tuple(to_linear(let("sdr", clamp(v, 0.0, 1.0)), dst) for v in (ro, go, bo))
 
 
 def sdr_to_hdr_nits(y_prime: Column) -> Column:
@@ -196,20 +228,21 @@ def _ootf_scale(ys: Column, gamma: float, alpha: float) -> Column:
     return F.when(ys == 0.0, F.lit(at_zero)).otherwise(_signed_pow(ys, gamma - 1.0) * alpha)
 
 
-def ootf(rgb: RGB, peak_nits: float) -> RGB:
+def ootf(rgb: RGB, peak_nits: float, let=inline) -> RGB:
     """Scene light to display light in nits."""
     peak = peak_nits if peak_nits > 0 else OOTF_NOMINAL_NITS
-    k = _ootf_scale(luma(rgb, LUMA_2020), system_gamma(peak), peak)
+    k = let("k", _ootf_scale(let("ys", luma(rgb, LUMA_2020)), system_gamma(peak), peak))
     return tuple(v * k for v in rgb)
 
 
-def ootf_inverse(rgb: RGB, peak_nits: float) -> RGB:
+def ootf_inverse(rgb: RGB, peak_nits: float, let=inline) -> RGB:
     """Display light in nits back to scene light; black stays black."""
     peak = peak_nits if peak_nits > 0 else OOTF_NOMINAL_NITS
     gamma = system_gamma(peak)
-    ys = _signed_pow(luma(rgb, LUMA_2020) / peak, 1.0 / gamma)
-    scale = _ootf_scale(ys, gamma, peak)
-    inverse = F.when((scale == 0.0) | scale.isNull(), F.lit(0.0)).otherwise(F.try_divide(F.lit(1.0), scale))
+    yd = let("yd", luma(rgb, LUMA_2020) / peak)
+    ys = let("ys", _signed_pow(yd, 1.0 / gamma))
+    scale = let("scale", _ootf_scale(ys, gamma, peak))
+    inverse = let("inv", F.when(scale == 0.0, F.lit(0.0)).otherwise(F.try_divide(F.lit(1.0), scale)))
     return tuple(v * inverse for v in rgb)
 
 

@@ -90,18 +90,19 @@ def narrowest_superset(assets: DataFrame, primaries: str = "primaries", transfer
 
 def conversion_matrices(assets: DataFrame, src: str, dst: str) -> DataFrame:
     """Linear matrix between two primaries per row, null when either is unknown
-    or both are the same space."""
-    both = lookup_primaries(lookup_primaries(assets, src, "src_"), dst, "dst_")
-
-    def chroma(side):
-        xy = [F.get(f"{side}_xy", F.lit(i)) for i in range(8)]
-        return [(xy[2 * i], xy[2 * i + 1]) for i in range(4)]
+    or both are the same space.
 
-    cells = matrices.between(chroma("src"), chroma("dst"))
-    known = F.col("src_token").isNotNull() & F.col("dst_token").isNotNull() & (
-        F.col("src_token") != F.col("dst_token"))
-    return both.select(*assets.columns, *[
-        F.when(known, c).alias(f"m{i // 3}{i % 3}") for i, c in enumerate(cells)])
+    Both tokens come from a fixed table, so the matrices of all pairs are a
+    constant dimension too (81 rows) and a row costs two small broadcast joins.
+    """
+    spark = assets.sparkSession
+    pairs = spark.createDataFrame(
+        [(a, b, *matrices.between(PRIMARIES[a], PRIMARIES[b])) for a in PRIMARIES for b in PRIMARIES if a != b],
+        "__s string, __d string, " + ", ".join(f"m{i // 3}{i % 3} double" for i in range(9)))
+    both = lookup_primaries(lookup_primaries(assets, src, "src_"), dst, "dst_")
+    return both.join(
+        F.broadcast(pairs), (F.col("src_token") == F.col("__s")) & (F.col("dst_token") == F.col("__d")), "left",
+    ).select(*assets.columns, *[f"m{i // 3}{i % 3}" for i in range(9)])
 
 
 def matrix_row_sum_check(mats: DataFrame, cells: list[str], tol: float = 5e-3) -> DataFrame:
@@ -133,35 +134,27 @@ class Transform:
 def transform_pixels(px: DataFrame, plan: Transform, code_max: float = 255.0) -> DataFrame:
     """Decode, scene to display, scale, tone, matrix, gamut, encode scale,
     display to scene, clamp, encode and dither, in that order."""
-    rgb = tuple(to_linear(F.col(c) / code_max, plan.src) for c in "rgb")
     keep = [c for c in px.columns if c not in "rgb"]
-
-    def stage(df, values, name):
-        # Name each stage's result once, so later stages refer to columns
-        # instead of repeating a growing expression three times over.
-        df = df.select(*keep, *[v.alias(f"{name}{c}") for v, c in zip(values, "rgb")])
-        return df, tuple(F.col(f"{name}{c}") for c in "rgb")
-
-    df, rgb = stage(px, rgb, "lin_")
+    let = color.Stages(px)
+    rgb = let.triple("lin", [to_linear(F.col(c) / code_max, plan.src) for c in "rgb"])
     if plan.src_scene_peak:
-        rgb = tuple(v / plan.src_scene_peak for v in color.ootf(rgb, plan.src_scene_peak))
-        df, rgb = stage(df, rgb, "disp_")
+        rgb = let.triple("disp", [v / plan.src_scene_peak for v in color.ootf(rgb, plan.src_scene_peak, let)])
     if plan.linear_scale != 1.0:
-        rgb = tuple(v * plan.linear_scale for v in rgb)
+        rgb = let.triple("scaled", [v * plan.linear_scale for v in rgb])
     if plan.tone:
-        df, rgb = stage(df, color.tone_map(rgb, plan.tone, plan.peak_nits, plan.dst), "tone_")
+        rgb = let.triple("tone", color.tone_map(rgb, plan.tone, plan.peak_nits, plan.dst, let=let))
     if plan.matrix:
-        df, rgb = stage(df, color.apply_matrix(rgb, plan.matrix), "mat_")
+        rgb = let.triple("mat", color.apply_matrix(rgb, plan.matrix))
     if plan.gamut_keep is not None:
-        df, rgb = stage(df, color.gamut_compress(rgb, plan.luminances, plan.gamut_keep), "gam_")
+        rgb = let.triple("gam", color.gamut_compress(rgb, plan.luminances, plan.gamut_keep, let))
     if plan.encode_scale != 1.0:
-        rgb = tuple(v * plan.encode_scale for v in rgb)
+        rgb = let.triple("enc", [v * plan.encode_scale for v in rgb])
     if plan.dst_scene_peak:
-        nits = tuple(v * plan.dst_scene_peak for v in rgb)
-        df, rgb = stage(df, color.ootf_inverse(nits, plan.dst_scene_peak), "scene_")
+        nits = [v * plan.dst_scene_peak for v in rgb]
+        rgb = let.triple("scene", color.ootf_inverse(nits, plan.dst_scene_peak, let))
     offset = color.dither_offset(F.col("x"), F.col("y")) if plan.dither else 0.0
     out = [color.quantize8(color.encode16(v, plan.dst).cast("double"), offset).alias(c) for v, c in zip(rgb, "rgb")]
-    return df.select(*keep, *out)
+    return let.df.select(*keep, *out)
 
 
 def encode_linear(px: DataFrame, curve: Curve, value: str = "v") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.functions.color import delta_e76
+from rasterlake.functions.color import Stages, delta_e76
 from rasterlake.functions.matrices import colorants_d50
 from rasterlake.model import PRIMARIES
 from rasterlake.operators.pixels import align_pixels
@@ -106,9 +106,10 @@ def delta_e_stats(ref: DataFrame, enc: DataFrame) -> DataFrame:
     """Mean and worst CIE76 difference of 8-bit sRGB pixels."""
     other = enc.select("asset_id", "y", "x", *[F.col(c).alias(f"{c}2") for c in "rgb"])
     pairs = ref.join(other, ["asset_id", "y", "x"])
-    de = delta_e76(
-        tuple(F.col(c) for c in "rgb"), tuple(F.col(f"{c}2") for c in "rgb"), colorants_d50(*PRIMARIES["bt709"]))
-    return pairs.select("asset_id", de.alias("de")).groupBy("asset_id").agg(
+    let = Stages(pairs)
+    de = let("de", delta_e76(
+        tuple(F.col(c) for c in "rgb"), tuple(F.col(f"{c}2") for c in "rgb"), colorants_d50(*PRIMARIES["bt709"]), let))
+    return let.df.select("asset_id", de.alias("de")).groupBy("asset_id").agg(
         F.avg("de").alias("mean_de"), F.max("de").alias("max_de"))
 
 
