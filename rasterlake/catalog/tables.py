@@ -146,7 +146,7 @@ class Tables:
             "concat('img', page_id % 9) stem",
             "case page_id % 7 when 0 then 'jpg' when 1 then 'png' when 2 then 'webp' when 3 then 'avif' "
             "when 4 then 'jxl' when 5 then 'heic' else 'mp4' end ext",
-            "length(html) size",
+            "cast(length(html) as bigint) size",
         )
 
     @cached_property
@@ -255,7 +255,7 @@ class Tables:
         """Probe cache: most pages, some entries old or of another version."""
         return self.pages.selectExpr(
             "case when page_id % 4 = 1 then concat(url, '.old') else url end path", "page_id % 50 + case when page_id % 6 = 0 then 1 else 0 end mtime", "html json",
-            "timestamp'2024-01-03 00:00:00' - make_dt_interval(0, cast(page_id % 40 as int)) probed_at")
+            "timestamp'2024-01-03 00:00:00' - make_dt_interval(cast(page_id % 40 as int)) probed_at")
 
     @cached_property
     def probe_inputs(self) -> DataFrame:

@@ -45,12 +45,16 @@ def cartesian_cases(cases: DataFrame, axes: list[str]) -> DataFrame:
 def single_axis_cases(cases: DataFrame, axes: list[str]) -> DataFrame:
     """Every value of each axis while the others keep their first value."""
     wide = _wide_values(cases, axes)
-    swept = [
-        F.transform(F.col(a), lambda v, a=a: F.struct(
-            F.lit(a).alias("swept"), *[(v if b == a else F.element_at(b, 1)).alias(b) for b in axes]))
-        for a in axes
-    ]
-    return wide.select(F.inline(F.flatten(F.array(*swept))))
+
+    def sweep(axis):
+        def case(value):
+            return F.struct(
+                F.lit(axis).alias("swept"),
+                *[(value if a == axis else F.element_at(a, 1)).alias(a) for a in axes])
+
+        return F.transform(F.col(axis), case)
+
+    return wide.select(F.inline(F.flatten(F.array(*[sweep(a) for a in axes]))))
 
 
 def covered_pairs(wide: DataFrame, axes: list[str]) -> DataFrame:
@@ -65,11 +69,15 @@ def covered_pairs(wide: DataFrame, axes: list[str]) -> DataFrame:
 def uncovered_pairs(cases: DataFrame, wide: DataFrame, axes: list[str]) -> DataFrame:
     """All value pairs of axis pairs minus the covered ones."""
     lists = _wide_values(cases, axes)
-    pairs = [
-        F.flatten(F.transform(F.col(a), lambda v, a=a, b=b: F.transform(F.col(b), lambda w: F.struct(
-            F.lit(a).alias("axis_a"), v.alias("val_a"), F.lit(b).alias("axis_b"), w.alias("val_b")))))
-        for i, a in enumerate(axes) for b in axes[i + 1:]
-    ]
+
+    def product(a, b):
+        def with_b(v):
+            return F.transform(F.col(b), lambda w: F.struct(
+                F.lit(a).alias("axis_a"), v.alias("val_a"), F.lit(b).alias("axis_b"), w.alias("val_b")))
+
+        return F.flatten(F.transform(F.col(a), with_b))
+
+    pairs = [product(a, b) for i, a in enumerate(axes) for b in axes[i + 1:]]
     every = lists.select(F.inline(F.flatten(F.array(*pairs))))
     return every.join(covered_pairs(wide, axes), ["axis_a", "val_a", "axis_b", "val_b"], "left_anti")
 

@@ -141,3 +141,10 @@ def round_trip_drift(px: DataFrame, m, code_max: float = 255.0) -> DataFrame:
 def luma_of(px: DataFrame, code_max: float = 255.0) -> DataFrame:
     rgb = tuple(F.col(c) / code_max for c in "rgb")
     return px.select("asset_id", "y", "x", luma(rgb, LUMA_709).alias("y709"), luma(rgb, LUMA_2020).alias("y2020"))
+
+
+def argmin_per_group(rows: DataFrame, keys: list[str], err: str, rank: str) -> DataFrame:
+    """Best candidate per group, ties by rank; a min aggregate, not a sort."""
+    rest = [c for c in rows.columns if c not in (*keys, err, rank)]
+    best = F.min(F.struct(err, rank, *rest)).alias("s")
+    return rows.groupBy(*keys).agg(best).select(*keys, f"s.{err}", f"s.{rank}", *[f"s.{c}" for c in rest])
