@@ -69,8 +69,7 @@ def _(t):
 
 @query("r01_unpack_bytes", "select code, count(*) n, cast(sum(pos) as bigint) pos_sum, count(distinct asset_id) assets from text_px group by code")
 def _(t):
-    px = pixels.unpack_pixels(t.text_rasters, "codes", 64)
-    per = px.groupBy("code", "asset_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("p"))
+    per = t.text_px.groupBy("code", "asset_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("p"))
     return per.groupBy("code").agg(
         F.sum("n").alias("n"), F.sum("p").alias("pos_sum"), F.count(F.lit(1)).alias("assets"))
 
@@ -177,13 +176,21 @@ def a01_psnr(t):
 
 
 @query("a01_psnr_tiles", f"""select asset_id, sse, n, {sq_psnr('sse', 'n', 255)} psnr from (
-    select asset_id, cast(sum((code - (code // 16) * 16) * (code - (code // 16) * 16)) as bigint) sse, count(*) n from text_px group by asset_id)""")
+    select asset_id, cast(sum((code % 16) * (code % 16)) as bigint) sse, count(*) n from px8 group by asset_id)""")
 def _(t):
-    tiles = t.text_rasters.select("asset_id", F.lit(0).alias("tile"), F.col("codes").alias("samples"))
+    tiles = t.rasters.select("asset_id", F.lit(0).alias("tile"), F.col("codes").alias("samples"))
     coarse = tiles.withColumn("samples", F.transform("samples", lambda c: (c - c % 16)))
     return quality.psnr_tiles(tiles, coarse).withColumn("psnr", r6("psnr"))
 
 
+@query("a01_psnr_buffers", f"""select asset_id, sse, n, {sq_psnr('sse', 'n', 255)} psnr from (
+    select asset_id, count(case when code between 97 and 104 then 1 end) sse, count(*) n from text_px group by asset_id)""")
+def _(t):
+    ref = t.buffers.select("asset_id", "part", "buf")
+    enc = t.buffers.select("asset_id", "part", F.col("buf2").alias("buf"))
+    return quality.psnr_buffers(ref, enc).withColumn("psnr", r6("psnr"))
+
+
 @query("a02_psnr_multiframe", f"""select asset_id, count(*) frames, {sq_psnr('sum(sse)', 'sum(n)', 255)} avg_db,
     min({sq_psnr('sse', 'n', 255)}) min_db, max({sq_psnr('sse', 'n', 255)}) max_db from (
     select asset_id, frame, cast(sum((code-code2)*(code-code2)) as bigint) sse, count(*) n from px8f group by asset_id, frame) group by asset_id""")
@@ -331,8 +338,7 @@ def _(t):
     select asset_id, code, sum(n) over (partition by asset_id order by code) run, sum(n) over (partition by asset_id) total from (
     select asset_id, code, count(*) n from text_px group by 1, 2)) group by 1)""")
 def _(t):
-    px = t.text_rasters.select("asset_id", F.explode("codes").alias("code"))
-    return measure.gain_base_class(px)
+    return measure.gain_base_class(t.text_px)
 
 
 @query("w09_hist_quantile", """select asset_id, cast(max(total) as bigint) total, min(case when run >= ceil(total*0.9e0) then code end) bin from (
@@ -534,7 +540,7 @@ _MA, _MB = -0.09 * (_HEAD - 1.0) / _MD, (0.09 - 0.6 * _HEAD + _HEAD) / max(_HEAD
 _RH, _RS = 1 + 32 * (1000 / 10000) ** (1 / 12.4), 1 + 32 * (100 / 10000) ** (1 / 12.4)
 
 
-@query("c23_tone_map", f"""with s as (select asset_id, y, x, r/64e0 r, g/64e0 g, b/64e0 b, greatest(r,g,b)/64e0 t from pxrgb),
+@query("c23_tone_map", f"""with s as (select asset_id, y, x, r/60e0 r, g/60e0 g, b/60e0 b, greatest(r,g,b)/60e0 t from pxrgb),
     k as (select *, case when t <= 0.75 then t else 0.75e0+0.25e0*least(greatest(2e0*((t-0.75e0)/{_HEAD - 0.75!r}::double)/((t-0.75e0)/{_HEAD - 0.75!r}::double+1e0),0e0),1e0) end rh,
       case when t <= 0 then 0e0 else {_hab('t')}/{_hab(f'{_HEAD!r}::double')} end ha,
       case when t <= 0.3 then t else {(_MB * _MB + 0.6 * _MB + 0.09) / (_MB - _MA)!r}::double*(t+({_MA!r}::double))/(t+{_MB!r}::double) end mo,
@@ -547,11 +553,11 @@ _RH, _RS = 1 + 32 * (1000 / 10000) ** (1 / 12.4), 1 + 32 * (100 / 10000) ** (1 /
     h as (select *, ff*(pb-yp)/1.8814e0 cb, ff*(pr-yp)/1.4746e0 cr from f),
     o as (select *, ys-greatest(0.1e0*cr,0e0) yo from h),
     u as (select *, yo+1.4746e0*cr ro, yo+1.8814e0*cb bo from o)
-    select asset_id, y, x, round(case when t <= 1e-6 then r else r*rh/t end, 6) reinhard, round(case when t <= 1e-6 then g else g*ha/t end, 6) hable,
-    round(case when t <= 1e-6 then b else b*mo/t end, 6) mobius, round({sq_srgb('least(greatest((yo-0.2627e0*ro-0.0593e0*bo)/0.6780e0,0e0),1e0)')}, 6) bt2446 from u""")
+    select asset_id, y, x, round(case when t <= 1e-6 then r else r*(rh/t) end, 6) reinhard, round(case when t <= 1e-6 then g else g*(ha/t) end, 6) hable,
+    round(case when t <= 1e-6 then b else b*(mo/t) end, 6) mobius, round({sq_srgb('least(greatest((yo-0.2627e0*ro-0.0593e0*bo)/0.6780e0,0e0),1e0)')}, 6) bt2446 from u""")
 def _(t):
     let = color.Stages(t.pxrgb)
-    rgb = let.triple("lin", [c / 64.0 for c in rgb_columns()])
+    rgb = let.triple("lin", [c / 60.0 for c in rgb_columns()])
     picks = (("reinhard", 0), ("hable", 1), ("mobius", 2), ("bt2446a", 1))
     out = [r6(color.tone_map(rgb, mode, 1000.0, SRGB, let=let)[i], mode[:6] if mode == "bt2446a" else mode) for mode, i in picks]
     return let.df.select("asset_id", "y", "x", *out)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.operators import ordered
-from rasterlake.operators.pixels import byte_samples, split_frames, unpack_pixels
+from rasterlake.operators.pixels import split_frames, unpack_bytes, unpack_pixels
+from rasterlake.operators.skew import spread
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -57,10 +58,17 @@ class Tables:
         return self.px8f.drop("code").withColumnRenamed("code2", "code")
 
     @cached_property
-    def text_rasters(self) -> DataFrame:
-        """Raw bytes of each document as an 8-bit buffer, 64 samples to a line."""
-        return self.documents.select(
-            F.col("doc_id").alias("asset_id"), byte_samples(F.encode("text", "UTF-8")).alias("codes"))
+    def buffers(self) -> DataFrame:
+        """Raw bytes of each document as an 8-bit buffer, and a rendition in
+        which some letters are replaced by their neighbours."""
+        docs = spread(self.documents.select("doc_id", "text"))
+        return docs.select(
+            F.col("doc_id").alias("asset_id"), F.lit(0).alias("part"), F.encode("text", "UTF-8").alias("buf"),
+            F.encode(F.translate("text", "abcdefgh", "bcdefghi"), "UTF-8").alias("buf2"))
+
+    @cached_property
+    def text_px(self) -> DataFrame:
+        return unpack_bytes(self.buffers, "buf", 64)
 
     @cached_property
     def pxrgb(self) -> DataFrame:

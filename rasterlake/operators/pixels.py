@@ -28,14 +28,41 @@ def unpack_pixels(df: DataFrame, samples: str, width: int, keys=("asset_id",)) -
     )
 
 
-def byte_samples(buffer: Column) -> Column:
-    """Raw 8-bit buffer to an integer array, one entry per byte."""
-    pairs = F.regexp_extract_all(F.hex(buffer), F.lit(".."), F.lit(0))
+WORD = 7  # bytes per word: 56 bits stay inside a positive bigint
 
-    def digit(c: Column) -> Column:
-        return F.ascii(c) - F.when(F.ascii(c) > 57, 55).otherwise(48)
 
-    return F.transform(pairs, lambda h: digit(F.substring(h, 1, 1)) * 16 + digit(F.substring(h, 2, 1)))
+def words(df: DataFrame, keys: list[str], buffers: list[str], size: Column) -> DataFrame:
+    """Buffers of one row cut into words of seven bytes each.
+
+    Decoding a word costs as much as decoding a byte, so this is seven times
+    cheaper than a row per byte, and it stays in generated code: no array of
+    samples is built. Yields at (first byte), len and one word per buffer.
+    """
+    cut = df.withColumn("__size", size).where(F.col("__size") > 0)
+    cut = cut.select(*keys, *buffers, "__size", F.explode(F.sequence(F.lit(0), F.col("__size") - 1, F.lit(WORD))).alias("at"))
+
+    def word(buffer):
+        return F.conv(F.hex(F.substr(F.col(buffer), F.col("at") + 1, F.lit(WORD))), 16, 10).cast("long")
+
+    return cut.select(
+        *keys, "at", F.least(F.lit(WORD), F.col("__size") - F.col("at")).alias("len"),
+        *[word(b).alias(b) for b in buffers])
+
+
+def byte_of(word: str, shift) -> Column:
+    shift = shift if isinstance(shift, Column) else F.lit(shift)
+    return F.call_function("shiftright", F.col(word), shift).bitwiseAND(F.lit(255).cast("long"))
+
+
+def unpack_bytes(df: DataFrame, buffer: str, width: int, keys=("asset_id",)) -> DataFrame:
+    """Raw 8-bit buffer to one row per byte with its coordinates."""
+    cut = words(df, list(keys), [buffer], F.octet_length(buffer))
+    each = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
+    px = each.select(
+        *keys, (F.col("at") + F.col("i")).alias("pos"),
+        byte_of(buffer, (F.col("len") - 1 - F.col("i")) * 8).cast("int").alias("code"))
+    return px.select(
+        *keys, "pos", F.floor(F.col("pos") / width).cast("int").alias("y"), (F.col("pos") % width).cast("int").alias("x"), "code")
 
 
 def split_frames(df: DataFrame, samples: str, frame_size: int, width: int, keys=("asset_id",)) -> DataFrame:

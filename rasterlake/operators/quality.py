@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions.color import Stages, delta_e76
-from rasterlake.functions.matrices import colorants_d50
+from rasterlake.functions.matrices import colorants_d50, sum_of
 from rasterlake.model import PRIMARIES
-from rasterlake.operators.pixels import align_pixels
+from rasterlake.operators.pixels import WORD, align_pixels, byte_of, words
 
 
 def psnr_of(sse: Column, samples: Column, peak: float) -> Column:
@@ -51,6 +51,24 @@ def psnr_tiles(ref: DataFrame, enc: DataFrame, keys=("asset_id", "tile"), bits:
     ).withColumn("psnr", psnr_of(F.col("sse"), F.col("n"), float(2**bits - 1)))
 
 
+def psnr_buffers(ref: DataFrame, enc: DataFrame, keys=("asset_id", "part")) -> DataFrame:
+    """PSNR over raw 8-bit buffers: asset_id, part, buf on both sides.
+
+    One row per buffer is joined; bytes are compared where the pair lies. A
+    part is a bounded stretch of an image, so a huge image is many rows. Buffers
+    of unequal length raise an error instead of scoring a prefix.
+    """
+    both = ref.withColumnRenamed("buf", "a").join(enc.withColumnRenamed("buf", "b"), list(keys))
+    size = F.octet_length("a")
+    checked = F.when(size == F.octet_length("b"), size).otherwise(
+        F.raise_error(F.lit("buffers of a pair differ in length")).cast("int"))
+    cut = words(both, ["asset_id"], ["a", "b"], checked)
+    error = sum_of(squared_error(byte_of("a", 8 * i), byte_of("b", 8 * i)) for i in range(WORD))
+    return cut.groupBy("asset_id").agg(
+        F.sum(error).alias("sse"), F.sum("len").alias("n"),
+    ).withColumn("psnr", psnr_of(F.col("sse"), F.col("n"), 255.0))
+
+
 def psnr16(ref: DataFrame, enc: DataFrame) -> DataFrame:
     """Full scale 65535: integer error sum first, one division at the end."""
     return psnr(ref, enc, bits=16)

@@ -20,3 +20,12 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: list[st
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Re-split a scan of fewer partitions than cores before rows are multiplied.
+
+    A large input arrives in many splits and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
