@@ -177,7 +177,7 @@ _BETWEEN = """with a as (select asset_id, case primaries when 'p3' then 'smpte43
 
 @query("c21_matrix_between", _BETWEEN)
 def _(t):
-    rows = t.assets.withColumn("dst", F.lit("rec2020"))
+    rows = t.assets.withColumn("dst", F.when(col("asset_id") >= 0, "rec2020"))
     out = colorspace.conversion_matrices(rows, "primaries", "dst")
     return out.select("asset_id", r6("m00", "m00"), r6("m11", "m11"), r6("m22", "m22"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions import matrices
+from rasterlake.functions.chromaticities import PRIMARIES
 from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, from_linear, named_curve, to_linear
 
 # --- fixed values -------------------------------------------------------------
@@ -91,11 +92,8 @@ def delta_e76(rgb_a: RGB, rgb_b: RGB, colorants, let=inline) -> Column:
     return F.sqrt(matrices.sum_of(d * d for d in apart))
 
 
-def gamut_contains(src_xy, dst_xy, slack: float = 1e-6) -> Column:
-    """Are the three source primaries inside the target triangle?
-
-    Null when either side is unknown or the target triangle is degenerate.
-    """
+def _triangle(src_xy, dst_xy, slack: float):
+    """(all source primaries inside, target area); for numbers and columns."""
 
     def area(ax, ay, bx, by, cx, cy):
         return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
@@ -107,10 +105,28 @@ def gamut_contains(src_xy, dst_xy, slack: float = 1e-6) -> Column:
         sides = [area(*corners[k], *corners[(k + 1) % 3], px, py) for k in range(3)]
         low = (sides[0] <= slack) & (sides[1] <= slack) & (sides[2] <= slack)
         high = (sides[0] >= -slack) & (sides[1] >= -slack) & (sides[2] >= -slack)
-        ok = low | high
-        inside = ok if inside is None else inside & ok
-    degenerate = F.abs(area(*corners[0], *corners[1], *corners[2])) < 1e-9
-    return F.when(degenerate, F.lit(None).cast("boolean")).otherwise(inside)
+        inside = (low | high) if inside is None else inside & (low | high)
+    return inside, area(*corners[0], *corners[1], *corners[2])
+
+
+def gamut_contains(src_xy, dst_xy, slack: float = 1e-6) -> Column:
+    """Are the three source primaries inside the target triangle?
+
+    Null when either side is unknown or the target triangle is degenerate.
+    """
+    inside, area = _triangle(src_xy, dst_xy, slack)
+    return F.when(F.abs(area) < 1e-9, F.lit(None).cast("boolean")).otherwise(inside)
+
+
+def token_contained(src: Column, dst: Column) -> Column:
+    """The same question for two tokens of the fixed primaries table, answered
+    by a literal map; null when either token is unknown."""
+    xy = {t: matrices.xy_of_columns(matrices.colorants_d50(*p)) for t, p in PRIMARIES.items()}
+    inside = {a: [b for b in xy if _triangle(xy[a], xy[b], 1e-6)[0]] for a in xy}
+    table = F.create_map(*[
+        c for a, bs in inside.items() for c in (F.lit(a), F.array(*[F.lit(b) for b in bs]))])
+    known = dst.isin(*xy)
+    return F.when(known, F.array_contains(F.try_element_at(table, src), dst))
 
 
 def gamut_compress(rgb: RGB, weights, keep: float, let=inline) -> RGB:

@@ -10,32 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from rasterlake.functions.chromaticities import PRIMARIES, PRIMARIES_ALIASES
 from rasterlake.functions.matrices import colorants_d50, rgb_to_xyz, xy_of_columns
 
-# --- fixed values: chromaticities (x, y) of R, G, B and white ---------------
-D65 = (0.3127, 0.3290)
-ILLUMINANT_C = (0.3101, 0.3162)
-DCI_WHITE = (0.314, 0.351)
-PRIMARIES = {
-    "bt709": ((0.640, 0.330), (0.300, 0.600), (0.150, 0.060), D65),
-    "bt2020": ((0.708, 0.292), (0.170, 0.797), (0.131, 0.046), D65),
-    "smpte432": ((0.680, 0.320), (0.265, 0.690), (0.150, 0.060), D65),
-    "smpte431": ((0.680, 0.320), (0.265, 0.690), (0.150, 0.060), DCI_WHITE),
-    "smpte170m": ((0.630, 0.340), (0.310, 0.595), (0.155, 0.070), D65),
-    "smpte240m": ((0.630, 0.340), (0.310, 0.595), (0.155, 0.070), D65),
-    "bt470bg": ((0.640, 0.330), (0.290, 0.600), (0.150, 0.060), D65),
-    "bt470m": ((0.670, 0.330), (0.210, 0.710), (0.140, 0.080), ILLUMINANT_C),
-    "jedec-p22": ((0.630, 0.340), (0.295, 0.605), (0.155, 0.077), D65),
-}
-# --- fixed values: aliases of the tokens above -------------------------------
-PRIMARIES_ALIASES = {
-    "709": "bt709", "gbr": "bt709", "rgb": "bt709", "srgb": "bt709",
-    "2020": "bt2020", "rec2020": "bt2020", "bt2100": "bt2020",
-    "p3": "smpte432", "display-p3": "smpte432", "displayp3": "smpte432",
-    "dci": "smpte431", "dci-p3": "smpte431",
-    "601": "smpte170m", "bt601": "smpte170m",
-    "p22": "jedec-p22", "ebu3213": "jedec-p22",
-}
 # --- fixed values: container colour capabilities -----------------------------
 # format: (arbitrary ICC, CICP, ICC generated from CICP, max bit depth,
 #          RGB native, HDR, unlabelled means sRGB, ICC and CICP together,
@@ -215,6 +192,23 @@ PROBE_SCHEMA = T.StructType([
 
 
 # --- dimension DataFrames ----------------------------------------------------
+def _literal(value) -> str:
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_literal(v) for v in value) + ")"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+
+def constant_table(spark: SparkSession, rows, names) -> DataFrame:
+    """A fixed table as an inline relation: no job, and its size is known to
+    the optimiser exactly."""
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"select * from values {values} as t({', '.join(names)})")
+
+
 def primaries_dim(spark: SparkSession) -> DataFrame:
     """alias -> token, RGB->XYZ matrix, D50 colorants and D50 primaries."""
     rows = []
@@ -222,27 +216,18 @@ def primaries_dim(spark: SparkSession) -> DataFrame:
         r, g, b, w = PRIMARIES[token]
         d50 = colorants_d50(r, g, b, w)
         rows.append((alias, token, [*r, *g, *b, *w], rgb_to_xyz(r, g, b, w), d50, xy_of_columns(d50)))
-    return spark.createDataFrame(
-        rows,
-        "alias string, token string, xy array<double>, to_xyz array<double>, "
-        "d50 array<double>, xy_d50 array<double>",
-    )
+    return constant_table(spark, rows, ("alias", "token", "xy", "to_xyz", "d50", "xy_d50"))
 
 
 def caps_dim(spark: SparkSession) -> DataFrame:
-    schema = "cap_format string, " + ", ".join(
-        f"{f} {'int' if f == 'max_bit_depth' else 'boolean'}" for f in CAPS_FIELDS
-    )
-    return spark.createDataFrame([(k, *v) for k, v in CONTAINER_CAPS.items()], schema)
+    return constant_table(spark, [(k, *v) for k, v in CONTAINER_CAPS.items()], ("cap_format", *CAPS_FIELDS))
 
 
 def extension_dim(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> DataFrame:
     rows = [(name, ext) for name, exts in table.items() for ext in exts]
-    return spark.createDataFrame(rows, "format_name string, ext string")
+    return constant_table(spark, rows, ("format_name", "ext"))
 
 
 def profile_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, *v) for k, v in PROFILE_SEMANTICS.items()],
-        "profile string, profile_primaries string, profile_transfer string, approximated boolean",
-    )
+    rows = [(k, *v) for k, v in PROFILE_SEMANTICS.items()]
+    return constant_table(spark, rows, ("profile", "profile_primaries", "profile_transfer", "approximated"))

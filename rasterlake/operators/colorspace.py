@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterlake.functions import color, matrices
 from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, from_linear, to_linear
 from rasterlake.functions.media import accepts_cicp, lower_token
-from rasterlake.model import CAPS_FIELDS, PRIMARIES, caps_dim, primaries_dim
+from rasterlake.model import CAPS_FIELDS, PRIMARIES, caps_dim, constant_table, primaries_dim
 
 # --- fixed values: identification order and tolerance -------------------------
 KNOWN_SPACES = ("bt709", "bt2020", "smpte432", "smpte431", "bt470bg")
@@ -67,12 +67,10 @@ def gamut_relation(assets: DataFrame, src: str, dst: str) -> DataFrame:
 def narrowest_superset(assets: DataFrame, primaries: str = "primaries", transfer: str = "transfer") -> DataFrame:
     """First candidate the container accepts and that contains the source gamut."""
     known = lookup_primaries(lookup_caps(assets), primaries, "src_")
-    src = [F.get("src_xy_d50", F.lit(i)) for i in range(6)]
     hdr = F.col(transfer).isin("smpte2084", "arib-std-b67")
 
     def fits(token, curve):
-        xy = matrices.xy_of_columns(matrices.colorants_d50(*PRIMARIES[token]))
-        inside = color.gamut_contains(src, [F.lit(v) for v in xy])
+        inside = color.token_contained(F.col("src_token"), F.lit(token))
         return F.coalesce(accepts_cicp(F.lower("format"), F.lit(token), curve, F.col("can_cicp")) & inside, F.lit(False))
 
     def option(token, curve):
@@ -96,9 +94,9 @@ def conversion_matrices(assets: DataFrame, src: str, dst: str) -> DataFrame:
     constant dimension too (81 rows) and a row costs two small broadcast joins.
     """
     spark = assets.sparkSession
-    pairs = spark.createDataFrame(
-        [(a, b, *matrices.between(PRIMARIES[a], PRIMARIES[b])) for a in PRIMARIES for b in PRIMARIES if a != b],
-        "__s string, __d string, " + ", ".join(f"m{i // 3}{i % 3} double" for i in range(9)))
+    pairs = constant_table(
+        spark, [(a, b, *matrices.between(PRIMARIES[a], PRIMARIES[b])) for a in PRIMARIES for b in PRIMARIES if a != b],
+        ("__s", "__d", *[f"m{i // 3}{i % 3}" for i in range(9)]))
     both = lookup_primaries(lookup_primaries(assets, src, "src_"), dst, "dst_")
     return both.join(
         F.broadcast(pairs), (F.col("src_token") == F.col("__s")) & (F.col("dst_token") == F.col("__d")), "left",

@@ -111,13 +111,19 @@ def pair_sequential(inputs: DataFrame, order: str, value: str, width: int = 1_00
 
 
 def align_frames_by_ordinal(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
-    """Pair the n-th frame of one track with the n-th of another."""
-    cols = [F.col(c) for c in order]
-    left = ordered.row_numbers(a, keys, cols, bucket, "ordinal")
-    right = ordered.row_numbers(b, keys, cols, bucket, "ordinal")
+    """Pair the n-th frame of one track with the n-th of another.
+
+    Both tracks are ranked in one pass and meet in one aggregation on the
+    ordinal, so no join is needed and a busy key spreads over its ordinals.
+    """
     rest = [c for c in a.columns if c not in keys]
-    return left.select(*keys, "ordinal", *[F.col(c).alias(f"a_{c}") for c in rest]).join(
-        right.select(*keys, "ordinal", *[F.col(c).alias(f"b_{c}") for c in rest]), [*keys, "ordinal"])
+    both = a.withColumn("__track", F.lit(0)).unionByName(b.withColumn("__track", F.lit(1)))
+    ranked = ordered.row_numbers(both, [*keys, "__track"], [F.col(c) for c in order], bucket, "ordinal")
+    row = F.struct(*rest)
+    met = ranked.groupBy(*keys, "ordinal").agg(
+        F.max(F.when(F.col("__track") == 0, row)).alias("__a"), F.max(F.when(F.col("__track") == 1, row)).alias("__b"))
+    return met.where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).select(
+        *keys, "ordinal", *[F.col(f"__a.{c}").alias(f"a_{c}") for c in rest], *[F.col(f"__b.{c}").alias(f"b_{c}") for c in rest])
 
 
 _SUFFIXED = r"^(.*)_([1-9][0-9]*)$"
@@ -299,8 +305,7 @@ def completion_counter(events: DataFrame, bucket: Column | None = None) -> DataF
     done = first_terminal(events)
     numbered = ordered.row_numbers(
         done, [], [F.col("ts"), F.col("event_id")], bucket if bucket is not None else ordered.time_bucket("ts"), "done")
-    total = done.agg(F.count(F.lit(1)).alias("total"))
-    return numbered.join(F.broadcast(total))
+    return numbered.withColumn("total", done.agg(F.count(F.lit(1))).scalar())
 
 
 def stall_gaps(events: DataFrame, window: int = STALL_WINDOW_SECONDS, windows: int = STALL_WINDOWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import matrices
@@ -89,24 +89,28 @@ def keep_finite_gain(gains: DataFrame, gain: str = "g") -> DataFrame:
 def gain_range(gains: DataFrame) -> DataFrame:
     """Low and high log2-gain bounds per image, by histogram quantiles.
 
-    The two histograms share one count: both bin numbers are aggregated
-    together, then each is ranked over at most 8192 bins.
+    One histogram of 8192 bins serves both ends: the 4096-bin index is half the
+    fine one, and the count from the top is the total minus the count below.
+    The window therefore holds at most 8192 rows of one image.
     """
-    kept = keep_finite_gain(gains)
+    fine = gain_bin(F.col("g"), 8192).alias("bin")
+    hist = keep_finite_gain(gains).groupBy("asset_id", fine).agg(
+        F.count(F.lit(1)).alias("k"), F.min("g").alias("mn"), F.max("g").alias("mx"))
+    rising = Window.partitionBy("asset_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("asset_id")
+    run, total = F.col("run"), F.col("total")
+    ends = hist.withColumn("run", F.sum("k").over(rising)).withColumn("total", F.sum("k").over(whole)).groupBy(
+        "asset_id").agg(
+        F.max("total").alias("n"),
+        F.min(F.when(run >= F.floor(total / 100), F.col("bin"))).alias("lo"),
+        F.max(F.when(total - run + F.col("k") >= F.greatest(F.floor(total / 10000), F.lit(1)), F.col("bin"))).alias("hi"),
+        F.least(F.min("mn"), F.lit(0.0)).alias("abs_min"),
+        F.greatest(F.max("mx"), F.lit(0.0)).alias("abs_max"))
     span = GAIN_HIGH - GAIN_LOW
-    fine = gain_bin(F.col("g"), 8192)
-    extremes = kept.groupBy("asset_id").agg(
-        F.least(F.min("g"), F.lit(0.0)).alias("abs_min"), F.greatest(F.max("g"), F.lit(0.0)).alias("abs_max"))
-    binned = kept.select("asset_id", fine.alias("hi_bin"), gain_bin(F.col("g"), 4096).alias("lo_bin"))
-    total = F.col("total")
-    low = hist_quantile(binned, ["asset_id"], "lo_bin", F.floor(total / 100), out="lo").withColumnRenamed(
-        "total", "n")
-    high = hist_quantile(binned, ["asset_id"], "hi_bin", F.greatest(F.floor(total / 10000), F.lit(1)),
-                         from_top=True, out="hi").drop("total")
     measured = F.col("n") >= GAIN_MIN_SAMPLES
-    at_low = (F.col("lo") + 0.5) * span / 4096 + GAIN_LOW
+    at_low = (F.floor(F.col("lo") / 2) + 0.5) * span / 4096 + GAIN_LOW
     at_high = (F.col("hi") + 0.5) * span / 8192 + GAIN_LOW
-    return low.join(high, "asset_id").join(extremes, "asset_id").select(
+    return ends.select(
         "asset_id", "n", measured.alias("measured"),
         F.when(measured, F.least(at_low, F.lit(0.0))).otherwise(F.lit(0.0)).alias("low"),
         F.when(measured, F.greatest(at_high, F.lit(0.0))).otherwise(F.lit(0.0)).alias("high"),

@@ -75,23 +75,19 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
 def neighbour(df: DataFrame, keys: list[str], order_cols: list[str], bucket: Column, value: Column,
               out: str, ahead: bool) -> DataFrame:
     """lead (ahead) or lag of value; order_cols must order rows uniquely per key."""
-    df = df.withColumn("__b", bucket).withColumn("__v", value)
-    order = [F.col(c) for c in order_cols]
-    inner, outer = _bucket_windows(keys, order)
+    # The value travels inside a struct, so a null neighbour differs from none.
+    df = df.withColumn("__b", bucket).withColumn("__v", F.struct(value.alias("v")))
+    inner, outer = _bucket_windows(keys, [F.col(c) for c in order_cols])
     edge = F.struct(*order_cols, "__v")
     pick = F.min if ahead else F.max
-    edges = df.groupBy(*keys, "__b").agg(pick(edge).alias("__e"))
     shift = F.lead if ahead else F.lag
+    edges = df.groupBy(*keys, "__b").agg(pick(edge).alias("__e"))
     edges = edges.select(*keys, "__b", shift(F.col("__e.__v")).over(outer).alias("__over"))
-    local = (
-        df.withColumn("__in", shift("__v").over(inner))
-        .withColumn("__edge", F.row_number().over(
-            Window.partitionBy(*keys, "__b").orderBy(*[c.desc() if ahead else c.asc() for c in order])) == 1)
-    )
+    local = df.withColumn("__in", shift("__v").over(inner))
     return (
         _null_safe(local, edges, [*keys, "__b"])
-        .withColumn(out, F.when(F.col("__edge"), F.col("__over")).otherwise(F.col("__in")))
-        .drop("__b", "__v", "__in", "__edge", "__over")
+        .withColumn(out, F.coalesce("__in", "__over")["v"])
+        .drop("__b", "__v", "__in", "__over")
     )
 
 

@@ -95,11 +95,9 @@ def plan_color(rows: DataFrame, allow_gamut: bool = False, icc_available: Column
         .when(~curve_ok, "inexpressible_curve")
         .otherwise("map")
     )
-    src = [F.get("s_xy_d50", F.lit(i)) for i in range(6)]
-    dst = [F.get("d_xy_d50", F.lit(i)) for i in range(6)]
     mapped = F.col("action") == "Map"
     needs_curve = F.coalesce(F.col("src_trc") != F.col("dst_trc"), F.lit(False))
-    outside = mapped & ~F.coalesce(color.gamut_contains(src, dst), F.lit(False))
+    outside = mapped & ~F.coalesce(color.token_contained(F.col("s_token"), F.col("d_token")), F.lit(False))
     needs_matrix = F.coalesce(F.col("s_token") != F.col("d_token"), F.lit(False))
     return (
         d.withColumn("action", action)
