@@ -32,22 +32,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+_LOCAL_BASE: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names.
 
     Every executor must see what is written there, so a machine-local folder
     is used only by a local master that names none.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = context.applicationId
+        base = _LOCAL_BASE.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _LOCAL_BASE[app] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Point DataFrame.checkpoint() at the shared folder once per session."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark, "checkpoints"))
