@@ -86,8 +86,7 @@ def _(t):
 
 
 def _ruled(t):
-    make = t.part.select(col("p_partkey").alias("asset_id"), col("p_brand").alias("make"))
-    return metadata.first_rule(t.tags.join(make, "asset_id"), _RULES)
+    return metadata.first_rule(t.tags_with_make, _RULES)
 
 
 @query("j21_override_rule", """select asset_id, grp, tag, value, cls, case when cls = 'position' and asset_id % 2 = 0 then 'drop_no_carrier' else disposition end disposition,

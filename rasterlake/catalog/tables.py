@@ -159,8 +159,12 @@ class Tables:
 
     @cached_property
     def tags(self) -> DataFrame:
+        return self.tags_with_make.drop("make")
+
+    @cached_property
+    def tags_with_make(self) -> DataFrame:
         return self.part.selectExpr(
-            "p_partkey asset_id",
+            "p_partkey asset_id", "p_brand make",
             "stack(8, 'IFD0', 'Make', p_brand, 'IFD0', 'Model', p_name, 'ExifIFD', 'ISO', cast(p_size as string), "
             "'ExifIFD', 'DateTimeOriginal', concat('2024-01-', p_size), 'ExifIFD', 'FocalLength', cast(p_size % 3 as string), "
             "'GPS', 'GPSLatitude', cast(p_size * 2 as string), 'XMP', 'Label', p_type, "

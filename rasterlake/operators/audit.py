@@ -132,7 +132,7 @@ def linear_fit(samples: DataFrame, key: str, x: str, y: str, spread: list[str])
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     fit = _moments(samples, [key], xs, ys)
     seen = attach(samples.select(key, x, y, *[c for c in spread if c not in (key, x, y)]), fit.select(
-        key, "slope", "intercept"), [key], spread)
+        key, "slope", "intercept", "n"), [key], spread, count="n")
     worst = seen.groupBy(key).agg(
         F.max(F.abs(ys - (xs * F.col("slope") + F.col("intercept")))).alias("max_resid"))
     scale = F.when(F.col("span") > 0, F.col("span")).when(F.col("top") > 0, F.col("top")).otherwise(F.lit(1.0))

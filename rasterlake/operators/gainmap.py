@@ -43,8 +43,8 @@ def compute_gain_map(pairs: DataFrame, factor: int = 2, attenuate: bool = True)
     """
     gains = log_gains(pairs, floor_at_one=not attenuate)
     bounds = gain_range(gains).select(
-        "asset_id", (F.col("low") if attenuate else F.lit(0.0)).alias("low"), "high")
-    coded = attach(gains, bounds, ["asset_id"], ["y", "x"]).select(
+        "asset_id", (F.col("low") if attenuate else F.lit(0.0)).alias("low"), "high", "n")
+    coded = attach(gains, bounds, ["asset_id"], ["y", "x"], count="n").select(
         "asset_id", "y", "x", gain_to_byte(F.col("g"), F.col("high"), F.col("low")).alias("code"))
     return coded.groupBy(
         "asset_id",

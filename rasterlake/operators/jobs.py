@@ -9,6 +9,7 @@ from rasterlake.functions import text
 from rasterlake.functions.media import is_decode_only
 from rasterlake.model import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, extension_dim
 from rasterlake.operators import ordered
+from rasterlake.operators.skew import attach
 
 # --- fixed values: severity order ---------------------------------------------
 LEVELS = {"error": 0, "warn": 1, "info": 2, "debug": 3, "trace": 4}
@@ -232,7 +233,7 @@ def _decide(marked: DataFrame, displaced: DataFrame) -> DataFrame:
 def target_conflicts(plans: DataFrame, existing: DataFrame, key: str = "path") -> DataFrame:
     """Each plan with whether its target exists already."""
     there = existing.select(F.col(key)).distinct().withColumn("refused", F.lit(True))
-    return plans.join(there, key, "left").fillna(False, ["refused"])
+    return attach(plans, there, [key], plans.columns, "left").fillna(False, ["refused"])
 
 
 def incremental_probe(assets: DataFrame, cache: DataFrame, now: Column, max_age_hours: int = 24) -> DataFrame:
@@ -253,7 +254,9 @@ def apply_preset(options: DataFrame, presets: DataFrame) -> DataFrame:
     options: owner, preset, k, v. presets: preset, k, v, one row per pair.
     """
     over = presets.select("preset", "k", F.col("v").alias("__pv"))
-    return options.join(over, ["preset", "k"], "left").withColumn("v", F.coalesce("__pv", "v")).drop("__pv")
+    # Many owners share a preset, so its rows are spread before they meet it.
+    joined = attach(options, over, ["preset", "k"], options.columns, "left")
+    return joined.withColumn("v", F.coalesce("__pv", "v")).drop("__pv")
 
 
 def layer_settings(layers: DataFrame, keys: list[str], tie: str) -> DataFrame:

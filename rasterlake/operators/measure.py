@@ -57,7 +57,7 @@ def gamut_fit(px: DataFrame, code_max: float = 65535.0) -> DataFrame:
     need = F.greatest(F.least(F.ceil(total * 0.999), total - 1), F.lit(1))
     floors = hist_quantile(px.select("asset_id", ybin.alias("ybin")), ["asset_id"], "ybin", need, out="q").select(
         "asset_id", "total", F.greatest(F.lit(1.0 / 65535.0), F.col("q") / 65535.0 * FIT_FLOOR).alias("floor"))
-    seen = attach(px, floors, ["asset_id"], ["y", "x"])
+    seen = attach(px, floors, ["asset_id"], ["y", "x"], count="total")
     low = F.least(*apply_matrix(rgb, M_2020_TO_709))
     above = y >= F.col("floor")
     outside = above & (low < -FIT_EPS)

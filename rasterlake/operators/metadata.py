@@ -87,11 +87,20 @@ def backfill_capture_tags(original: DataFrame, product: DataFrame, **strip: bool
     return _overlay(original.where(capture_whitelist(**strip)), product)
 
 
+def _side_by_side(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """The full join of two tag tables on their key, as one aggregation.
+
+    A repeated tag counts once per side, as in a dictionary, so repeats are
+    combined before the shuffle and never pair up with each other.
+    """
+    both = left.select(*KEY, F.col("value").alias(a), F.lit(None).cast("string").alias(b)).unionByName(
+        right.select(*KEY, F.lit(None).cast("string").alias(a), F.col("value").alias(b)))
+    return both.groupBy(*KEY).agg(F.max(a).alias(a), F.max(b).alias(b))
+
+
 def tag_coverage_diff(src: DataFrame, dst: DataFrame, waived=()) -> DataFrame:
     """Status of each standard tag: present, differs, waived, empty or missing."""
-    left = src.select(*KEY, F.col("value").alias("src_value"))
-    right = dst.select(*KEY, F.col("value").alias("dst_value"))
-    both = left.join(right, KEY, "full")
+    both = _side_by_side(src, dst, "src_value", "dst_value")
     a, b = F.col("src_value").try_cast("double"), F.col("dst_value").try_cast("double")
     deviation = F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-9))
     empty = F.col("tag").isin(*OMIT_IF_EMPTY) & F.col("src_value").rlike(EMPTY_VALUE)
@@ -121,9 +130,8 @@ def covered_common(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def version_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     """Tags that changed between two versions; offset tags never count."""
-    left = base.where(~F.col("tag").isin(*OFFSET_TAGS)).select(*KEY, F.col("value").alias("before"))
-    right = current.where(~F.col("tag").isin(*OFFSET_TAGS)).select(*KEY, F.col("value").alias("after"))
-    changed = left.join(right, KEY, "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    both = _side_by_side(base, current, "before", "after").where(~F.col("tag").isin(*OFFSET_TAGS))
+    changed = both.where(~F.col("before").eqNullSafe(F.col("after")))
     return changed.withColumn(
         "change",
         F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed"))

@@ -98,10 +98,10 @@ def align_pixels(ref: DataFrame, enc: DataFrame, keys=PIXEL_KEY) -> DataFrame:
 
 def stride_sample(px: DataFrame, width: int, target: int = 1_000_000) -> DataFrame:
     """Every n-th sample of an image in flat order, n = max(1, pixels / target)."""
-    sizes = px.groupBy("asset_id").agg(
-        F.greatest(F.floor(F.count(F.lit(1)) / target), F.lit(1)).alias("stride"))
+    sizes = px.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "stride", F.greatest(F.floor(F.col("n") / target), F.lit(1)))
     flat = F.col("y") * width + F.col("x")
-    return attach(px, sizes, ["asset_id"], ["y", "x"]).where(F.pmod(flat, F.col("stride")) == 0)
+    return attach(px, sizes, ["asset_id"], ["y", "x"], count="n").where(F.pmod(flat, F.col("stride")) == 0)
 
 
 def length_mismatch(a: DataFrame, b: DataFrame, keys=("asset_id", "frame")) -> DataFrame:
@@ -145,11 +145,11 @@ def stitch_tiles(tiles: DataFrame, grid: DataFrame) -> DataFrame:
     """
     # pixels -> (asset, tile) -> asset: both steps combine before they shuffle
     counted = (
-        tiles.groupBy("asset_id", "tile").agg(F.lit(1).alias("one"))
-        .groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_tiles"))
+        tiles.groupBy("asset_id", "tile").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_tiles"), F.sum("n").alias("n"))
     )
     whole = grid.join(counted, "asset_id").where(F.col("n_tiles") == F.col("cols") * F.col("rows"))
-    placed = attach(tiles, whole, ["asset_id"], ["tile", "y", "x"]).select(
+    placed = attach(tiles, whole, ["asset_id"], ["tile", "y", "x"], count="n").select(
         "asset_id",
         (F.floor(F.col("tile") / F.col("cols")) * F.col("tile_h") + F.col("y")).cast("int").alias("y"),
         ((F.col("tile") % F.col("cols")) * F.col("tile_w") + F.col("x")).cast("int").alias("x"),

@@ -18,6 +18,17 @@ def _flat(df: DataFrame, window: str = "window") -> DataFrame:
     return df.select(F.col(f"{window}.start").alias("win_start"), F.col(f"{window}.end").alias("win_end"), *rest)
 
 
+def _dedup(stream: DataFrame, keys: list[str], spread: Column, parts: int = 64) -> DataFrame:
+    """Drop repeats within the watermark in two steps.
+
+    The first step works on (key, part), so the repeats of one busy key are
+    removed by many tasks; at most `parts` rows of it reach the second.
+    """
+    first = stream.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts))).dropDuplicatesWithinWatermark(
+        [*keys, "__part"])
+    return first.drop("__part").dropDuplicatesWithinWatermark(keys)
+
+
 def job_status_counts(stream: DataFrame, size: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     s = F.col("status")
     return _flat(stream.withWatermark("ts", delay).groupBy(F.window("ts", size)).agg(
@@ -54,7 +65,7 @@ def heartbeat_alerts(stream: DataFrame, timeout_seconds: int = 120, delay: str =
 
 def terminal_dedup(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     ends = stream.where(is_terminal(F.col("status"))).withWatermark("ts", delay)
-    return ends.dropDuplicatesWithinWatermark(["item_id"]).select("item_id")
+    return _dedup(ends, ["item_id"], F.col("event_id")).select("item_id")
 
 
 def queue_stall(stream: DataFrame, window_seconds: int = 600, windows: int = 3, delay: str = "10 minutes",

@@ -116,17 +116,28 @@ def test_gain_range_needs_samples(spark):
     assert (row.measured, row.low, row.high) == (False, 0.0, 0.0)
 
 
-def test_hot_asset_spreads(spark):
-    """One image with most of the pixels is not sent to one partition."""
+@pytest.mark.parametrize("count", [None, "n"])
+def test_hot_key_is_cut(spark, count):
+    """A key with most rows is split; all rows survive and cold keys are not repeated."""
+    from rasterlake.operators.skew import attach
+    px = spark.range(20000).selectExpr("case when id % 10 = 0 then id else 1 end asset_id", "cast(id as int) x")
+    stats = px.groupBy("asset_id").count().withColumnRenamed("count", "n").withColumn("s", F.col("n") * 2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        from rasterlake.operators.skew import attach
-        px = spark.range(20000).selectExpr("case when id % 10 = 0 then id else 1 end asset_id", "cast(id as int) x")
-        stats = px.select("asset_id").distinct().withColumn("s", F.lit(1))
-        out = attach(px, stats, ["asset_id"], ["x"])
+        out = attach(px, stats, ["asset_id"], ["x"], count=count, unit=500)
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 20000 and max(sizes) < 6000
+        assert out.where("s = 36000").count() == 18000 and out.where("s = 2").count() == 2000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_attach_left_keeps_unmatched(spark):
+    from rasterlake.operators.skew import attach
+    rows = spark.range(100).selectExpr("id % 5 k", "id v")
+    some = spark.createDataFrame([(0, "a"), (1, "b")], "k long, t string")
+    got = attach(rows, some, ["k"], ["v"], "left", unit=3)
+    assert got.count() == 100
+    assert {(r.k, r.t) for r in got.select("k", "t").distinct().collect()} == {(0, "a"), (1, "b"), (2, None), (3, None), (4, None)}
