@@ -16,10 +16,8 @@ _CAMERA = "('Make','Model','ISO','FocalLength')"
 
 @query("s03_read_tag_dump", "select concat('/in/', asset_id, '.jpg') file, grp, tag, value from tags")
 def _(t):
-    objects = t.tags.groupBy("asset_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws(":", "grp", "tag"), "value"))).alias("m"))
-    dumps = objects.select(F.to_json(F.array(F.map_concat(
-        "m", F.create_map(F.lit("SourceFile"), F.concat(F.lit("/in/"), "asset_id", F.lit(".jpg")))))).alias("js"))
+    dumps = metadata.long_to_map(t.tags).select(F.to_json(F.array(F.map_concat(
+        "tags", F.create_map(F.lit("SourceFile"), F.concat(F.lit("/in/"), "asset_id", F.lit(".jpg")))))).alias("js"))
     return readers.tag_dump_rows(dumps, "js")
 
 

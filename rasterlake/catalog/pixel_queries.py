@@ -373,11 +373,13 @@ def _(t):
 # --- gain maps -----------------------------------------------------------------
 @query("j16_reconcile_gainmap_meta", """select asset_id, case when apart then xmp_min else iso_min end gain_min,
     case when apart then xmp_max else iso_max end gain_max, case when iso_cap = 0 then case when has_xmp then xmp_cap else iso_cap end else iso_cap end cap_max,
-    case when has_xmp then base_is_hdr else false end base_is_hdr, apart took_xmp
+    case when has_xmp then base_is_hdr else false end base_is_hdr, apart took_xmp, case when apart and xmp_gamma > 0 then xmp_gamma else 1e0 end gamma,
+    case when apart then 0.01e0 else 0.015625e0 end offset_sdr, case when apart then 0.02e0 else 0.015625e0 end offset_hdr
     from (select *, has_xmp and (abs(xmp_max-iso_max) > 0.02e0 or abs(xmp_min-iso_min) > 0.02e0) apart from gmeta)""")
 def _(t):
-    iso = t.gmeta.select("asset_id", "iso_min", "iso_max", "iso_cap")
-    xmp = t.gmeta.where("has_xmp").select("asset_id", "xmp_min", "xmp_max", "xmp_cap", "base_is_hdr")
+    parts = ("min", "max", "gamma", "offset_sdr", "offset_hdr", "cap")
+    iso = t.gmeta.select("asset_id", *[f"iso_{p}" for p in parts])
+    xmp = t.gmeta.where("has_xmp").select("asset_id", *[f"xmp_{p}" for p in parts], "base_is_hdr")
     return gainmap.reconcile_meta(iso, xmp)
 
 

@@ -242,12 +242,35 @@ def _(t):
     return decisions.default_backend(t.assets.select("asset_id", "format"), tools)
 
 
-@query("p13_build_jobs", r"""with e as (select *, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') st from paths where ext in ('png','jpg','avif','jxl','mp4')),
+_JOB_PRIM = "case asset_id % 3 when 0 then 'bt709' when 1 then 'bt2020' else null end"
+_JOB_TRC = "case asset_id % 2 when 0 then 'iec61966-2-1' else 'smpte2084' end"
+_JOB_TARGET = "case asset_id % 5 when 0 then null else 'srgb' end"
+
+
+@query("p13_build_jobs", rf"""with e as (select *, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') st, {_JOB_PRIM} prim, {_JOB_TRC} trc, {_JOB_TARGET} target
+    from paths where ext in ('png','jpg','avif','jxl','mp4')),
     n as (select *, row_number() over (partition by lower(st) order by asset_id) rn from e),
-    o as (select asset_id, path, concat('/out/', case when rn > 1 then concat(st, '_', rn - 1) else st end, '.webp') output, rn > 1 renamed from n),
-    x as (select distinct concat('/out/', page_id, '.webp') output from pages)
-    select o.asset_id, o.output, o.renamed, x.output is not null refused, case when x.output is not null then 'failed: exists' else 'pending' end status from o left join x on x.output = o.output""")
+    o as (select *, concat('/out/', case when rn > 1 then concat(st, '_', rn - 1) else st end, '.jxl') output, rn > 1 renamed from n),
+    x as (select distinct concat('/out/', page_id, '.jxl') output from pages)
+    select o.asset_id, o.output, o.renamed, x.output is not null refused, case when x.output is not null then 'failed: exists' else 'pending' end status,
+    'Cjxl' backend, case when target is null then 'None' when prim is null then 'Reject' when prim = 'bt709' and trc = 'iec61966-2-1' then 'None' else 'Map' end as action
+    from o left join x on x.output = o.output""")
+def _(t):
+    existing = t.pages.select(F.concat(F.lit("/out/"), col("page_id"), F.lit(".jxl")).alias("output"))
+    tools = t.nation.selectExpr("case n_nationkey % 3 when 0 then 'Cjxl' when 1 then 'Jxr' else 'Dng' end tool", "n_nationkey % 2 = 0 available")
+    inputs = t.paths.withColumns({"primaries": F.expr(_JOB_PRIM), "transfer": F.expr(_JOB_TRC), "target": F.expr(_JOB_TARGET)})
+    out = jobs.build_jobs(inputs, existing, "jxl", "/out", ("PNG", "JPEG", "AVIF", "JPEG XL", "MP4"), overwrite=False,
+                          tools=tools, order="asset_id")
+    return out.select("asset_id", "output", "renamed", "refused", "status", "backend", "action")
+
+
+@query("p13_build_compose_jobs", r"""with e as (select *, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') st, row_number() over (order by asset_id) - 1 i
+    from paths where ext in ('png','jpg','avif','jxl','mp4')),
+    p as (select min_by(asset_id, i) asset_id, min_by(st, i) st, case when count(*) = 2 then max_by(path, i) end reference from e group by i // 2),
+    n as (select *, row_number() over (partition by lower(st) order by asset_id) rn from p)
+    select asset_id, concat('/out/', st, '_gainmap', case when rn > 1 then concat('_', rn - 1) else '' end, '.avif') output, reference,
+    case when reference is null then 'failed: no partner' else 'pending' end status from n""")
 def _(t):
-    existing = t.pages.select(F.concat(F.lit("/out/"), col("page_id"), F.lit(".webp")).alias("output"))
-    out = jobs.build_jobs(t.paths, existing, "webp", "/out", ("PNG", "JPEG", "AVIF", "JPEG XL", "MP4"), overwrite=False, order="asset_id")
-    return out.select("asset_id", "output", "renamed", "refused", "status")
+    none = t.pages.select(F.concat(F.lit("/none/"), col("page_id")).alias("output"))
+    out = jobs.build_jobs(t.paths, none, "avif", "/out", ("PNG", "JPEG", "AVIF", "JPEG XL", "MP4"), overwrite=False, compose=True, order="asset_id", width=64)
+    return out.select("asset_id", "output", "reference", "status")

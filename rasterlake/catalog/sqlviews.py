@@ -21,7 +21,7 @@ VIEWS: dict[str, str] = {
     "gain": """select asset_id, y, x, code / 255e0 sdr, least(8e0, (code / 255e0) * (code / 255e0) * 6e0 + 0.01e0) hdr from px8""",
     "gmeta": """select asset_id, max(code) / 64e0 iso_max, 0e0 iso_min,
         max(code) / 64e0 + case when asset_id % 5 = 0 then 0.5e0 else 0e0 end xmp_max, 0e0 xmp_min,
-        case when asset_id % 3 = 0 then 0e0 else 2e0 end iso_cap, 2.3e0 xmp_cap, asset_id % 7 <> 0 has_xmp,
+        case when asset_id % 3 = 0 then 0e0 else 2e0 end iso_cap, 2.3e0 xmp_cap, asset_id % 7 <> 0 has_xmp, case when asset_id % 4 = 0 then 0e0 else 1.5e0 end xmp_gamma,
         asset_id % 11 = 0 base_is_hdr from px8 group by asset_id""",
     "mats": "select asset_id, " + ", ".join(
         f"{b}e0 + (sum(case when pos % 9 = {i} then code end) / cast(count(case when pos % 9 = {i} then 1 end) as double)"

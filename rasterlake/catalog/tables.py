@@ -95,6 +95,9 @@ class Tables:
             "asset_id", top.alias("iso_max"), F.lit(0.0).alias("iso_min"), (top + extra).alias("xmp_max"),
             F.lit(0.0).alias("xmp_min"), F.when(F.col("asset_id") % 3 == 0, 0.0).otherwise(2.0).alias("iso_cap"),
             F.lit(2.3).alias("xmp_cap"), (F.col("asset_id") % 7 != 0).alias("has_xmp"),
+            F.lit(1.0).alias("iso_gamma"), F.when(F.col("asset_id") % 4 == 0, 0.0).otherwise(1.5).alias("xmp_gamma"),
+            F.lit(0.015625).alias("iso_offset_sdr"), F.lit(0.015625).alias("iso_offset_hdr"),
+            F.lit(0.01).alias("xmp_offset_sdr"), F.lit(0.02).alias("xmp_offset_hdr"),
             (F.col("asset_id") % 11 == 0).alias("base_is_hdr"))
 
     @cached_property

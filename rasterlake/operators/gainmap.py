@@ -13,17 +13,23 @@ from rasterlake.operators.skew import attach
 def reconcile_meta(iso: DataFrame, xmp: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Two metadata sources per asset into one; XMP wins where ranges disagree.
 
-    iso: asset_id, iso_min, iso_max, iso_cap. xmp: asset_id, xmp_min, xmp_max,
-    xmp_cap, base_is_hdr. Assets without XMP keep their ISO values.
+    iso: asset_id, iso_min, iso_max, iso_gamma, iso_offset_sdr, iso_offset_hdr,
+    iso_cap. xmp: the same with xmp_, and base_is_hdr. Where the ranges agree,
+    only a missing capacity is filled and the direction flag carried over;
+    assets without XMP keep their ISO values.
     """
     both = iso.join(xmp, "asset_id", "left")
     apart = F.coalesce(
         (F.abs(F.col("xmp_max") - F.col("iso_max")) > tolerance)
         | (F.abs(F.col("xmp_min") - F.col("iso_min")) > tolerance), F.lit(False))
+
+    def taken(name):
+        return F.when(apart, F.col(f"xmp_{name}")).otherwise(F.col(f"iso_{name}"))
+
     return both.select(
-        "asset_id",
-        F.when(apart, F.col("xmp_min")).otherwise(F.col("iso_min")).alias("gain_min"),
-        F.when(apart, F.col("xmp_max")).otherwise(F.col("iso_max")).alias("gain_max"),
+        "asset_id", taken("min").alias("gain_min"), taken("max").alias("gain_max"),
+        F.when(apart & (F.col("xmp_gamma") > 0.0), F.col("xmp_gamma")).otherwise(F.col("iso_gamma")).alias("gamma"),
+        taken("offset_sdr").alias("offset_sdr"), taken("offset_hdr").alias("offset_hdr"),
         F.when(F.col("iso_cap") == 0.0, F.coalesce("xmp_cap", "iso_cap")).otherwise(F.col("iso_cap")).alias("cap_max"),
         F.coalesce(F.col("base_is_hdr"), F.lit(False)).alias("base_is_hdr"),
         apart.alias("took_xmp"),

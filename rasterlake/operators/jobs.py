@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions import text
@@ -10,6 +10,8 @@ from rasterlake.functions.media import is_decode_only
 from rasterlake.model import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, extension_dim
 from rasterlake.operators import ordered
 from rasterlake.operators.skew import attach
+from rasterlake.plans.decisions import default_backend, plan_color
+from rasterlake.session import enable_checkpoints
 
 # --- fixed values: severity order ---------------------------------------------
 LEVELS = {"error": 0, "warn": 1, "info": 2, "debug": 3, "trace": 4}
@@ -139,95 +141,78 @@ def assign_output_names(plans: DataFrame, folder: str = "folder", stem: str = "s
 
     A suffixed name p_n can be taken beforehand only by an input that asked for
     p_n itself, and it matters only whether that happened before the duplicate
-    of p came to it. So each name group needs: the position of its duplicates
-    (a bucketed rank), and for every existing p_n how many duplicates of p came
-    before its first request. Groups are settled parents first, one level of
-    suffix at a time; the number of levels is read from the names themselves.
+    of p came to it. Where no input is named like a suffixed one, a bucketed
+    rank is the answer; otherwise `_settle_names` works out who came first.
     """
     name = F.lower(F.concat_ws("\u0001", folder, stem, ext))
     base = plans.withColumn("__name", name)
     firsts = base.groupBy("__name").agg(F.min(order).alias("__first"),
                                         F.lower(F.first(folder)).alias("__f"), F.lower(F.first(stem)).alias("__s"),
                                         F.lower(F.first(ext)).alias("__e"))
-    tail = F.regexp_extract("__s", r"((_[1-9][0-9]*)+)$", 1)
     child = (
-        firsts.withColumn("__n", F.nullif(F.regexp_extract("__s", _SUFFIXED, 2), F.lit("")).cast("long"))
+        firsts.withColumn("__n", F.regexp_extract("__s", _SUFFIXED, 2).try_cast("long"))
         .where(F.col("__n").isNotNull())
         .select(
             F.col("__name").alias("child"), "__first", F.col("__n").alias("n"),
-            (F.length(tail) - F.length(F.replace(tail, F.lit("_"), F.lit("")))).alias("level"),
             F.concat_ws("\u0001", "__f", F.regexp_extract("__s", _SUFFIXED, 1), "__e").alias("__name"))
     )
     # A suffixed name matters only if its parent was asked for as well.
-    links = child.join(firsts.select("__name"), "__name", "left_semi")
-    depth = links.agg(F.max("level")).first()[0] or 0
+    links = attach(child, firsts.select("__name"), ["__name"], ["n"])
     ranked = ordered.row_numbers(base, ["__name"], [F.col(order)], ordered.block(order, width), "__rank")
-    if depth == 0:
+    if links.isEmpty():
         settled = ranked.withColumn("__suffix", F.col("__rank") - 1)
     else:
-        settled = _settle_names(ranked, links, order, depth)
+        settled = _settle_names(ranked, links, order, width)
     out_stem = F.when(F.col("__suffix") > 0, F.concat(F.col(stem), F.lit("_"), F.col("__suffix").cast("string"))).otherwise(F.col(stem))
     return settled.withColumn("out_stem", out_stem).withColumn("renamed", F.col("__suffix") > 0).drop(
         "__name", "__rank", "__suffix")
 
 
-def _settle_names(ranked: DataFrame, links: DataFrame, order: str, depth: int) -> DataFrame:
-    """Suffix numbers where requested names look like suffixed ones."""
-    # How many requests for the parent came before the child's first request.
-    marks = links.select("__name", F.col("__first").alias("at"), "child", "n", F.lit(None).cast("long").alias("r"))
-    asked = ranked.select("__name", F.col(order).alias("at"), F.lit(None).cast("string").alias("child"),
-                          F.lit(None).cast("long").alias("n"), F.col("__rank").alias("r"))
-    asked = asked.join(links.select("__name").distinct(), "__name", "left_semi")
-    # Requests are ranked already; the last rank before a mark is a running
-    # maximum, taken over blocks of the order column.
-    line = marks.unionByName(asked).withColumn("__b", F.floor(F.col("at") / 1_000_000))
-    inner = Window.partitionBy("__name", "__b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    tops = line.groupBy("__name", "__b").agg(F.max("r").alias("top"))
-    outer = Window.partitionBy("__name").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("__name", "__b", F.max("top").over(outer).alias("__carry"))
-    marked = (
-        line.withColumn("__local", F.max("r").over(inner))
-        .join(tops, ["__name", "__b"])
-        .where(F.col("child").isNotNull())
-        .select("__name", "child", "n", F.coalesce("__local", "__carry", F.lit(0)).alias("before"))
-    )
-    spark = ranked.sparkSession
-    displaced = spark.createDataFrame([], "__name string, d int")
-    decisions = None
-    for _ in range(depth + 1):
-        decided = _decide(marked, displaced)
-        moved = decided.select(F.explode("taken").alias("t")).select(F.col("t").alias("__name"), F.lit(1).alias("d"))
-        decisions, displaced = decided, moved
-    shift = decisions.select("__name", "hit")
-    rows = ranked.join(shift, "__name", "left").join(displaced, "__name", "left")
-    index = F.col("__rank") - 1 + F.coalesce("d", F.lit(0))
-    passed = F.coalesce(F.size(F.filter("hit", lambda h: h <= index)), F.lit(0))
-    passed = F.when(F.col("hit").isNull(), 0).otherwise(passed)
-    return rows.withColumn("__suffix", F.when(index > 0, index + passed).otherwise(F.lit(0))).drop("hit", "d")
-
-
-def _decide(marked: DataFrame, displaced: DataFrame) -> DataFrame:
-    """Per parent: the duplicate positions at which an existing p_n is skipped
-    (hit) and the children whose name a duplicate takes first (taken).
-
-    One array entry per existing suffixed name of the parent, not per input.
-    """
-    rows = marked.join(displaced, "__name", "left")
-    # Duplicates before the mark: all requests but the one that keeps the name.
-    dups = F.greatest(F.col("before") - 1 + F.coalesce("d", F.lit(0)), F.lit(0))
-    listed = rows.groupBy("__name").agg(
-        F.array_sort(F.collect_list(F.struct("n", dups.alias("c"), "child"))).alias("marks"))
-    start = F.struct(F.array().cast("array<bigint>").alias("hit"), F.array().cast("array<string>").alias("taken"))
-
-    def step(acc, m):
-        at = m["n"] - F.size(acc["hit"])
-        occupied = at > m["c"]
-        return F.struct(
-            F.when(occupied, F.concat(acc["hit"], F.array(at))).otherwise(acc["hit"]).alias("hit"),
-            F.when(occupied, acc["taken"]).otherwise(F.concat(acc["taken"], F.array(m["child"]))).alias("taken"),
-        )
+def _settle_names(ranked: DataFrame, links: DataFrame, order: str, width: int) -> DataFrame:
+    """Suffix numbers where some requested names look like suffixed ones.
 
-    return listed.withColumn("a", F.aggregate("marks", start, step)).select("__name", "a.hit", "a.taken")
+    links: one row per existing p_n with its parent p. Duplicate i of p would
+    take number i plus the existing numbers skipped before it. An existing p_n
+    is skipped if it was asked for before the duplicate that arrives at it; if
+    not, that duplicate takes the name, and p_n's own first request becomes a
+    duplicate in turn. Which numbers are skipped is found by repeating one
+    distributed pass until nothing changes: each pass settles at least the next
+    number of every parent whose own first request is settled.
+    """
+    enable_checkpoints(ranked.sparkSession)
+    by_name = ["__name"]
+    # How many requests for p came before the first one for p_n.
+    asked = attach(ranked, links.select("__name").distinct(), by_name, [order]).select(
+        "__name", F.col(order).alias("at"), F.lit(1).alias("ask"))
+    marks = links.select("__name", F.col("__first").alias("at"), F.lit(0).alias("ask"), "child", "n")
+    line = ordered.running_sum(
+        marks.unionByName(asked, allowMissingColumns=True), by_name, [F.col("at")], ordered.block("at", width),
+        F.col("ask"), "before")
+    marks = line.where(F.col("child").isNotNull()).select(
+        "__name", "child", "n", "before", F.lit(True).alias("skip")).checkpoint()
+    while True:
+        taken = marks.where(~F.col("skip")).select(F.col("child").alias("__name"), F.lit(1).alias("d"))
+        state = attach(marks.withColumnRenamed("skip", "was"), taken, by_name, ["n"], "left")
+        state = ordered.running_sum(
+            state, by_name, [F.col("n")], ordered.block("n", width), F.col("was").cast("int"), "upto")
+        arrives = F.col("n") - (F.col("upto") - F.col("was").cast("int"))
+        earlier = F.greatest(F.col("before") - 1 + F.coalesce("d", F.lit(0)), F.lit(0))
+        state = state.select(
+            "__name", "child", "n", "before", "was", arrives.alias("arrives"), (arrives > earlier).alias("skip")).checkpoint()
+        marks = state.drop("was")
+        if state.where(F.col("skip") != F.col("was")).isEmpty():
+            break
+    taken = marks.where(~F.col("skip")).select(F.col("child").alias("__name"), F.lit(1).alias("d"))
+    rows = attach(ranked, taken, by_name, [order], "left").withColumn(
+        "__pos", F.col("__rank") - 1 + F.coalesce("d", F.lit(0))).drop("d")
+    # Skipped numbers up to each duplicate's position, rows after marks.
+    skips = marks.where("skip").select("__name", F.col("arrives").alias("__pos"), F.lit(1).alias("__skip"))
+    mixed = rows.withColumn("__skip", F.lit(0)).unionByName(skips, allowMissingColumns=True)
+    counted = ordered.running_sum(
+        mixed, by_name, [F.col("__pos"), F.col("__skip").desc()], ordered.block("__pos", width), F.col("__skip"), "__passed")
+    return counted.where(F.col("__skip") == 0).withColumn(
+        "__suffix", F.when(F.col("__pos") > 0, F.col("__pos") + F.col("__passed")).otherwise(F.lit(0))).drop(
+        "__pos", "__skip", "__passed")
 
 
 def target_conflicts(plans: DataFrame, existing: DataFrame, key: str = "path") -> DataFrame:
@@ -344,14 +329,35 @@ def item_duration(events: DataFrame) -> DataFrame:
 
 
 def build_jobs(inputs: DataFrame, existing: DataFrame, fmt: str, out_dir: str, enabled, overwrite: bool,
-               order: str = "ord") -> DataFrame:
-    """The whole batch table: enabled inputs, target paths, unique names and
-    the overwrite guard."""
+               tools: DataFrame | None = None, compose: bool = False, order: str = "ord", width: int = 1_000_000) -> DataFrame:
+    """The whole batch table: enabled inputs, target paths, unique names, the
+    overwrite guard, the encoder backend and, where the inputs carry primaries,
+    transfer and target, the colour plan.
+
+    With compose, consecutive inputs are an SDR base and its HDR reference, the
+    target is named after the base, and a trailing single input fails.
+    """
+    rows = filter_enabled_formats(inputs, enabled)
+    if compose:
+        pairs = ordered.row_numbers(rows, [], [F.col(order)], ordered.block(order, width))
+        row = F.struct("rn", *rows.columns)
+        pairs = pairs.groupBy(F.floor((F.col("rn") - 1) / 2).alias("__pair")).agg(
+            F.min(row).alias("sdr"), F.max(row).alias("hdr"), F.count(F.lit(1)).alias("n"))
+        rows = pairs.select(
+            *[F.col(f"sdr.{c}").alias(c) for c in rows.columns],
+            F.when(F.col("n") == 2, F.col("hdr.path")).alias("reference"))
     target = text.output_path(F.col("path"), F.lit(None).cast("string"), out_dir, fmt, preserve=False)
-    rows = filter_enabled_formats(inputs, enabled).withColumn("folder", text.directory(target)).withColumn(
-        "stem", text.stem(target)).withColumn("out_ext", F.lit(fmt.lower()))
-    named = assign_output_names(rows, "folder", "stem", "out_ext", order)
+    stem = F.concat(text.stem(target), F.lit("_gainmap")) if compose else text.stem(target)
+    rows = rows.withColumns({"folder": text.directory(target), "stem": stem, "out_ext": F.lit(fmt.lower())})
+    named = assign_output_names(rows, "folder", "stem", "out_ext", order, width)
     planned = named.withColumn("output", F.concat(
         F.col("folder"), F.lit("/"), F.col("out_stem"), F.lit("."), F.col("out_ext")))
-    checked = target_conflicts(planned, existing, "output")
-    return checked.withColumn("status", F.when(F.col("refused") & F.lit(not overwrite), "failed: exists").otherwise("pending"))
+    jobs = target_conflicts(planned, existing, "output")
+    if tools is not None:
+        jobs = default_backend(jobs, tools, "out_ext")
+    if {"primaries", "transfer", "target"} <= set(inputs.columns):
+        jobs = plan_color(jobs.withColumn("format", F.col("out_ext")))
+    status = F.when(F.col("refused") & F.lit(not overwrite), "failed: exists")
+    if compose:
+        status = status.when(F.col("reference").isNull(), "failed: no partner")
+    return jobs.withColumn("status", status.otherwise("pending"))

@@ -50,3 +50,9 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         base = _LOCAL_BASE.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _LOCAL_BASE[app] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def enable_checkpoints(spark: SparkSession) -> None:
+    """Give DataFrame.checkpoint() its shared folder where none is set yet."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_dir(spark, "checkpoints"))

@@ -11,24 +11,32 @@ from rasterlake.model import BENCH_SCHEMA, JOB_LOG_SCHEMA, LEDGER_SCHEMA, MATRIX
 PROGRESS_LINE = "^[a-z0-9_]+="
 
 
-def scan_assets(spark: SparkSession, roots, extensions, exclude_prefix: str | None = None) -> DataFrame:
+def scan_assets(spark: SparkSession, roots, extensions, exclude_prefix: str | None = None, files=()) -> DataFrame:
     """File inventory without reading contents.
 
     Column pruning keeps `content` out of the scan, so only the listing runs.
-    A directory scan skips the output subtree; files named one by one do not
-    pass through here.
+    A directory scan keeps known extensions and skips the output subtree; files
+    named one by one are always accepted.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-            roots if isinstance(roots, list) else [roots])
-        .select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    )
-    return select_assets(files, extensions, exclude_prefix)
+
+    def listing(paths):
+        return (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+            .select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size")))
+
+    found = select_assets(listing(roots if isinstance(roots, list) else [roots]), extensions, exclude_prefix) if roots else None
+    if not files:
+        return found
+    named = listing(list(files)).withColumn("ext", _extension("path"))
+    return named if found is None else found.union(named).dropDuplicates(["path"])
+
+
+def _extension(path: str):
+    return F.lower(F.regexp_extract(path, "[.]([^./]+)$", 1))
 
 
 def select_assets(files: DataFrame, extensions, exclude_prefix: str | None = None) -> DataFrame:
-    ext = F.lower(F.regexp_extract("path", "[.]([^./]+)$", 1))
-    kept = files.withColumn("ext", ext).where(F.col("ext").isin(*extensions))
+    kept = files.withColumn("ext", _extension("path")).where(F.col("ext").isin(*extensions))
     if exclude_prefix:
         kept = kept.where(~text.under_prefix(F.col("path"), F.lit(exclude_prefix)))
     return kept
@@ -37,7 +45,7 @@ def select_assets(files: DataFrame, extensions, exclude_prefix: str | None = Non
 def sniff_formats(spark: SparkSession, roots) -> DataFrame:
     """Format by content against format by extension."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    ext = F.lower(F.regexp_extract("path", "[.]([^./]+)$", 1))
+    ext = _extension("path")
     named = F.when(ext == "jpeg", "jpg").when(ext == "tif", "tiff").when(ext == "heic", "heif").otherwise(ext)
     magic = media.magic_format(F.col("content"))
     return files.select("path", magic.alias("magic"), named.alias("named")).withColumn(

@@ -36,6 +36,11 @@ def test_scan_assets_skips_output_subtree(spark, tree):
     assert "content" not in schema
 
 
+def test_named_files_are_always_accepted(spark, tree):
+    files = readers.scan_assets(spark, str(tree), ("png",), f"file:{tree}/out", files=[f"{tree}/out/e.jxl", f"{tree}/a.png"])
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.collect()) == ["a.png", "e.jxl", "wrong.png", "z.PNG"]
+
+
 def test_magic(spark, tree):
     got = {r.path.rsplit("/", 1)[1]: (r.magic, r.mismatch) for r in readers.sniff_formats(spark, str(tree)).collect()}
     assert got["wrong.png"] == ("jpg", True)
