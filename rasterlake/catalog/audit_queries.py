@@ -51,10 +51,10 @@ def _(t):
 
 
 @query("a21_throughput_best_of", """with b as (select case_id, arm_id, min(time_ms) best_ms, max(time_ms) - min(time_ms) spread, max(pixels)/1e6/(min(time_ms)/1000e0) m from bench group by 1, 2)
-    select b.case_id, b.arm_id, b.best_ms, b.spread, round(b.m, 6) mpix_s, round(b.m/x.m, 6) gain from b left join b x on x.case_id = b.case_id and x.arm_id = 1""")
+    select b.case_id, b.arm_id, b.best_ms, b.spread, round(b.m, 9) mpix_s, round(b.m/x.m, 9) gain from b left join b x on x.case_id = b.case_id and x.arm_id = 1""")
 def _(t):
     return audit.throughput_best_of(t.bench, 1).select(
-        "case_id", "arm_id", "best_ms", "spread", r6("mpix_s", "mpix_s"), r6("gain", "gain"))
+        "case_id", "arm_id", "best_ms", "spread", F.round("mpix_s", 9).alias("mpix_s"), F.round("gain", 9).alias("gain"))
 
 
 _FITX = "case when {k} % 4 = 0 then cast(l_quantity as double) when {k} % 4 = 1 then cast(l_quantity as double) else 7e0 end"
@@ -87,9 +87,9 @@ def _(t):
         "power", F.round("coef", 5).alias("coef"), F.round("max_resid", 5).alias("max_resid"))
 
 
-@query("a24_matrix_row_sum_check", """select asset_id, round(d, 6) max_dev, d <= 0.45e0 ok from (select asset_id, greatest(abs(m0+m1+m2-1e0), abs(m3+m4+m5-1e0), abs(m6+m7+m8-1e0)) d from mats)""")
+@query("a24_matrix_row_sum_check", """select asset_id, round(d, 8) max_dev, d <= 0.45e0 ok from (select asset_id, greatest(abs(m0+m1+m2-1e0), abs(m3+m4+m5-1e0), abs(m6+m7+m8-1e0)) d from mats)""")
 def _(t):
-    return colorspace.matrix_row_sum_check(t.mats, [f"m{i}" for i in range(9)], tol=0.45).select("asset_id", r6("max_dev", "max_dev"), "ok")
+    return colorspace.matrix_row_sum_check(t.mats, [f"m{i}" for i in range(9)], tol=0.45).select("asset_id", F.round("max_dev", 8).alias("max_dev"), "ok")
 
 
 @query("a28_memory_demand", """select brand, count(*) assets, cast(sum(width::bigint*height) as bigint) pixels, round(max(70e0+99e0*(width::bigint*height/1e6)), 6) max_mb,

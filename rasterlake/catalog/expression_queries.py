@@ -11,6 +11,12 @@ from rasterlake.sources import readers
 
 col = F.col
 
+
+def _parsed(t):
+    return t.probe.select("asset_id", media.parse_probe(col("js")).alias("p"))
+
+
+
 _DEPTH = """case when pix_fmt like '%f32%' then 32 when pix_fmt like '%f16%' then 16
     when regexp_matches(pix_fmt, 'p[0-9]+(le|be)?$') then cast(regexp_extract(pix_fmt, 'p([0-9]+)(le|be)?$', 1) as int)
     when regexp_matches(pix_fmt, '^(gray|ya)[0-9]+(le|be)?$') then cast(regexp_extract(pix_fmt, '^(gray|ya)([0-9]+)(le|be)?$', 2) as int)
@@ -55,28 +61,29 @@ def _(t):
 @query("c07_peak_from_side_data", """select asset_id, cast(asset_id as double) nits, case when asset_id = 0 then null
     when asset_id % 3 = 0 then 'mastering' else 'content_light' end source from assets""")
 def _(t):
-    peak = media.peak_from_side_data(col("js"))
-    return t.probe.select("asset_id", peak["nits"].alias("nits"), peak["source"].alias("source"))
+    peak = media.peak_from_side_data(col("p"))
+    return _parsed(t).select("asset_id", peak["nits"].alias("nits"), peak["source"].alias("source"))
 
 
 @query("c08_parse_scores", r"""select event_id, cast(concat('0.', 100 + k) as double) ssim_all, cast(concat(k, '.5') as double) ssim_db,
     case when k % 10 = 0 then 'inf'::double else cast(concat(k, '.25') as double) end psnr_avg, 1.5e0 psnr_min, 99e0 psnr_max from docs""")
 def _(t):
-    return t.docs.select("event_id", text.parse_scores(col("txt")).alias("s")).select("event_id", "s.*")
+    lines = t.docs.select("event_id", text.score_lines(col("txt")).alias("lines"))
+    return lines.select("event_id", text.parse_scores(col("lines")).alias("s")).select("event_id", "s.*")
 
 
 @query("c09_display_size", """select asset_id, case when abs(rotation) % 180 = 90 then height else width - crop_x end w,
     case when abs(rotation) % 180 = 90 then width - crop_x else height end h from assets""")
 def _(t):
-    size = media.display_size(col("js"))
-    return t.probe.select("asset_id", size["w"].alias("w"), size["h"].alias("h"))
+    size = media.display_size(col("p"))
+    return _parsed(t).select("asset_id", size["w"].alias("w"), size["h"].alias("h"))
 
 
 @query("c10_tile_grid", """select asset_id, cast(case when asset_id % 2 = 0 then asset_id % 12 else 0 end as int) tiles,
     case when asset_id % 2 = 0 then width * 2 else 0 end w, case when asset_id % 2 = 0 then height * 2 else 0 end h from assets""")
 def _(t):
-    grid = media.tile_grid(col("js"))
-    return t.probe.select("asset_id", grid["tiles"].alias("tiles"), grid["w"].alias("w"), grid["h"].alias("h"))
+    grid = media.tile_grid(col("p"))
+    return _parsed(t).select("asset_id", grid["tiles"].alias("tiles"), grid["w"].alias("w"), grid["h"].alias("h"))
 
 
 @query("c11_fit_longest_edge", """select asset_id, cast(case when greatest(width, height) <= 500 then width when width >= height then 500
@@ -228,3 +235,36 @@ def _(t):
 @query("s02_read_probe_json", "select asset_id, format, width, height, pix_fmt, cast(asset_id % 5 as int) nb_frames from assets")
 def _(t):
     return readers.read_probe_json(t.probe, "js").select("asset_id", "format", "width", "height", "pix_fmt", "nb_frames")
+
+
+# --- fixed values: file heads of known formats, and of none -------------------
+_HEADS = {
+    "png": "89504E470D0A1A0A0000000D", "jpg": "FFD8FFE000104A4649460001", "webp": "524946460000000057454250",
+    "avif": "0000001C6674797061766966", "jxl": "0000000C4A584C200D0A870A", "none": "48656C6C6F20776F726C6421",
+}
+
+
+@query("c39_magic_format", """select page_id, ['png','jpg','webp','avif','jxl',null][page_id % 6 + 1] magic, page_id % 6 <> 5 and page_id % 4 = 0 and page_id % 6 <> 0 mismatch from pages""")
+def _(t):
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS.values()]), (col("page_id") % 6 + 1).cast("int"))
+    files = t.pages.select(
+        "page_id", F.concat(F.unhex(head), F.encode("html", "UTF-8")).alias("content"),
+        F.when(col("page_id") % 4 == 0, "png").otherwise(F.element_at(
+            F.array(*[F.lit(h) for h in _HEADS]), (col("page_id") % 6 + 1).cast("int"))).alias("named"))
+    return files.select("page_id", media.magic_format(col("content")).alias("magic"), "named").withColumn(
+        "mismatch", F.coalesce(col("magic") != col("named"), F.lit(False))).drop("named")
+
+
+@query("s09_read_matrix_csv", """select cast(asset_id as varchar) src, 'd50' dst, case when m0 > 0.4e0 then 'ok' else 'odd' end status, round(m0, 8) m00, round(m4, 8) m11, round(m8, 8) m22,
+    round(abs(m0 + m1 + m2 - 1e0), 8) max_row_sum_dev from mats""")
+def _(t):
+    from rasterlake.session import work_dir
+    folder = work_dir(t.spark, "matrices")
+    cells = [col(f"m{i}").alias(f"m{i // 3}{i % 3}") for i in range(9)]
+    t.mats.select(
+        col("asset_id").cast("string").alias("src"), F.lit("d50").alias("dst"),
+        F.when(col("m0") > 0.4, "ok").otherwise("odd").alias("status"),
+        F.abs(col("m0") + col("m1") + col("m2") - 1.0).alias("maxRowSumDev"), *cells,
+    ).write.option("header", True).csv(folder)
+    return readers.read_matrix_csv(t.spark, folder).select(
+        "src", "dst", "status", *[F.round(c, 8).alias(c) for c in ("m00", "m11", "m22", "max_row_sum_dev")])

@@ -136,7 +136,7 @@ def _(t):
     return jobs.layer_settings(t.options, ["owner", "k"], "ord")
 
 
-@query("j14_target_conflicts", "select asset_id, path, asset_id % 3 = 0 refused from paths")
+@query("j14_target_conflicts", "select asset_id, path, path in (select path from paths where asset_id % 3 = 0) refused from paths")
 def _(t):
     existing = t.paths.selectExpr("case when asset_id % 3 = 0 then path else concat(path, '.bak') end path")
     return jobs.target_conflicts(t.paths.select("asset_id", "path"), existing)

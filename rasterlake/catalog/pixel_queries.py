@@ -253,12 +253,12 @@ def _(t):
     return quality.delta_e_stats(t.pxrgb, _coarse(t.pxrgb)).select("asset_id", r6("mean_de", "mean_de"), r6("max_de", "max_de"))
 
 
-@query("c24_delta_e76", f"select asset_id, round(sum(round(de, 6)), 4) total_de from ({_LAB_SQL}) group by asset_id")
+@query("c24_delta_e76", f"select asset_id, round(sum(de), 4) total_de from ({_LAB_SQL}) group by asset_id")
 def _(t):
     coarse = tuple(c - c % 8 for c in rgb_columns())
     let = color.Stages(t.pxrgb)
     de = let("de", color.delta_e76(rgb_columns(), coarse, _D50, let))
-    return let.df.select("asset_id", r6(de, "de")).groupBy("asset_id").agg(F.round(F.sum("de"), 4).alias("total_de"))
+    return let.df.select("asset_id", de.alias("de")).groupBy("asset_id").agg(F.round(F.sum("de"), 4).alias("total_de"))
 
 
 @query("t03_worst_frames", f"""select asset_id, frame, db, rk from (select *, cast(row_number() over (partition by asset_id order by db, frame) as int) rk from (

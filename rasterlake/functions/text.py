@@ -47,16 +47,23 @@ def last_match(text: Column, pattern: str, group: int) -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
-def parse_scores(text: Column) -> Column:
-    def value(pattern, group):
-        return score(F.nullif(last_match(text, pattern, group), F.lit("")))
+def score_lines(text: Column) -> Column:
+    """The last SSIM and the last PSNR line of an analyser's output."""
+    return F.struct(last_match(text, SSIM_LINE, 0).alias("ssim"), last_match(text, PSNR_LINE, 0).alias("psnr"))
+
+
+def parse_scores(lines: Column) -> Column:
+    """Scores of those two lines, given as a column of its own."""
+
+    def value(line, pattern, group):
+        return score(F.nullif(F.regexp_extract(lines[line], pattern, group), F.lit("")))
 
     return F.struct(
-        value(SSIM_LINE, 1).alias("ssim_all"),
-        value(SSIM_LINE, 2).alias("ssim_db"),
-        value(PSNR_LINE, 1).alias("psnr_avg"),
-        value(PSNR_LINE, 2).alias("psnr_min"),
-        value(PSNR_LINE, 3).alias("psnr_max"),
+        value("ssim", SSIM_LINE, 1).alias("ssim_all"),
+        value("ssim", SSIM_LINE, 2).alias("ssim_db"),
+        value("psnr", PSNR_LINE, 1).alias("psnr_avg"),
+        value("psnr", PSNR_LINE, 2).alias("psnr_min"),
+        value("psnr", PSNR_LINE, 3).alias("psnr_max"),
     )
 
 

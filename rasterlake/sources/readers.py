@@ -69,12 +69,13 @@ def read_probe_json(df: DataFrame, json_col: str) -> DataFrame:
 
 def pick_stream(df: DataFrame, json_col: str) -> DataFrame:
     """Index of the video stream with most frames, the lowest index on ties."""
-    streams = media.parse_probe(F.col(json_col))["streams"]
+    parsed = df.withColumn("__p", media.parse_probe(F.col(json_col)))
+    streams = F.col("__p.streams")
     video = F.filter(F.transform(streams, lambda s, i: F.struct(
         s["nb_frames"].alias("n"), (-F.coalesce(s["index"], i)).alias("neg"), s["codec_type"].alias("t"))),
         lambda s: (s["t"] == "video") & s["n"].isNotNull())
     best = F.array_max(F.transform(video, lambda s: F.struct(s["n"].alias("n"), s["neg"].alias("neg"))))
-    return df.withColumn("stream_index", -best["neg"])
+    return parsed.withColumn("__best", best).withColumn("stream_index", -F.col("__best.neg")).drop("__p", "__best")
 
 
 def tag_dump_rows(docs: DataFrame, json_col: str) -> DataFrame:
