@@ -624,6 +624,19 @@ def _(t):
     return colorspace.transform_pixels(t.pxrgb, plan)
 
 
+@query("r06_transform_volume", f"""with px as (select asset_id, cast(pos % 64 as int) x, pos // 64 y, code r, 255 - code g, code // 2 b from text_px),
+    l as (select asset_id, y, x, {sq_srgb('(r/255e0)')} lr, {sq_srgb('(g/255e0)')} lg, {sq_srgb('(b/255e0)')} lb from px),
+    m as (select asset_id, y, x, {_TM[0]} mr, {_TM[1]} mg, {_TM[2]} mb from l)
+    select asset_id, count(*) n, cast(sum({_TQ[0]}) as bigint) r, cast(sum({_TQ[1]}) as bigint) g, cast(sum({_TQ[2]}) as bigint) b from m group by asset_id""")
+def _(t):
+    px = t.text_px.select(
+        "asset_id", "y", "x", F.col("code").alias("r"), (F.lit(255) - F.col("code")).alias("g"),
+        F.floor(F.col("code") / 2).cast("int").alias("b"))
+    plan = colorspace.Transform(SRGB, named_curve("smpte2084"), matrix=B709_TO_2020, encode_scale=0.0203, dither=True)
+    return colorspace.transform_pixels(px, plan).groupBy("asset_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "rgb"])
+
+
 _TH = [f"cast(least(greatest(floor(floor(least(greatest({sq_srgb_inv(c)},0e0),1e0)*65535e0+0.5e0)/65535e0*255e0+0.5e0),0),255) as int)" for c in ("r", "g", "b")]
 _TB = sq_apply(matrices.between(PRIMARIES["bt2020"], PRIMARIES["bt709"]))
 

@@ -18,14 +18,16 @@ def _flat(df: DataFrame, window: str = "window") -> DataFrame:
     return df.select(F.col(f"{window}.start").alias("win_start"), F.col(f"{window}.end").alias("win_end"), *rest)
 
 
-def _dedup(stream: DataFrame, keys: list[str], spread: Column, parts: int = 64) -> DataFrame:
+def _dedup(stream: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
     """Drop repeats within the watermark in two steps.
 
-    The first step works on (key, part), so the repeats of one busy key are
-    removed by many tasks; at most `parts` rows of it reach the second.
+    The first step works on (key, input split), so the repeats of one busy key
+    are removed by many tasks; at most `parts` rows of it reach the second. The
+    columns kept by the callers are the keys, so it does not matter which
+    repeat survives.
     """
-    first = stream.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts))).dropDuplicatesWithinWatermark(
-        [*keys, "__part"])
+    split = stream.withColumn("__part", F.spark_partition_id() % parts)
+    first = split.dropDuplicatesWithinWatermark([*keys, "__part"])
     return first.drop("__part").dropDuplicatesWithinWatermark(keys)
 
 
@@ -65,7 +67,7 @@ def heartbeat_alerts(stream: DataFrame, timeout_seconds: int = 120, delay: str =
 
 def terminal_dedup(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     ends = stream.where(is_terminal(F.col("status"))).withWatermark("ts", delay)
-    return _dedup(ends, ["item_id"], F.col("event_id")).select("item_id")
+    return _dedup(ends, ["item_id"]).select("item_id")
 
 
 def queue_stall(stream: DataFrame, window_seconds: int = 600, windows: int = 3, delay: str = "10 minutes",
@@ -90,7 +92,7 @@ def log_tail(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def asset_intake(files: DataFrame, retention: str = "24 hours") -> DataFrame:
-    return files.withWatermark("mtime", retention).dropDuplicatesWithinWatermark(["path", "mtime"])
+    return _dedup(files.withWatermark("mtime", retention), ["path", "mtime"])
 
 
 def progress_latest(progress: DataFrame) -> DataFrame:
