@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import matrices
 from rasterlake.functions.chromaticities import PRIMARIES
-from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, from_linear, named_curve, to_linear
+from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, from_linear, inline, named_curve, to_linear
 
 # --- fixed values -------------------------------------------------------------
 LUMA_709 = (0.2126, 0.7152, 0.0722)
@@ -30,11 +30,6 @@ OOTF_NOMINAL_NITS = 1000.0
 RGB = tuple[Column, Column, Column]
 
 
-def inline(name: str, value: Column) -> Column:
-    """Use a step's expression in place; see Stages for long chains."""
-    return value
-
-
 class Stages:
     """Names the steps of a long computation as columns of a DataFrame.
 
@@ -275,5 +270,5 @@ def quantize8(code16: Column, offset: Column | float = 0.0) -> Column:
     return clamp(F.floor(value + 0.5), 0, 255).cast("int")
 
 
-def encode16(linear: Column, curve: Curve) -> Column:
-    return clamp(F.floor(clamp(from_linear(linear, curve), 0.0, 1.0) * 65535.0 + 0.5), 0, 65535).cast("int")
+def encode16(linear: Column, curve: Curve, let=inline) -> Column:
+    return clamp(F.floor(clamp(from_linear(linear, curve, let), 0.0, 1.0) * 65535.0 + 0.5), 0, 65535).cast("int")

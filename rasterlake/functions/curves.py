@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -62,11 +63,16 @@ def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, low), high)
 
 
-def to_linear(x: Column, curve: Curve) -> Column:
+def inline(name: str, value: Column) -> Column:
+    """Use a step's expression in place; color.Stages names it instead."""
+    return value
+
+
+def to_linear(x: Column, curve: Curve, let=inline) -> Column:
     if curve.kind == "linear":
         return x
     if curve.kind == "pq":
-        return pq_to_linear(x)
+        return pq_to_linear(x, let)
     if curve.kind == "hlg":
         return hlg_to_linear(x)
     if curve.kind == "table":
@@ -81,11 +87,11 @@ def to_linear(x: Column, curve: Curve) -> Column:
     )
 
 
-def from_linear(x: Column, curve: Curve) -> Column:
+def from_linear(x: Column, curve: Curve, let=inline) -> Column:
     if curve.kind == "linear":
         return x
     if curve.kind == "pq":
-        return linear_to_pq(x)
+        return linear_to_pq(x, let)
     if curve.kind == "hlg":
         return linear_to_hlg(x)
     if curve.kind == "table":
@@ -106,19 +112,42 @@ def to_linear_by_token(x: Column, token: Column, tokens=None) -> Column:
     return expr
 
 
-def pq_to_linear(x: Column) -> Column:
-    p = F.pow(x, F.lit(1.0 / PQ_M2))
+def pq_to_linear(x: Column, let=inline) -> Column:
+    p = let("p", F.pow(x, F.lit(1.0 / PQ_M2)))
     den = F.lit(PQ_C2) - F.lit(PQ_C3) * p
     num = F.greatest(p - F.lit(PQ_C1), F.lit(0.0))
     return F.when((x <= 0.0) | (den <= 0.0), F.lit(0.0)).otherwise(F.pow(num / den, F.lit(1.0 / PQ_M1)))
 
 
-def linear_to_pq(x: Column) -> Column:
-    y = F.pow(x, F.lit(PQ_M1))
+def linear_to_pq(x: Column, let=inline) -> Column:
+    y = let("pqy", F.pow(x, F.lit(PQ_M1)))
     ratio = (F.lit(PQ_C1) + F.lit(PQ_C2) * y) / (F.lit(1.0) + F.lit(PQ_C3) * y)
     return F.when(x <= 0.0, F.lit(0.0)).otherwise(F.pow(ratio, F.lit(PQ_M2)))
 
 
+def linear_value(x: float, curve: Curve) -> float:
+    """One encoded value in [0, 1] to linear light, outside Spark."""
+    if curve.kind == "linear":
+        return x
+    if curve.kind == "pq":
+        p = x ** (1.0 / PQ_M2)
+        return 0.0 if x <= 0.0 else (max(p - PQ_C1, 0.0) / (PQ_C2 - PQ_C3 * p)) ** (1.0 / PQ_M1)
+    if curve.kind == "hlg":
+        return x * x / 3.0 if x <= 0.5 else (math.exp((x - HLG_C) / HLG_A) + HLG_B) / 12.0
+    g, a, b, c, d, e, f = curve.params
+    return c * x + f if x < d else (a * x + b) ** g + e
+
+
+def decode_codes(code: Column, curve: Curve, top: int = 255) -> Column:
+    """Whole codes 0..top to linear light by a constant table of that size.
+
+    The table is a folded literal, so a pixel costs one array read instead of
+    a power.
+    """
+    table = ", ".join(f"{linear_value(i / top, curve)!r}D" for i in range(top + 1))
+    return F.element_at(F.expr(f"array({table})"), code.cast("int") + 1)
+
+
 def hlg_to_linear(x: Column) -> Column:
     return F.when(x <= 0.5, x * x / 3.0).otherwise(
         (F.exp((x - F.lit(HLG_C)) / F.lit(HLG_A)) + F.lit(HLG_B)) / 12.0

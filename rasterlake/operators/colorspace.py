@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions import color, matrices
-from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, from_linear, to_linear
+from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, decode_codes, from_linear, to_linear
 from rasterlake.functions.media import accepts_cicp, lower_token
 from rasterlake.model import CAPS_FIELDS, PRIMARIES, caps_dim, constant_table, primaries_dim
 
@@ -134,7 +134,9 @@ def transform_pixels(px: DataFrame, plan: Transform, code_max: float = 255.0) ->
     display to scene, clamp, encode and dither, in that order."""
     keep = [c for c in px.columns if c not in "rgb"]
     let = color.Stages(px)
-    rgb = let.triple("lin", [to_linear(F.col(c) / code_max, plan.src) for c in "rgb"])
+    by_table = code_max == 255.0 and plan.src.kind not in ("linear", "table")
+    rgb = let.triple("lin", [
+        decode_codes(F.col(c), plan.src) if by_table else to_linear(F.col(c) / code_max, plan.src, let) for c in "rgb"])
     if plan.src_scene_peak:
         rgb = let.triple("disp", [v / plan.src_scene_peak for v in color.ootf(rgb, plan.src_scene_peak, let)])
     if plan.linear_scale != 1.0:
@@ -151,7 +153,8 @@ def transform_pixels(px: DataFrame, plan: Transform, code_max: float = 255.0) ->
         nits = [v * plan.dst_scene_peak for v in rgb]
         rgb = let.triple("scene", color.ootf_inverse(nits, plan.dst_scene_peak, let))
     offset = color.dither_offset(F.col("x"), F.col("y")) if plan.dither else 0.0
-    out = [color.quantize8(color.encode16(v, plan.dst).cast("double"), offset).alias(c) for v, c in zip(rgb, "rgb")]
+    codes = [color.encode16(v, plan.dst, let).cast("double") for v in rgb]
+    out = [color.quantize8(v, offset).alias(c) for v, c in zip(codes, "rgb")]
     return let.df.select(*keep, *out)
 
 

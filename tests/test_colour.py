@@ -31,6 +31,13 @@ def test_table_round_trip(ramp):
     assert ramp.select(F.max(F.abs(back - F.col("v")))).first()[0] < 1e-9
 
 
+@pytest.mark.parametrize("token", [*curves.PARAMETRIC, "linear", "smpte2084", "arib-std-b67"])
+def test_decode_table_equals_the_curve(spark, token):
+    c = curves.named_curve(token)
+    off = F.abs(curves.decode_codes(F.col("id"), c) - curves.to_linear(F.col("id") / 255.0, c))
+    assert spark.range(256).select(F.max(off)).first()[0] < 1e-12
+
+
 def test_negative_light_is_mirrored(spark):
     c = curves.named_curve("iec61966-2-1")
     row = spark.range(1).select(curves.to_linear(F.lit(-0.5), c).alias("n"), curves.to_linear(F.lit(0.5), c).alias("p")).first()
