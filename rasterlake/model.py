@@ -7,7 +7,8 @@ hint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlake.functions.chromaticities import PRIMARIES, PRIMARIES_ALIASES
@@ -219,8 +220,12 @@ def primaries_dim(spark: SparkSession) -> DataFrame:
     return constant_table(spark, rows, ("alias", "token", "xy", "to_xyz", "d50", "xy_d50"))
 
 
-def caps_dim(spark: SparkSession) -> DataFrame:
-    return constant_table(spark, [(k, *v) for k, v in CONTAINER_CAPS.items()], ("cap_format", *CAPS_FIELDS))
+def caps_map() -> Column:
+    """format -> capability record, as a constant map."""
+    entries = [
+        f"{_literal(k)}, named_struct(" + ", ".join(f"'{f}', {_literal(x)}" for f, x in zip(CAPS_FIELDS, v)) + ")"
+        for k, v in CONTAINER_CAPS.items()]
+    return F.expr("map(" + ", ".join(entries) + ")")
 
 
 def extension_dim(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterlake.functions import color, matrices
 from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, decode_codes, from_linear, to_linear
 from rasterlake.functions.media import accepts_cicp, lower_token
-from rasterlake.model import CAPS_FIELDS, PRIMARIES, caps_dim, constant_table, primaries_dim
+from rasterlake.model import CAPS_FIELDS, PRIMARIES, caps_map, constant_table, primaries_dim
 
 # --- fixed values: identification order and tolerance -------------------------
 KNOWN_SPACES = ("bt709", "bt2020", "smpte432", "smpte431", "bt470bg")
@@ -25,10 +25,10 @@ SDR_SUPERSETS = (
 def lookup_caps(assets: DataFrame, fmt: str = "format") -> DataFrame:
     """Container capabilities; an unknown container gets the most conservative row."""
     token = F.lower(F.ltrim(F.trim(F.col(fmt)), F.lit(".")))
-    joined = assets.join(F.broadcast(caps_dim(assets.sparkSession)), token == F.col("cap_format"), "left")
+    found = assets.withColumn("__caps", F.try_element_at(caps_map(), token))
     filled = [
-        F.coalesce(F.col(f), F.lit(8) if f == "max_bit_depth" else F.lit(False)).alias(f) for f in CAPS_FIELDS]
-    return joined.select(*assets.columns, F.col("cap_format").isNotNull().alias("known_format"), *filled)
+        F.coalesce(F.col(f"__caps.{f}"), F.lit(8) if f == "max_bit_depth" else F.lit(False)).alias(f) for f in CAPS_FIELDS]
+    return found.select(*assets.columns, F.col("__caps").isNotNull().alias("known_format"), *filled)
 
 
 def lookup_primaries(assets: DataFrame, token: str, prefix: str = "") -> DataFrame:

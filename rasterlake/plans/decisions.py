@@ -261,7 +261,7 @@ def default_backend(rows: DataFrame, tools: DataFrame, fmt: str = "format") -> D
     needed = literal_map({"jxl": "Cjxl", "jxr": "Jxr", "dng": "Dng"})
     known = tools.where(F.col("tool").isin("Cjxl", "Jxr", "Dng")).groupBy("tool").agg(
         F.bool_or("available").alias("available"))
-    wanted = rows.withColumn("__tool", F.try_element_at(needed, F.lower(F.col(fmt))))
-    joined = wanted.join(F.broadcast(known), F.col("__tool") == F.col("tool"), "left")
-    return joined.withColumn(
-        "backend", F.when(F.col("available"), F.col("tool")).otherwise("Ffmpeg")).drop("__tool", "tool", "available")
+    # Three entries at most, so one map value serves every row without a join.
+    usable = known.agg(F.map_from_entries(F.collect_list(F.struct("tool", "available")))).scalar()
+    tool = F.try_element_at(needed, F.lower(F.col(fmt)))
+    return rows.withColumn("backend", F.when(F.try_element_at(usable, tool), tool).otherwise("Ffmpeg"))
