@@ -11,9 +11,10 @@ One pass over the texts makes the chunks; one aggregation by digest, combined
 before its shuffle, finds those of two documents or more; one join brings that
 back to the chunks. Neither gathers a digest's chunks, however many they are.
 
-Cases: a null text is an empty one and has no chunks; rows without doc_id count
-as one document, as do rows that repeat an id; an empty table gives an empty
-result; other columns are ignored.
+Cases: a null text is an empty one and has no chunks; rows that share an id are
+one document, though each text has spans of its own; rows without an id are
+compared with the others, but are not documents that make a span repeated; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterlake.llm.textkit import buffers, slices
 from rasterlake.session import work_dir
 
 BITS, LEAST, MOST = 5, 16, 256
-SPAN = 96
+SPAN = 128
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -58,7 +60,7 @@ def cuts(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOS
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of the text's row), at (of the chunk in its text), start, end (bytes), d0, d1 (its digest)."""
+    """doc_id, text_key (64 bits of the text's digest), at (place in the text), start, end (bytes), d0, d1 (the chunk's digest)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,10 +68,11 @@ def chunks(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 data, offsets = buffers(part.column("text"))
                 raw = memoryview(data)
-                doc, at, start, end, digest = [], [], [], [], []
+                doc, key, at, start, end, digest = [], [], [], [], [], []
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     ends = cuts(data[a:b]) if b > a else []
                     doc.append(np.full(len(ends), k))
+                    key.append(np.full(len(ends), int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little", signed=True)))
                     at.append(np.arange(len(ends)))
                     begins = [0, *ends[:-1]]
                     start.append(begins[: len(ends)])
@@ -78,14 +81,14 @@ def chunks(docs: DataFrame) -> DataFrame:
                 d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 flat = lambda x: pa.array(np.concatenate([np.asarray(y, np.int32) for y in x]) if x else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(np.concatenate(doc))), flat(at), flat(start), flat(end), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
-                    names=["doc_id", "at", "start", "end", "d0", "d1"])
+                    [part.column("doc_id").take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(key)), flat(at), flat(start), flat(end), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
+                    names=["doc_id", "text_key", "at", "start", "end", "d0", "d1"])
 
-    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, at int, start int, end int, d0 bigint, d1 bigint")
+    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, text_key bigint, at int, start int, end int, d0 bigint, d1 bigint")
 
 
 def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, start, end (bytes), n_chunks, first_doc (the least doc_id that holds the span's first chunk)
+    """doc_id, text_key, start, end (bytes), n_chunks, first_doc (the least doc_id that holds the span's first chunk)
     of every repeated span."""
     spark = docs.sparkSession
     path = work_dir(spark, "chunks")
@@ -97,12 +100,43 @@ def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     )
     found = every.join(held, ["d0", "d1"])
     # Neighbours in a text: the place less the rank is the same all along a run.
-    by_doc = Window.partitionBy("doc_id").orderBy("at", "start", "end")
-    runs = found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("at")))
-    del by_doc
+    rank = F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("at"))
+    runs = found.withColumn("run", F.col("at") - rank)
     return (
-        runs.groupBy("doc_id", "run").agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"),
+        runs.groupBy("doc_id", "text_key", "run").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("at").alias("n_chunks"),
             F.min_by("first_doc", "at").alias("first_doc"))
         .where(F.col("end") - F.col("start") >= span).drop("run")
     )
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """docs, all columns, with the repeated spans cut out of every document but the one that holds them first."""
+    spans = repeated(docs, span).where("doc_id <> first_doc").groupBy("doc_id", "text_key").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # as many as one text holds
+    kept = docs.schema
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keys = [int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*kept.names, "_key"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                if spans:
+                    raw, at, parts = text.encode(), 0, []
+                    for s in spans:
+                        parts.append(raw[at : s["start"]])
+                        at = s["end"]
+                    # A border may lie inside of a character, whose rest goes too.
+                    text = b"".join([*parts, raw[at:]]).decode(errors="ignore")
+                out.append(text)
+            columns = [pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in kept.names]
+            yield pa.RecordBatch.from_arrays(columns, names=kept.names)
+
+    keyed = docs.mapInArrow(key, T.StructType([*kept.fields, T.StructField("_key", T.LongType())]))
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("spans").alias("_spans"))
+    return keyed.join(spans, (keyed["doc_id"] == spans["_id"]) & (keyed["_key"] == spans["_text"]), "left").mapInArrow(cut, kept)
