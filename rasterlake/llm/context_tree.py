@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from rasterlake.llm.textkit import LOWER, buffers, slices, span_hashes, words
 from rasterlake.session import work_dir
 
-DEPTH = 4
+DEPTH = 5
 COMMON = 22
 TABLE = 1 << 24
 #: Different keys that a counting task holds before it lets them go.
