@@ -28,15 +28,24 @@ from pyspark.sql import functions as F
 
 BUCKETS = 10_000
 THRESHOLD = -0.25
+#: Ids of eight bytes that a broadcast may hold.
+BROADCAST_IDS = 2_000_000
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 _SPACES = "\t\n\x0b\x0c\r"
 
 
+def spaced(text: Column) -> Column:
+    """The text with every space character a blank. Replacing rare characters is far cheaper than translating all."""
+    for c in _SPACES:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words(text: Column) -> Column:
     """Runs of characters outside 0x20 and 0x09-0x0D."""
-    return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def let(value: Column, use) -> Column:
@@ -64,25 +73,23 @@ def repeated_words(w: Column) -> Column:
     return let(windows, lambda h: F.when(none(h), F.lit(0)).otherwise(let(places(h), covered))).cast("long")
 
 
-def grams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all tokens and pairs of neighbouring tokens."""
-    borders = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N} ])|(?<=[^\p{L}\p{N} ])(?=[\p{L}\p{N}])"
-    tokens = words(F.regexp_replace(F.translate(F.lower(text), _SPACES, " " * len(_SPACES)), borders, " "))
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    return let(tokens, lambda t: F.concat(
-        F.transform(t, lambda x: bucket(x)),
-        F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda x, y: bucket(x, y)))
-        .otherwise(F.array().cast("array<int>"))))
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters, digits and characters beyond ASCII, and runs of other signs."""
+    return words(F.regexp_replace(F.lower(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " $0 "))
+
+
+def _bucket(buckets: int, *gram: Column) -> Column:
+    return F.pmod(F.xxhash64(*gram), F.lit(buckets)).cast("int")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES + " ", "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select("doc_id", text.alias("text")).withColumn("w", words(F.col("text"))).select(
         "doc_id", "text", F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("text", _SPACES + " ", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.replace(spaced(F.col("text")), F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
     )
@@ -92,9 +99,16 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(target / raw) of every bucket, counted over all documents."""
     trusted = labels.where(F.col("quality") == 1).select("doc_id").distinct().withColumn("good", F.lit(1))
+    # So few ids go to every task, and no text is shuffled; beyond that, the join shuffles both sides.
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)
     counted = (
         docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-        .select(F.col("good"), F.explode(grams(F.coalesce("text", F.lit("")), buckets)).alias("bucket"))
+        .select("good", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+        # A token with its neighbour, which the last one lacks.
+        .select("good", F.inline(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))))
+        .select("good", F.explode(F.array(_bucket(buckets, F.col("a")), F.when(F.col("b").isNotNull(), _bucket(buckets, F.col("a"), F.col("b"))))).alias("bucket"))
+        .where("bucket is not null")
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
     )
     got = {r["bucket"]: (r["raw"], r["target"]) for r in counted.collect()}  # at most `buckets` rows
@@ -109,8 +123,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> li
 def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The base rules' columns without the text, and score, kept."""
     table = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels, buckets)))), ",").cast("array<double>")
-    sums = let(grams(F.col("text"), buckets), lambda g: F.aggregate(
-        g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.greatest(F.size(g), F.lit(1)))
+    ratio = lambda *gram: F.get(table, _bucket(buckets, *gram))
+    add = lambda a, x: a + x
+    sums = let(tokens(F.col("text")), lambda t: (
+        F.aggregate(F.transform(t, lambda x: ratio(x)), F.lit(0.0), add)
+        + F.aggregate(F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), lambda x, y: F.when(y.isNotNull(), ratio(x, y)).otherwise(0.0)), F.lit(0.0), add)
+    ) / F.greatest(2 * F.size(t) - 1, F.lit(1)))
     return (
         base_rules(docs).withColumn("score", sums).drop("text")
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
