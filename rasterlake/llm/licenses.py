@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.llm.license_texts import KNOWN
+from rasterlake.llm.textexpr import let
 
 # Fixed value: a line that states a copyright or reserves rights, in lower case.
 _COPYRIGHT = r"(?m)^[^a-z\n]*(copyright *(\(c\)|©|[0-9]{4})|\(c\) *[0-9]{4}|©|all rights reserved)[^\n]*$"
@@ -30,7 +31,7 @@ SPELLINGS = (
     ("https", "http"), ("e g", "eg"), ("co operation", "cooperation"), ("merchantibility", "merchantability"),
 )
 #: Every canonical known text holds one of these.
-STEMS = ("licens", "permission", "redistribution", "warranty", "public domain")
+STEMS = ("licens", "licenc", "permission", "redistribution", "warranty", "public domain")
 
 
 def canonical(text: Column) -> Column:
@@ -50,11 +51,9 @@ def known_digests(spark) -> DataFrame:
 
 def units(docs: DataFrame) -> DataFrame:
     """row, doc_id, whole, digest: of each document and of its lines that may be notices."""
-    low = F.translate(F.col("text"), _UPPER, _UPPER.lower())
-    maybe = F.replace(low, F.lit("licenc"), F.lit("licens"))
-    held = lambda c: F.greatest(*(F.contains(c, F.lit(s)).cast("int") for s in STEMS)) == 1
-    rows = docs.select("doc_id", "text").where(held(maybe))
-    lines = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: held(F.replace(F.translate(x, _UPPER, _UPPER.lower()), F.lit("licenc"), F.lit("licens")))))
+    held = lambda c: let(F.lower(c), lambda low: F.greatest(*(F.contains(low, F.lit(s)).cast("int") for s in STEMS)) == 1)
+    rows = docs.select("doc_id", "text").where(held(F.col("text")))
+    lines = F.array_distinct(F.filter(F.split("text", "\n"), held))
     return (
         rows.select("doc_id", F.explode(F.concat(
             F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))),

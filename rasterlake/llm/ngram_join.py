@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterlake.llm.components import components
 from rasterlake.llm.textkit import buffers, gram_hashes, mix, slices, span_hashes, unique_per_doc, words
@@ -247,9 +248,8 @@ def links(docs: DataFrame, signed: DataFrame, n: int, similarity: float, bands:
     )
 
 
-def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least id of its class), n_copies (documents with its text, itself
-    included), n_links (other documents whose n-gram sets are similar, copies included), n_texts (similar other texts)."""
+def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and (node, class_id, root, n_links, n_texts, n_copies) of every different text."""
     spark = docs.sparkSession
     bands, rows = bands_for(similarity, recall)
     path = work_dir(spark, "signatures")
@@ -267,6 +267,32 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0
     )
     named = texts.groupBy("root").agg(F.min("least").alias("class_id"))
     texts = texts.join(named, "root").select(
-        "node", "class_id", "n_copies", F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
+        "node", "root", "class_id", "least", "n_copies", F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
         (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).cast("long").alias("n_links"))
-    return signed.select("doc_id", "node").join(texts, "node").select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
+    return signed.select("doc_id", "node"), texts
+
+
+def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least id of its class), n_copies (documents with its text, itself
+    included), n_links (other documents whose n-gram sets are similar, copies included), n_texts (similar other texts)."""
+    signed, texts = classes(docs, n, similarity, recall)
+    return signed.join(texts, "node").select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """One row of docs, all columns, of each class: of its least doc_id, and among rows of that id, of the least digest."""
+    _, texts = classes(docs, n, similarity, recall)
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("k"))
+    first = first.select(F.col("k.least").alias("_id"), F.col("k.node").alias("_node"))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the chosen id whose text is the chosen one."""
+        for batch in batches:
+            for part in slices(batch):
+                want = part.column("_node").to_pylist()
+                yield part.filter(pa.array([a == b for a, b in zip(_digests(part.column("text")), want, strict=True)]))
+
+    found = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]))
+    kept = [*docs.columns, "_node"]
+    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())])
+    return found.select(*kept).mapInArrow(same, schema).dropDuplicates(["_node"]).drop("_node")

@@ -26,6 +26,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlake.llm.textexpr import let
+
 BUCKETS = 10_000
 THRESHOLD = -0.25
 #: Ids of eight bytes that a broadcast may hold.
@@ -48,11 +50,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " "), "")
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once a row."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def repeated_words(w: Column) -> Column:
     """Words that lie in a window found twice or more; most texts end at the test for any repeat."""
     windows = F.when(F.size(w) >= WINDOW, F.transform(
@@ -120,16 +117,29 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> li
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """The base rules' columns without the text, and score, kept."""
-    table = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels, buckets)))), ",").cast("array<double>")
-    ratio = lambda *gram: F.get(table, _bucket(buckets, *gram))
+def mean_ratio(text: Column, table: list[float]) -> Column:
+    """The mean log-ratio over a text's n-grams; 0 without any."""
+    values = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
+    ratio = lambda *gram: F.get(values, _bucket(len(table), *gram))
     add = lambda a, x: a + x
-    sums = let(tokens(F.col("text")), lambda t: (
+    return let(tokens(text), lambda t: (
         F.aggregate(F.transform(t, lambda x: ratio(x)), F.lit(0.0), add)
         + F.aggregate(F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), lambda x, y: F.when(y.isNotNull(), ratio(x, y)).otherwise(0.0)), F.lit(0.0), add)
     ) / F.greatest(2 * F.size(t) - 1, F.lit(1)))
+
+
+def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The base rules' columns without the text, and score, kept."""
+    sums = mean_ratio(F.col("text"), log_ratios(docs, labels, buckets))
     return (
         base_rules(docs).withColumn("score", sums).drop("text")
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     )
+
+
+def keep(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, that the rules keep. The ratio is worked out for what passes the base rules."""
+    text = F.coalesce("text", F.lit(""))
+    passes = let(words(text), lambda w: F.when(F.size(w) < MIN_WORDS, F.lit(False)).otherwise(
+        100 * repeated_words(w) <= REPEAT_PERCENT * F.size(w)))
+    return docs.where(F.when(passes, mean_ratio(text, log_ratios(docs, labels, buckets)) >= threshold).otherwise(False))

@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     """The tokenizer's place; every machine has the package that names it."""
     import public_tokenizers
 
@@ -55,7 +55,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "tokens")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), path, _tokenizer(), end_id=2)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
     return token_files.ids_crc32(token_files.read_starts(spark, path), ("doc_id", "start", "n_tokens"))
 
 
@@ -86,4 +86,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer(), size=2048, end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=0)

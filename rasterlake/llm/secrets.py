@@ -24,6 +24,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlake.llm.textexpr import let
+
 #: More alternatives than this become a gap, of which nothing is known.
 ALTERNATIVES = 64
 
@@ -90,7 +92,9 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
     """An OR of sets of lower-case trigrams, one of which every match holds whole; None: no such query."""
     found = set()
     for shape in _shapes(_parser.parse(regex)):
-        grams = frozenset(run[i : i + 3] for run in shape.lower().split(_GAP) for i in range(len(run) - 2))
+        # Every third trigram and the last cover a run of letters; the others would say little more.
+        runs = [run for run in shape.lower().split(_GAP) if len(run) > 2]
+        grams = frozenset(run[i : i + 3] for run in runs for i in {*range(0, len(run) - 2, 3), len(run) - 3})
         if not grams:
             return None
         found.add(grams)
@@ -100,9 +104,8 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """trigram, doc_id: the inverted index for these trigrams over all texts."""
-    low = F.lower("text")
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(
-        *(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))).alias("trigram")).distinct()
+    held = lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
+    return docs.select("doc_id", F.explode(let(F.lower("text"), held)).alias("trigram")).distinct()
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -143,7 +146,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     matches = F.regexp_extract_all(text, pattern, 0)
     values = F.regexp_extract_all(text, pattern, rule.group) if rule.group else matches
     parts = F.struct(matches.alias("m"), values.alias("v"), F.split(text, rule.regex).alias("gaps"))
-    return F.when(text.rlike(rule.regex), F.get(F.transform(F.array(parts), place), 0)).otherwise(empty)
+    return F.when(text.rlike(rule.regex), let(parts, place)).otherwise(empty)
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -181,8 +184,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substr(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]),
                                                      F.lit("["), s["kind"], F.lit("]")).alias("out"))))
     whole = F.when(F.size("found") == 0, F.col("text")).otherwise(
-        F.get(F.transform(F.array(cut), lambda c: F.concat(c["out"], F.substr(F.col("text"), c["pos"] + 1, F.length("text")))), 0))
-    return find(docs, rules).withColumn("text", whole).select(*docs.columns)
+        let(cut, lambda c: F.concat(c["out"], F.substr(F.col("text"), c["pos"] + 1, F.length("text")))))
+    out = find(docs, rules).withColumn("text", whole)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def _sql() -> str:
