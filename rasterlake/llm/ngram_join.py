@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlake.llm.components import components
+from rasterlake.llm.textexpr import fresh
 from rasterlake.llm.textkit import buffers, gram_hashes, mix, slices, span_hashes, unique_per_doc, words
 from rasterlake.session import work_dir
 
@@ -283,16 +284,16 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: fl
     """One row of docs, all columns, of each class: of its least doc_id, and among rows of that id, of the least digest."""
     _, texts = classes(docs, n, similarity, recall)
     first = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("k"))
-    first = first.select(F.col("k.least").alias("_id"), F.col("k.node").alias("_node"))
+    own_id, own_node = fresh(docs.columns, "own_id", "own_node")
+    first = first.select(F.col("k.least").alias(own_id), F.col("k.node").alias(own_node))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of the chosen id whose text is the chosen one."""
         for batch in batches:
             for part in slices(batch):
-                want = part.column("_node").to_pylist()
-                yield part.filter(pa.array([a == b for a, b in zip(_digests(part.column("text")), want, strict=True)]))
+                want = part.column(own_node).to_pylist()
+                yield part.filter(pa.array([a == b for a, b in zip(_digests(part.column("text")), want, strict=True)], pa.bool_()))
 
-    found = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]))
-    kept = [*docs.columns, "_node"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())])
-    return found.select(*kept).mapInArrow(same, schema).dropDuplicates(["_node"]).drop("_node")
+    found = docs.join(first, docs["doc_id"].eqNullSafe(first[own_id]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(own_node, T.BinaryType())])
+    return found.select(*docs.columns, own_node).mapInArrow(same, schema).dropDuplicates([own_node]).drop(own_node)

@@ -61,7 +61,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_secret_scan", secrets.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+    return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 @query("op6_substring_dedup")

@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.textexpr import let
+from rasterlake.llm.textexpr import fresh, let
 
 #: More alternatives than this become a gap, of which nothing is known.
 ALTERNATIVES = 64
@@ -149,19 +149,20 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.regex), let(parts, place)).otherwise(empty)
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of docs and `found`: array of (start, k, kind, end) by start, then rule."""
-    hits = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules).withColumnRenamed("doc_id", "_hit_id")
-    rows = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit_id"]), "left")
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "found") -> DataFrame:
+    """All columns of docs and, by that name, an array of (start, k, kind, end) by start, then rule."""
+    hit, kinds = fresh([*docs.columns, name], "hit_id", "kinds")
+    hits = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules).toDF(hit, kinds)
+    rows = docs.join(hits, docs["doc_id"].eqNullSafe(hits[hit]), "left")
     text = F.coalesce(docs["text"], F.lit(""))
     empty = F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>")
     every = []
     for order, rule in enumerate(rules):
         spans = spans_of(text, rule, order)
         if trigram_query(rule.regex):
-            spans = F.when(F.array_contains("kinds", rule.kind), spans).otherwise(empty)
+            spans = F.when(F.array_contains(kinds, rule.kind), spans).otherwise(empty)
         every.append(spans)
-    return rows.withColumn("found", F.array_sort(F.concat(*every))).drop("_hit_id", "kinds")
+    return rows.withColumn(name, F.array_sort(F.concat(*every))).drop(hit, kinds)
 
 
 def joined(found: Column) -> Column:
@@ -169,25 +170,27 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of the base spans and all spans as text."""
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return find(docs.select("doc_id", "text"), rules).select(
+        "doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every span's text replaced by [kind]; of overlapping spans, the earlier hides both."""
+    """docs with every span's text replaced by [kind]; of overlapping spans, the earlier hides both. n_chars follows the text."""
+    [found] = fresh(docs.columns, "found")
     cut = F.aggregate(
-        "found", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
+        found, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substr(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]),
                                                      F.lit("["), s["kind"], F.lit("]")).alias("out"))))
-    whole = F.when(F.size("found") == 0, F.col("text")).otherwise(
+    whole = F.when(F.size(found) == 0, F.col("text")).otherwise(
         let(cut, lambda c: F.concat(c["out"], F.substr(F.col("text"), c["pos"] + 1, F.length("text")))))
-    out = find(docs, rules).withColumn("text", whole)
+    out = find(docs, rules, found).withColumn("text", whole)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size(found) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlake.llm.textexpr import fresh
 from rasterlake.llm.textkit import buffers, slices
 from rasterlake.session import work_dir
 
@@ -115,17 +116,18 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     spans = repeated(docs, span).where("doc_id <> first_doc").groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # as many as one text holds
     kept = docs.schema
+    own_key, own_id, own_text, own_spans = fresh(docs.columns, "own_key", "own_id", "own_text", "own_spans")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             keys = [int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*kept.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*kept.names, own_key])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(own_spans).to_pylist(), strict=True):
                 if spans:
                     raw, at, parts = text.encode(), 0, []
                     for s in spans:
@@ -137,6 +139,6 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             columns = [pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in kept.names]
             yield pa.RecordBatch.from_arrays(columns, names=kept.names)
 
-    keyed = docs.mapInArrow(key, T.StructType([*kept.fields, T.StructField("_key", T.LongType())]))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("spans").alias("_spans"))
-    return keyed.join(spans, (keyed["doc_id"] == spans["_id"]) & (keyed["_key"] == spans["_text"]), "left").mapInArrow(cut, kept)
+    keyed = docs.mapInArrow(key, T.StructType([*kept.fields, T.StructField(own_key, T.LongType())]))
+    spans = spans.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text), F.col("spans").alias(own_spans))
+    return keyed.join(spans, (keyed["doc_id"] == spans[own_id]) & (keyed[own_key] == spans[own_text]), "left").mapInArrow(cut, kept)

@@ -11,3 +11,13 @@ from pyspark.sql import functions as F
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once a row."""
     return F.get(F.transform(F.array(value), use), 0)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as set it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
