@@ -52,9 +52,10 @@ def words(text: Column) -> Column:
 
 def repeated_words(w: Column) -> Column:
     """Words that lie in a window found twice or more; most texts end at the test for any repeat."""
-    windows = F.when(F.size(w) >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)),
-        lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+    def windows(w: Column) -> Column:
+        return F.when(F.size(w) >= WINDOW, F.transform(
+            F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)),
+            lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
 
     def places(hashes: Column) -> Column:
         """Ascending places of the windows that have an equal one."""
@@ -67,7 +68,9 @@ def repeated_words(w: Column) -> Column:
         p, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), x - acc["last"])).alias("n")))["n"]
     none = lambda h: F.size(F.array_distinct(h)) == F.size(h)
-    return let(windows, lambda h: F.when(none(h), F.lit(0)).otherwise(let(places(h), covered))).cast("long")
+    count = lambda h: F.when(none(h), F.lit(0)).otherwise(let(places(h), covered))
+    # The words are bound too: a filter pushed below would else put their making into every step.
+    return let(w, lambda v: let(windows(v), count)).cast("long")
 
 
 def tokens(text: Column) -> Column:
