@@ -227,6 +227,24 @@ class Lookup:
         return out, hit
 
 
+_tables: dict[str, Lookup] = {}
+
+
+def _table(name: str, held) -> Lookup:
+    """The table of a broadcast pair of arrays, built once per worker."""
+    if name not in _tables:
+        for old in list(_tables)[:-1]:
+            del _tables[old]
+        _tables[name] = Lookup.of(*held.value)
+    return _tables[name]
+
+
+def _sent(rows: DataFrame, key: str, value: str):
+    """Two columns of a bounded table, broadcast as plain arrays."""
+    got = rows.select(F.col(key).cast("long"), F.col(value).cast("double")).toPandas()
+    return rows.sparkSession.sparkContext.broadcast((got[key].to_numpy(np.int64), got[value].to_numpy(np.float64)))
+
+
 def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
@@ -248,20 +266,22 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7, depth: int = DEPTH) ->
     code_lengths(counted.where(F.col("kind") == _GRAM).select("key", "n"), depth).write.parquet(path)
     lengths = spark.read.parquet(path)
     blocks = -(-lengths.count() // TABLE) or 1
-    common = term.where(F.col("c") * (1 << COMMON) >= n).toPandas()  # at most 2**COMMON rows
-    held_terms = spark.sparkContext.broadcast(Lookup.of(common["word"].to_numpy(np.int64), common["c"].to_numpy(np.float64)))
+    terms = _sent(term.where(F.col("c") * (1 << COMMON) >= n), "word", "c")  # at most 2**COMMON rows
     doc_id = docs.schema["doc_id"]
     schema = T.StructType([
         T.StructField("doc_id", doc_id.dataType), *(T.StructField(c, t) for c, t in (
             ("row", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_bytes", T.LongType()), ("n_known", T.LongType()),
             ("base", T.DoubleType()), ("score", T.DoubleType()), ("word", T.LongType()), ("n", T.LongType())))])
 
+    path = work_dir(spark, "scores")
+
     def run(block: int):
-        own = lengths.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toPandas()  # about TABLE rows at most
-        table = spark.sparkContext.broadcast(Lookup.of(own["key"].to_numpy(np.int64), own["log10p"].to_numpy(np.float64)))
+        grams = _sent(lengths.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block), "key", "log10p")  # about TABLE rows
+        name = f"{path}/{block}"
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = TaskContext.get().partitionId() << 33
+            known_terms, table = _table(f"{name}/terms", terms), _table(name, grams)
             for batch in batches:
                 for part in slices(batch):
                     data, offsets = buffers(part.column("text"))
@@ -270,7 +290,7 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7, depth: int = DEPTH) ->
                     m = part.num_rows
                     rows = np.arange(row, row + m)
                     row += m
-                    got = _per_text(table.value.get(key)[0], bounds)
+                    got = _per_text(table.get(key)[0], bounds)
                     zero, nothing = np.zeros(m, np.int64), pa.nulls(m, pa.int64())
                     if block:
                         yield pa.RecordBatch.from_arrays([
@@ -279,7 +299,7 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7, depth: int = DEPTH) ->
                         continue
                     w = words(data, offsets)
                     h = span_hashes(data, w.starts, w.ends).view(np.int64)
-                    c, known = held_terms.value.get(h)
+                    c, known = known_terms.get(h)
                     logs = np.where(known, np.log10(c + 1) - base, 0.0)
                     end = math.log10(texts + 1) - base
                     yield pa.RecordBatch.from_arrays([
@@ -299,7 +319,6 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7, depth: int = DEPTH) ->
 
         return docs.select("doc_id", _held_out(held, folds).alias("held_out"), "text").mapInArrow(each, schema)
 
-    path = work_dir(spark, "scores")
     for block in range(blocks):
         run(block).write.parquet(f"{path}/{block}")
     scored = spark.read.parquet(f"{path}/0")
