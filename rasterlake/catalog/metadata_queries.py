@@ -11,7 +11,7 @@ from rasterlake.session import work_dir
 from rasterlake.sources import readers, writers
 
 col = F.col
-_CAMERA = "('Make','Model','ISO','FocalLength')"
+_CAMERA = "('Make','Model','ISO','FocalLength','FNumber','ExposureTime')"
 
 
 @query("s03_read_tag_dump", "select concat('/in/', asset_id, '.jpg') file, grp, tag, value from tags")
@@ -58,7 +58,7 @@ def _(t):
 @query("j15_tag_coverage_diff", """select *, case when status = 'differs' then round(abs(try_cast(src_value as double)-try_cast(dst_value as double))/greatest(abs(try_cast(src_value as double)),1e-9), 6) end rel_dev
     from (select coalesce(s.asset_id, d.asset_id) asset_id, coalesce(s.grp, d.grp) grp, coalesce(s.tag, d.tag) tag, s.value src_value, d.value dst_value,
     case when s.value is null then 'extra' when s.value = d.value then 'present' when d.value is not null then 'differs'
-    when s.tag = 'FocalLength' and s.value = '0' then 'empty_skipped' when s.tag = 'ISO' then 'waived' else 'missing' end status
+    when s.tag = 'FocalLength' and s.value = '0' or s.tag = 'FNumber' and s.value = 'undef (0/0)' then 'empty_skipped' when s.tag = 'ISO' then 'waived' else 'missing' end status
     from tags s full join product_tags d on s.asset_id = d.asset_id and s.grp = d.grp and s.tag = d.tag)""")
 def _(t):
     out = metadata.tag_coverage_diff(t.tags, t.product_tags, waived=("ISO",))
@@ -105,7 +105,7 @@ def _(t):
     return metadata.version_diff(t.tags, t.product_tags)
 
 
-@query("u05_missing_required", """select asset_id, tag from tags where value not in ('', '0') and tag <> 'Label'
+@query("u05_missing_required", """select asset_id, tag from tags where not (tag = 'FocalLength' and value = '0' or tag = 'FNumber' and value = 'undef (0/0)') and tag <> 'Label'
     except select asset_id, tag from product_tags""")
 def _(t):
     return metadata.missing_required(t.tags, t.product_tags, waived=("Label",))

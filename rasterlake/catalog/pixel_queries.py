@@ -169,13 +169,20 @@ def _(t):
 
 
 # --- quality -------------------------------------------------------------------
-@query("a01_psnr", f"""select asset_id, sse, n, {sq_psnr('sse', 'n', 255)} psnr from (
+@query("a01_psnr", f"""select asset_id, sse, n, {sq_psnr('sse', 'n', 255)} psnr, 'ok' status from (
     select asset_id, cast(sum((code-code2)*(code-code2)) as bigint) sse, count(*) n from px8f group by asset_id)""")
 def a01_psnr(t):
     return quality.psnr(t.ref, t.enc).withColumn("psnr", r6("psnr"))
 
 
-@query("a01_psnr_tiles", f"""select asset_id, sse, n, {sq_psnr('sse', 'n', 255)} psnr from (
+@query("a01_psnr_truncated", f"""select asset_id, case when cut = 0 then sse end sse, n, case when cut = 0 then {sq_psnr('sse', 'n', 255)} end psnr,
+    case when cut = 0 then 'ok' else 'length_mismatch' end status from (
+    select asset_id, cast(sum((code-code2)*(code-code2)) as bigint) sse, count(*) n, count(case when asset_id % 3 = 0 and frame = 1 and x > 5 then 1 end) cut from px8f group by asset_id)""")
+def _(t):
+    return quality.psnr(t.ref, t.enc.where("not (asset_id % 3 = 0 and frame = 1 and x > 5)")).withColumn("psnr", r6("psnr"))
+
+
+@query("a01_psnr_tiles", f"""select asset_id, sse, n, {sq_psnr('sse', 'n', 255)} psnr, 'ok' status from (
     select asset_id, cast(sum((code % 16) * (code % 16)) as bigint) sse, count(*) n from px8 group by asset_id)""")
 def _(t):
     tiles = t.rasters.select("asset_id", F.lit(0).alias("tile"), F.col("codes").alias("samples"))
@@ -183,20 +190,22 @@ def _(t):
     return quality.psnr_tiles(tiles, coarse).withColumn("psnr", r6("psnr"))
 
 
-@query("a01_psnr_buffers", f"""select asset_id, sse, n, {sq_psnr('sse', 'n', 255)} psnr from (
+@query("a01_psnr_buffers", f"""select asset_id, case when asset_id % 7 <> 0 then sse end sse, case when asset_id % 7 <> 0 then n else 0 end n,
+    case when asset_id % 7 <> 0 then {sq_psnr('sse', 'n', 255)} end psnr, case when asset_id % 7 <> 0 then 'ok' else 'length_mismatch' end status from (
     select asset_id, count(case when code between 97 and 104 then 1 end) sse, count(*) n from text_px group by asset_id)""")
 def _(t):
-    ref = t.buffers.select("asset_id", "part", "buf")
+    # Every seventh image lost its last byte.
+    ref = t.buffers.select("asset_id", "part", F.when(F.col("asset_id") % 7 == 0, F.substr("buf", F.lit(1), F.octet_length("buf") - 1)).otherwise(F.col("buf")).alias("buf"))
     enc = t.buffers.select("asset_id", "part", F.col("buf2").alias("buf"))
     return quality.psnr_buffers(ref, enc).withColumn("psnr", r6("psnr"))
 
 
 @query("a02_psnr_multiframe", f"""select asset_id, count(*) frames, {sq_psnr('sum(sse)', 'sum(n)', 255)} avg_db,
-    min({sq_psnr('sse', 'n', 255)}) min_db, max({sq_psnr('sse', 'n', 255)}) max_db from (
+    min({sq_psnr('sse', 'n', 255)}) min_db, max({sq_psnr('sse', 'n', 255)}) max_db, 'ok' status from (
     select asset_id, frame, cast(sum((code-code2)*(code-code2)) as bigint) sse, count(*) n from px8f group by asset_id, frame) group by asset_id""")
 def _(t):
     return quality.psnr_multiframe(t.ref, t.enc).select(
-        "asset_id", "frames", r6("avg_db", "avg_db"), r6("min_db", "min_db"), r6("max_db", "max_db"))
+        "asset_id", "frames", r6("avg_db", "avg_db"), r6("min_db", "min_db"), r6("max_db", "max_db"), "status")
 
 
 @query("a03_psnr16", f"""select asset_id, {sq_psnr('sse', 'n', 65535)} psnr from (
@@ -216,7 +225,7 @@ def _(t):
         "asset_id", "blocks", r6("ssim", "ssim"), F.round("ssim_db", 4).alias("ssim_db"))
 
 
-@query("a05_max_abs_diff", "select asset_id, max(abs(code - code2)) max_abs from px8f group by asset_id")
+@query("a05_max_abs_diff", "select asset_id, max(abs(code - code2)) max_abs, 'ok' status from px8f group by asset_id")
 def _(t):
     return quality.max_abs_diff(t.ref, t.enc)
 
@@ -248,9 +257,9 @@ def _coarse(px):
     return px.select("asset_id", "y", "x", *[(F.col(c) - F.col(c) % 8).alias(c) for c in "rgb"])
 
 
-@query("a06_delta_e_stats", f"select asset_id, round(avg(de), 6) mean_de, round(max(de), 6) max_de from ({_LAB_SQL}) group by asset_id")
+@query("a06_delta_e_stats", f"select asset_id, round(avg(de), 6) mean_de, round(max(de), 6) max_de, 'ok' status from ({_LAB_SQL}) group by asset_id")
 def _(t):
-    return quality.delta_e_stats(t.pxrgb, _coarse(t.pxrgb)).select("asset_id", r6("mean_de", "mean_de"), r6("max_de", "max_de"))
+    return quality.delta_e_stats(t.pxrgb, _coarse(t.pxrgb)).select("asset_id", r6("mean_de", "mean_de"), r6("max_de", "max_de"), "status")
 
 
 @query("c24_delta_e76", f"select asset_id, round(sum(de), 4) total_de from ({_LAB_SQL}) group by asset_id")

@@ -94,12 +94,13 @@ VIEWS: dict[str, str] = {
     "paths": """select page_id asset_id, concat('/', regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '.', ext) path,
         concat('img', page_id % 9) stem, ext, length(html) size from (select *, case page_id % 7 when 0 then 'jpg' when 1 then 'png'
         when 2 then 'webp' when 3 then 'avif' when 4 then 'jxl' when 5 then 'heic' else 'mp4' end ext from pages)""",
-    "tags": """select p_partkey asset_id, unnest(['IFD0','IFD0','ExifIFD','ExifIFD','ExifIFD','GPS','XMP','ICC_Profile']) grp,
-        unnest(['Make','Model','ISO','DateTimeOriginal','FocalLength','GPSLatitude','Label','ProfileDescription']) tag,
+    "tags": """select p_partkey asset_id, unnest(['IFD0','IFD0','ExifIFD','ExifIFD','ExifIFD','ExifIFD','ExifIFD','GPS','XMP','ICC_Profile']) grp,
+        unnest(['Make','Model','ISO','DateTimeOriginal','FocalLength','FNumber','ExposureTime','GPSLatitude','Label','ProfileDescription']) tag,
         unnest([p_brand, p_name, cast(p_size as varchar), concat('2024-01-', p_size), cast(p_size % 3 as varchar),
+        case when p_size % 4 = 0 then 'undef (0/0)' else cast(p_size % 4 as varchar) end, cast(p_size % 2 as varchar),
         cast(p_size * 2 as varchar), p_type, p_type]) as value from part""",
     "product_tags": """select asset_id, grp,
-        case when tag in ('ISO','FocalLength') and asset_id % 3 = 0 then concat('Legacy', tag) else tag end tag,
+        case when tag in ('ISO','FocalLength','FNumber','ExposureTime') and asset_id % 3 = 0 then concat('Legacy', tag) else tag end tag,
         case when tag = 'GPSLatitude' and asset_id % 5 = 0 then cast(cast(value as int) + 1 as varchar) else value end as value
         from tags union all select p_partkey, 'XMP', 'Tool', p_name from part""",
     "ledger": """select asset_id, grp, tag, value, case when grp='GPS' then 'position' when grp='XMP' then 'text'

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from rasterlake.operators import ordered
 from rasterlake.operators.pixels import split_frames, unpack_bytes, unpack_pixels
-from rasterlake.operators.skew import spread
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -61,7 +60,7 @@ class Tables:
     def buffers(self) -> DataFrame:
         """Raw bytes of each document as an 8-bit buffer, and a rendition in
         which some letters are replaced by their neighbours."""
-        docs = spread(self.documents.select("doc_id", "text"))
+        docs = self.documents.select("doc_id", "text")
         return docs.select(
             F.col("doc_id").alias("asset_id"), F.lit(0).alias("part"), F.encode("text", "UTF-8").alias("buf"),
             F.encode(F.translate("text", "abcdefgh", "bcdefghi"), "UTF-8").alias("buf2"))
@@ -141,8 +140,9 @@ class Tables:
             "asset_id",
             """concat('{"format":{"format_name":"', format, '"},"streams":[{"codec_type":"audio","index":0},'
             , '{"codec_type":"video","index":1,"width":', width, ',"height":', height, ',"pix_fmt":"', pix_fmt
-            , '","nb_frames":', asset_id % 5, '},{"codec_type":"video","index":2,"width":64,"height":64,"nb_frames":', asset_id % 3
-            , '}],"frames":[{"side_data_list":[{"rotation":', rotation, '},{"crop_left":', crop_x, '},{"'
+            , '","nb_frames":', asset_id % 5, ',"side_data_list":[{"side_data_type":"ICC Profile","crop_left":7},{"side_data_type":"Frame Cropping","crop_left":', crop_x
+            , '}]},{"codec_type":"video","index":2,"width":64,"height":64,"nb_frames":', asset_id % 3
+            , '}],"frames":[{"side_data_list":[{"side_data_type":"EXIF metadata","rotation":90,"crop_left":3},{"side_data_type":"3x3 displaymatrix","rotation":', rotation, '},{"'
             , case when asset_id % 3 = 0 then 'max_luminance' else 'max_content' end, '":"', asset_id * 10000, '/10000"}]}],'
             , '"stream_groups":[{"type":"', case when asset_id % 2 = 0 then 'Tile Grid' else 'other' end
             , '","components":[{"nb_tiles":', asset_id % 12, ',"width":', width * 2, ',"height":', height * 2, '}]}]}') js""")
@@ -168,8 +168,9 @@ class Tables:
     def tags_with_make(self) -> DataFrame:
         return self.part.selectExpr(
             "p_partkey asset_id", "p_brand make",
-            "stack(8, 'IFD0', 'Make', p_brand, 'IFD0', 'Model', p_name, 'ExifIFD', 'ISO', cast(p_size as string), "
+            "stack(10, 'IFD0', 'Make', p_brand, 'IFD0', 'Model', p_name, 'ExifIFD', 'ISO', cast(p_size as string), "
             "'ExifIFD', 'DateTimeOriginal', concat('2024-01-', p_size), 'ExifIFD', 'FocalLength', cast(p_size % 3 as string), "
+            "'ExifIFD', 'FNumber', if(p_size % 4 = 0, 'undef (0/0)', cast(p_size % 4 as string)), 'ExifIFD', 'ExposureTime', cast(p_size % 2 as string), "
             "'GPS', 'GPSLatitude', cast(p_size * 2 as string), 'XMP', 'Label', p_type, "
             "'ICC_Profile', 'ProfileDescription', p_type) as (grp, tag, value)")
 
@@ -178,7 +179,7 @@ class Tables:
         """What the product holds: some tags lost, some changed, one added."""
         kept = self.tags.selectExpr(
             "asset_id", "grp",
-            "case when tag in ('ISO', 'FocalLength') and asset_id % 3 = 0 then concat('Legacy', tag) else tag end tag",
+            "case when tag in ('ISO', 'FocalLength', 'FNumber', 'ExposureTime') and asset_id % 3 = 0 then concat('Legacy', tag) else tag end tag",
             "case when tag = 'GPSLatitude' and asset_id % 5 = 0 then cast(cast(value as int) + 1 as string) else value end value")
         return kept.unionByName(self.part.selectExpr("p_partkey asset_id", "'XMP' grp", "'Tool' tag", "p_name value"))
 

@@ -5,17 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: number shape and score lines of the analyser ---------------
-NUMBER = r"(?:inf|nan|-?[0-9]+(?:[.][0-9]+)?)"
-SSIM_LINE = (
-    r"(?i)SSIM\s+(?:[YUVRGB]:" + NUMBER + r"\s*)*All:\s*(" + NUMBER + r")(?:\s*\((" + NUMBER + r")\s*(?:dB)?\s*\))?"
-)
-PSNR_LINE = (
-    r"(?i)PSNR\s+(?:[YUVRGB]:" + NUMBER + r"\s*)*average:\s*(" + NUMBER
-    + r")(?:\s*min:\s*(" + NUMBER + r"))?(?:\s*max:\s*(" + NUMBER + r"))?"
-)
-
-
 def format_size(size: Column) -> Column:
     kb, mb, gb = 1024, 1024**2, 1024**3
     return (
@@ -47,23 +36,36 @@ def last_match(text: Column, pattern: str, group: int) -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
+def _last_line(text: Column, label: str, total: str) -> Column:
+    """What follows the label in the last line that has it and, behind it, the total."""
+    low = F.lower(text)
+    lines = F.filter(F.split(low, "\n"), lambda x: x.contains(label) & F.substring_index(x, label, -1).contains(f"{total}:"))
+    return F.substring_index(F.try_element_at(lines, F.lit(-1)), label, -1)
+
+
 def score_lines(text: Column) -> Column:
-    """The last SSIM and the last PSNR line of an analyser's output."""
-    return F.struct(last_match(text, SSIM_LINE, 0).alias("ssim"), last_match(text, PSNR_LINE, 0).alias("psnr"))
+    """The last SSIM and the last PSNR line of an analyser's output, behind their labels."""
+    return F.struct(_last_line(text, "ssim", "all").alias("ssim"), _last_line(text, "psnr", "average").alias("psnr"))
 
 
-def parse_scores(lines: Column) -> Column:
-    """Scores of those two lines, given as a column of its own."""
+def _named(line: Column, name: str) -> Column:
+    """The number given as `name: number`, wherever it stands among the others of a line."""
+    said = F.ltrim(F.substring_index(F.concat(F.lit(" "), line), f"{name}:", -1))
+    number = F.regexp_extract(said, "^([^ (),;\t\r]+)", 1)
+    return F.when(line.contains(f"{name}:"), score(number))
 
-    def value(line, pattern, group):
-        return score(F.nullif(F.regexp_extract(lines[line], pattern, group), F.lit("")))
 
+def parse_scores(lines: Column) -> Column:
+    """Scores of those two lines, given as a column of its own. The first number in brackets is the SSIM's dB."""
+    ssim, psnr = lines["ssim"], lines["psnr"]
+    behind = F.substring_index(ssim, "all:", -1)
+    bracket = F.regexp_extract(behind, "[(]\\s*([^ )d]+)", 1)
     return F.struct(
-        value("ssim", SSIM_LINE, 1).alias("ssim_all"),
-        value("ssim", SSIM_LINE, 2).alias("ssim_db"),
-        value("psnr", PSNR_LINE, 1).alias("psnr_avg"),
-        value("psnr", PSNR_LINE, 2).alias("psnr_min"),
-        value("psnr", PSNR_LINE, 3).alias("psnr_max"),
+        _named(ssim, "all").alias("ssim_all"),
+        score(F.nullif(bracket, F.lit(""))).alias("ssim_db"),
+        _named(psnr, "average").alias("psnr_avg"),
+        _named(psnr, "min").alias("psnr_min"),
+        _named(psnr, "max").alias("psnr_max"),
     )
 
 

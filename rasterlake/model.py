@@ -152,6 +152,7 @@ BENCH_SCHEMA = T.StructType([
     T.StructField("time_ms", T.LongType()),
 ])
 _SIDE = T.StructType([
+    T.StructField("side_data_type", T.StringType()),
     T.StructField("rotation", T.IntegerType()),
     T.StructField("crop_left", T.IntegerType()),
     T.StructField("crop_right", T.IntegerType()),

@@ -11,13 +11,36 @@ from rasterlake.operators.skew import attach
 KEY = ["asset_id", "grp", "tag"]
 EXIF_GROUPS = ("IFD0", "IFD1", "ExifIFD", "InteropIFD", "GPS")
 DESCRIPTIVE_GROUPS = (*EXIF_GROUPS, "XMP", "IPTC")
-# --- fixed values: required tags that may be absent when empty or zero --------
-OMIT_IF_EMPTY = ("ImageDescription", "ExposureTime", "FocalLength", "UserComment", "FocalLengthIn35mmFormat")
-EMPTY_VALUE = r"^\s*(|\(none\)|-|ASCII|UNICODE|JIS|Undefined|(undef\s+)?\(0/0\)|0|0[.]0+|[0-9]+\s*\(0/[0-9]+\)|\(0/[0-9]+\))\s*$"
+# --- fixed values: the only tags that may be absent when empty or zero ---------
+OMIT_IF_EMPTY = ("ImageDescription", "FNumber", "FocalLength", "UserComment", "FocalLengthIn35mmFormat")
+# --- fixed values: words that say a value is none ------------------------------
+EMPTY_WORDS = ("", "(none)", "-", "ASCII", "UNICODE", "JIS", "Undefined", "(0/0)", "undef (0/0)")
+# --- fixed values: tags that locate the preview in their own file --------------
+LAYOUT_TAGS = ("ThumbnailOffset", "ThumbnailLength")
 # --- fixed values: tags that hold byte offsets of their own file --------------
 OFFSET_TAGS = ("StripOffsets", "StripByteCounts", "ThumbnailOffset", "ThumbnailLength", "PreviewImageStart")
 
 
+def _is_empty(value: Column) -> Column:
+    """One of the words for none, or a number that is zero, also as a fraction of nothing."""
+    bare = F.trim(F.regexp_replace(value, r"\s+", " "))
+    above = F.regexp_extract(bare, r"[(]([0-9]+)/[0-9]+[)]$", 1)
+    return bare.isin(*EMPTY_WORDS) | (bare.try_cast("double") == 0).eqNullSafe(True) | (above == "0")
+
+
+def _numbers(value: Column) -> Column:
+    """The numbers of a value of numbers alone, else null."""
+    parts = F.transform(F.split(F.trim(value), r"[\s,]+"), lambda x: x.try_cast("double"))
+    return F.when(~F.exists(parts, lambda x: x.isNull()), parts)
+
+
+def relative_deviation(a: Column, b: Column) -> Column:
+    """The greatest relative deviation of numbers in the same places; null for unlike values."""
+    x, y = _numbers(a), _numbers(b)
+    return F.when(F.size(x) == F.size(y), F.array_max(F.zip_with(
+        x, y, lambda p, q: F.abs(p - q) / F.greatest(F.abs(p), F.lit(1e-9)))))
+
+
 def _time_tag(tag: Column) -> Column:
     return tag.rlike("(Date|Time)") & ~tag.isin("ExposureTime")
 
@@ -99,16 +122,16 @@ def _side_by_side(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
 
 
 def tag_coverage_diff(src: DataFrame, dst: DataFrame, waived=()) -> DataFrame:
-    """Status of each standard tag: present, differs, waived, empty or missing."""
+    """Status of each standard tag: present, differs, waived, empty, layout or missing."""
     both = _side_by_side(src, dst, "src_value", "dst_value")
-    a, b = F.col("src_value").try_cast("double"), F.col("dst_value").try_cast("double")
-    deviation = F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-9))
-    empty = F.col("tag").isin(*OMIT_IF_EMPTY) & F.col("src_value").rlike(EMPTY_VALUE)
+    deviation = relative_deviation(F.col("src_value"), F.col("dst_value"))
+    empty = F.col("tag").isin(*OMIT_IF_EMPTY) & _is_empty(F.col("src_value"))
     status = (
         F.when(F.col("src_value").isNull(), "extra")
         .when(F.col("dst_value").isNotNull() & (F.col("src_value") == F.col("dst_value")), "present")
         .when(F.col("dst_value").isNotNull(), "differs")
         .when(empty, "empty_skipped")
+        .when(F.col("tag").isin(*LAYOUT_TAGS), "layout")
         .when(F.col("tag").isin(*waived) if waived else F.lit(False), "waived")
         .otherwise("missing")
     )
@@ -117,10 +140,10 @@ def tag_coverage_diff(src: DataFrame, dst: DataFrame, waived=()) -> DataFrame:
 
 
 def missing_required(required: DataFrame, present: DataFrame, waived=()) -> DataFrame:
-    """Required minus empty minus present minus waived (asset, tag) pairs."""
-    waive = F.col("tag").isin(*waived) if waived else F.lit(False)
-    wanted = required.where(~F.col("value").rlike(EMPTY_VALUE) & ~waive).select(
-        "asset_id", "tag")
+    """Required minus present (asset, tag) pairs, but for waived tags, those that
+    locate data in their own file, and empty values of the few tags that may go then."""
+    spared = F.col("tag").isin(*LAYOUT_TAGS, *waived) | (F.col("tag").isin(*OMIT_IF_EMPTY) & _is_empty(F.col("value")))
+    wanted = required.where(~F.coalesce(spared, F.lit(False))).select("asset_id", "tag")
     return wanted.subtract(present.select("asset_id", "tag"))
 
 

@@ -87,13 +87,13 @@ def packed_to_planar(px: DataFrame, keys=("asset_id", "y", "x")) -> DataFrame:
     return px.unpivot(list(keys), ["r", "g", "b"], "ch", "v")
 
 
-def align_pixels(ref: DataFrame, enc: DataFrame, keys=PIXEL_KEY) -> DataFrame:
+def align_pixels(ref: DataFrame, enc: DataFrame, keys=PIXEL_KEY, how: str = "inner") -> DataFrame:
     """Join two renditions on the whole pixel key.
 
     The coordinates are part of the key, so one huge image spreads over all
     partitions instead of landing on the partition of its asset_id.
     """
-    return ref.join(enc, list(keys))
+    return ref.join(enc, list(keys), how)
 
 
 def stride_sample(px: DataFrame, width: int, target: int = 1_000_000) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterlake.functions.color import Stages, delta_e76
-from rasterlake.functions.matrices import colorants_d50, sum_of
+from rasterlake.functions.matrices import colorants_d50
 from rasterlake.model import PRIMARIES
-from rasterlake.operators.pixels import WORD, align_pixels, byte_of, words
+from rasterlake.operators.pixels import align_pixels
 
 
 def psnr_of(sse: Column, samples: Column, peak: float) -> Column:
@@ -23,50 +28,88 @@ def squared_error(a: Column, b: Column) -> Column:
 
 
 def paired(ref: DataFrame, enc: DataFrame) -> DataFrame:
-    return align_pixels(ref, enc.withColumnRenamed("code", "code2"))
+    """Both renditions side by side. A sample that one side lacks stays, with a null on that side."""
+    return align_pixels(ref, enc.withColumnRenamed("code", "code2"), how="full")
+
+
+def _unmatched(a="code", b="code2") -> Column:
+    return F.count_if(F.col(a).isNull() | F.col(b).isNull())
+
+
+def _whole(scores: DataFrame, *columns: str) -> DataFrame:
+    """No score for a pair that does not match sample for sample, and a status that says so."""
+    unlike = F.col("unmatched") > 0
+    return scores.withColumns({c: F.when(~unlike, F.col(c)) for c in columns}).withColumn(
+        "status", F.when(unlike, "length_mismatch").otherwise("ok")).drop("unmatched")
 
 
 def frame_errors(pairs: DataFrame) -> DataFrame:
     """Squared error per (asset, frame): whole numbers, so order never matters."""
     return pairs.groupBy("asset_id", "frame").agg(
         F.sum(squared_error(F.col("code"), F.col("code2"))).alias("sse"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), _unmatched().alias("unmatched"),
     )
 
 
 def psnr(ref: DataFrame, enc: DataFrame, bits: int = 8) -> DataFrame:
     peak = float(2**bits - 1)
-    return paired(ref, enc).groupBy("asset_id").agg(
+    both = paired(ref, enc).groupBy("asset_id").agg(
         F.sum(squared_error(F.col("code"), F.col("code2"))).alias("sse"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), _unmatched().alias("unmatched"),
     ).withColumn("psnr", psnr_of(F.col("sse"), F.col("n"), peak))
+    return _whole(both, "sse", "psnr")
 
 
 def psnr_tiles(ref: DataFrame, enc: DataFrame, keys=("asset_id", "tile"), bits: int = 8) -> DataFrame:
     """PSNR over the tile form: tiles are joined, samples exploded afterwards."""
-    both = ref.withColumnRenamed("samples", "a").join(enc.withColumnRenamed("samples", "b"), list(keys))
-    px = both.select("asset_id", F.inline(F.arrays_zip("a", "b")))
-    return px.groupBy("asset_id").agg(
-        F.sum(squared_error(F.col("a"), F.col("b"))).alias("sse"), F.count(F.lit(1)).alias("n"),
+    both = ref.withColumnRenamed("samples", "a").join(enc.withColumnRenamed("samples", "b"), list(keys), "full")
+    px = both.select("asset_id", F.inline(F.arrays_zip(
+        *(F.coalesce(F.col(c), F.array().cast(both.schema[c].dataType)).alias(c) for c in "ab"))))
+    scores = px.groupBy("asset_id").agg(
+        F.sum(squared_error(F.col("a"), F.col("b"))).alias("sse"), F.count(F.lit(1)).alias("n"), _unmatched("a", "b").alias("unmatched"),
     ).withColumn("psnr", psnr_of(F.col("sse"), F.col("n"), float(2**bits - 1)))
-
-
-def psnr_buffers(ref: DataFrame, enc: DataFrame, keys=("asset_id", "part")) -> DataFrame:
+    return _whole(scores, "sse", "psnr")
+
+
+def _buffer_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sse, n and unmatched samples of each pair of buffers, all pairs of a batch at once."""
+    for batch in batches:
+        flat, size = [], []
+        for name in ("a", "b"):
+            column = batch.column(name)
+            _, at, raw = column.buffers()
+            at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
+            flat.append(np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw else np.zeros(0, np.uint8))
+            size.append(np.diff(at))
+        a, b = size
+        same = a == b
+        if not same.all():
+            flat = [x[np.repeat(same, n)] for x, n in zip(flat, size, strict=True)]
+        d = flat[0].astype(np.int16) - flat[1]
+        total = np.concatenate([[0], np.cumsum(d.astype(np.int32) ** 2, dtype=np.int64)])
+        end = np.cumsum(np.where(same, a, 0))
+        sse = total[end] - total[end - np.where(same, a, 0)]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(k) for k in batch.schema.names if k not in "ab"), pa.array(sse), pa.array(np.where(same, a, 0).astype(np.int64)),
+             pa.array(np.where(same, 0, np.maximum(a, b)).astype(np.int64))],
+            names=[*(k for k in batch.schema.names if k not in "ab"), "sse", "n", "unmatched"])
+
+
+def psnr_buffers(ref: DataFrame, enc: DataFrame, keys=("asset_id", "part"), bits: int = 8) -> DataFrame:
     """PSNR over raw 8-bit buffers: asset_id, part, buf on both sides.
 
-    One row per buffer is joined; bytes are compared where the pair lies. A
-    part is a bounded stretch of an image, so a huge image is many rows. Buffers
-    of unequal length raise an error instead of scoring a prefix.
+    One row per buffer is joined; the samples of all pairs of a batch are
+    compared at once where the pair lies. A part is a bounded stretch of an
+    image, so a huge image is many rows. Buffers without a partner or of another
+    length leave their image without a score.
     """
-    both = ref.withColumnRenamed("buf", "a").join(enc.withColumnRenamed("buf", "b"), list(keys))
-    size = F.octet_length("a")
-    checked = F.when(size == F.octet_length("b"), size).otherwise(
-        F.raise_error(F.lit("buffers of a pair differ in length")).cast("int"))
-    cut = words(both, ["asset_id"], ["a", "b"], checked)
-    error = sum_of(squared_error(byte_of("a", 8 * i), byte_of("b", 8 * i)) for i in range(WORD))
-    return cut.groupBy("asset_id").agg(
-        F.sum(error).alias("sse"), F.sum("len").alias("n"),
-    ).withColumn("psnr", psnr_of(F.col("sse"), F.col("n"), 255.0))
+    empty = F.lit(bytearray())
+    both = ref.withColumnRenamed("buf", "a").join(enc.withColumnRenamed("buf", "b"), list(keys), "full").select(
+        "asset_id", *(F.coalesce(F.col(c), empty).alias(c) for c in "ab"))
+    schema = T.StructType([both.schema["asset_id"], *(T.StructField(c, T.LongType()) for c in ("sse", "n", "unmatched"))])
+    scores = both.mapInArrow(_buffer_errors, schema).groupBy("asset_id").agg(
+        *(F.sum(c).alias(c) for c in ("sse", "n", "unmatched"))).withColumn("psnr", psnr_of(F.col("sse"), F.col("n"), float(2**bits - 1)))
+    return _whole(scores, "sse", "psnr")
 
 
 def psnr16(ref: DataFrame, enc: DataFrame) -> DataFrame:
@@ -78,12 +121,14 @@ def psnr_multiframe(ref: DataFrame, enc: DataFrame, bits: int = 8) -> DataFrame:
     """Average from the global error; extremes over frames, short tail included."""
     peak = float(2**bits - 1)
     frames = frame_errors(paired(ref, enc)).withColumn("db", psnr_of(F.col("sse"), F.col("n"), peak))
-    return frames.groupBy("asset_id").agg(
+    scores = frames.groupBy("asset_id").agg(
         F.count(F.lit(1)).alias("frames"),
         psnr_of(F.sum("sse"), F.sum("n"), peak).alias("avg_db"),
         F.min("db").alias("min_db"),
         F.max("db").alias("max_db"),
+        F.sum("unmatched").alias("unmatched"),
     )
+    return _whole(scores, "avg_db", "min_db", "max_db")
 
 
 def ssim_blocks(ref: DataFrame, enc: DataFrame, win: int = 8, peak: float = 255.0) -> DataFrame:
@@ -99,36 +144,38 @@ def ssim_blocks(ref: DataFrame, enc: DataFrame, win: int = 8, peak: float = 255.
     ).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum(a).alias("sa"), F.sum(b).alias("sb"),
-        F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"),
+        F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"), _unmatched().alias("unmatched"),
     )
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
     n, ma, mb = F.col("n"), F.col("sa") / F.col("n"), F.col("sb") / F.col("n")
     va, vb = F.col("saa") / n - ma * ma, F.col("sbb") / n - mb * mb
     cov = F.col("sab") / n - ma * mb
     value = ((ma * mb * 2.0 + c1) * (cov * 2.0 + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-    return (
+    scores = (
         blocks.withColumn("ssim", value)
         .groupBy("asset_id")
-        .agg(F.count(F.lit(1)).alias("blocks"), F.avg("ssim").alias("ssim"))
+        .agg(F.count(F.lit(1)).alias("blocks"), F.avg("ssim").alias("ssim"), F.sum("unmatched").alias("unmatched"))
         .withColumn("ssim_db", F.when(F.col("ssim") >= 1.0, F.lit(float("inf"))).otherwise(
             F.log10(F.lit(1.0) - F.col("ssim")) * -10.0))
     )
+    return _whole(scores, "ssim", "ssim_db")
 
 
 def max_abs_diff(ref: DataFrame, enc: DataFrame) -> DataFrame:
-    return paired(ref, enc).groupBy("asset_id").agg(
-        F.max(F.abs(F.col("code") - F.col("code2"))).alias("max_abs"))
+    return _whole(paired(ref, enc).groupBy("asset_id").agg(
+        F.max(F.abs(F.col("code") - F.col("code2"))).alias("max_abs"), _unmatched().alias("unmatched")), "max_abs")
 
 
 def delta_e_stats(ref: DataFrame, enc: DataFrame) -> DataFrame:
     """Mean and worst CIE76 difference of 8-bit sRGB pixels."""
     other = enc.select("asset_id", "y", "x", *[F.col(c).alias(f"{c}2") for c in "rgb"])
-    pairs = ref.join(other, ["asset_id", "y", "x"])
+    pairs = ref.join(other, ["asset_id", "y", "x"], "full")
     let = Stages(pairs)
     de = let("de", delta_e76(
         tuple(F.col(c) for c in "rgb"), tuple(F.col(f"{c}2") for c in "rgb"), colorants_d50(*PRIMARIES["bt709"]), let))
-    return let.df.select("asset_id", de.alias("de")).groupBy("asset_id").agg(
-        F.avg("de").alias("mean_de"), F.max("de").alias("max_de"))
+    # A difference is null where a side is.
+    return _whole(let.df.select("asset_id", de.alias("de")).groupBy("asset_id").agg(
+        F.avg("de").alias("mean_de"), F.max("de").alias("max_de"), F.count_if(F.col("de").isNull()).alias("unmatched")), "mean_de", "max_de")
 
 
 def worst_frames(frames: DataFrame, k: int) -> DataFrame:

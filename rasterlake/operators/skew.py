@@ -35,12 +35,3 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: list[st
     last = F.coalesce(F.col("__parts"), F.lit(1)) - 1
     repeated = per_key.join(cut, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), last))).drop("__parts")
     return salted.join(repeated, [*keys, "__part"], how).drop("__part")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Re-split a scan of fewer partitions than cores before rows are multiplied.
-
-    A large input arrives in many splits and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -29,10 +29,11 @@ def write_guarded(df: DataFrame, path: str, allow_overwrite: bool = True) -> str
 def write_tiles(px: DataFrame, table: str, buckets: int, tile: int = 64) -> None:
     """Pixels to the tile form, bucketed so that renditions join without a shuffle.
 
-    A tile holds at most tile*tile samples, so a huge image is many rows.
+    A tile holds at most tile*tile samples of one frame, so a huge image is many rows.
     """
+    frame = ["frame"] if "frame" in px.columns else []
     key = [F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx")]
     cell = F.struct("y", "x", "code")
-    tiles = px.groupBy("asset_id", *key).agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(
-        "asset_id", "ty", "tx", F.transform("cells", lambda c: c["code"]).alias("samples"))
-    tiles.write.mode("overwrite").bucketBy(buckets, "asset_id", "ty", "tx").sortBy("asset_id", "ty", "tx").saveAsTable(table)
+    tiles = px.groupBy("asset_id", *frame, *key).agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(
+        "asset_id", *frame, "ty", "tx", F.transform("cells", lambda c: c["code"]).alias("samples"))
+    tiles.write.mode("overwrite").bucketBy(buckets, "asset_id", *frame, "ty", "tx").sortBy("asset_id", *frame, "ty", "tx").saveAsTable(table)

@@ -86,8 +86,29 @@ def test_psnr_buffers(spark):
     row = quality.psnr_buffers(frame(a), frame(b)).first()
     assert row.sse == sum(((x.astype(int) - y.astype(int)) ** 2).sum() for x, y in zip(a, b))
     assert row.n == sum(map(len, a))
-    with pytest.raises(Exception, match="differ in length"):
-        quality.psnr_buffers(frame(a), frame([x[:-1] for x in b])).collect()
+    for other in ([x[:-1] for x in b], b[:-1], [*b, b[0]], [b[0], np.append(b[1], 0), *b[2:]]):
+        row = quality.psnr_buffers(frame(a), frame(other)).first()
+        assert (row.psnr, row.sse, row.status) == (None, None, "length_mismatch")
+
+
+def test_no_score_for_a_part(spark):
+    """A truncated frame, a missing tile, a short tile: no score on what happens to overlap."""
+    px = [(1, f, y, x, 10 * f + y + x) for f in range(2) for y in range(8) for x in range(8)]
+    schema = "asset_id int, frame int, y int, x int, code int"
+    ref, cut = spark.createDataFrame(px, schema), spark.createDataFrame(px[:-3], schema)
+    for a, b in ((ref, cut), (cut, ref)):
+        for got in (quality.psnr(a, b), quality.psnr16(a, b), quality.psnr_multiframe(a, b), quality.ssim_blocks(a, b), quality.max_abs_diff(a, b)):
+            row = got.first().asDict()
+            assert row["status"] == "length_mismatch"
+            assert not any(row.get(k) for k in ("psnr", "sse", "avg_db", "min_db", "max_db", "ssim", "ssim_db", "max_abs"))
+    assert quality.psnr(ref, ref).first().status == "ok"
+    tiles = lambda *t: spark.createDataFrame([(1, i, s) for i, s in t], "asset_id int, tile int, samples array<int>")
+    whole = tiles((0, [1, 2, 3]), (1, [4, 5]))
+    for other in (tiles((0, [1, 2, 3])), tiles((0, [1, 2]), (1, [4, 5])), tiles((0, [1, 2, 3]), (1, [4, 5]), (2, [6]))):
+        assert quality.psnr_tiles(whole, other).first().status == quality.psnr_tiles(other, whole).first().status == "length_mismatch"
+    assert quality.psnr_tiles(whole, whole).first().psnr == float("inf")
+    rgb = lambda n: spark.createDataFrame([(1, 0, x, 1, 2, 3) for x in range(n)], "asset_id int, y int, x int, r int, g int, b int")
+    assert quality.delta_e_stats(rgb(3), rgb(2)).first().status == "length_mismatch"
 
 
 def test_stitch_needs_all_tiles(spark):

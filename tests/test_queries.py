@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from rasterlake.catalog import all_queries
 from rasterlake.catalog.compare import compare
 from rasterlake.catalog.tables import BASE
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = all_queries().QUERIES, all_queries().ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -33,8 +34,19 @@ def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("x", "s"))])
+def test_contract_holds_all_queries():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["a01_psnr_buffers"])
+def test_buffer_plan_has_one_kernel(name, spark):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("x", "s")) and not n.endswith("_buffers")])
 def test_plan_has_no_cross_join_and_no_python(name, spark):
+    """Only the buffer forms run a kernel over Arrow batches; no query has a row-wise function."""
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
@@ -51,5 +63,5 @@ def test_inventory_is_covered():
 
 def test_entry(spark):
     out = contract.entry(spark)
-    assert out.columns == ["asset_id", "sse", "n", "psnr"]
+    assert out.columns == ["asset_id", "sse", "n", "psnr", "status"]
     assert out.count() == 500
