@@ -16,13 +16,13 @@ _OK = "status = 'ok' and pixel_equal"
 
 @query("s10_read_bench_rows", """select cast(case_id as varchar) case_id, count(*) n, cast(sum(output_bytes) as bigint) out_sum, count(case when pixel_equal then 1 end) equal_n from bench group by 1""")
 def _(t):
-    folder = work_dir(t.spark, "bench") + ".tsv"
+    folder = work_dir(t.spark, "bench")
     t.bench.select(
         col("case_id").cast("string").alias("case_id"), col("arm_id").cast("string").alias("arm_id"),
         col("pixels").alias("input_bytes"), col("baseline_bytes").alias("baseline_l9_bytes"), "output_bytes",
         (col("output_bytes") / col("baseline_bytes")).alias("ratio_vs_l9"), F.lit(None).cast("double").alias("pct_saved_vs_l9"),
         "pixel_equal", "status", "time_ms").write.option("header", True).option("sep", "\t").csv(folder)
-    return readers.read_bench_rows(t.spark, folder).groupBy("case_id").agg(
+    return readers.read_bench_rows(t.spark, folder, "tsv").groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("output_bytes").alias("out_sum"), F.count_if("pixel_equal").alias("equal_n"))
 
 

@@ -115,9 +115,9 @@ def _(t):
 
 
 # --- planning ------------------------------------------------------------------
-_PLAN = """d as (select c.*, """ + _PRIM + """ sp, transfer st, case target when 'srgb' then 'bt709' when 'bt2020-pq' then 'bt2020' when 'display-p3' then 'smpte432' when 'p3-pq' then 'smpte432' end dp,
-    case when target in ('srgb','display-p3') then 'iec61966-2-1' when target is not null then 'smpte2084' end dt
-    from (select capped.*, unnest([null,'srgb','display-p3','bt2020-pq','p3-pq']) target from capped) c),
+_PLAN = """d as (select c.*, """ + _PRIM + """ sp, transfer st, case when target in ('srgb','bt709') then 'bt709' when target = 'display-p3' then 'smpte432' when target is not null then 'bt2020' end dp,
+    case when target in ('srgb','display-p3') then 'iec61966-2-1' when target in ('p3-pq','bt2020-pq') then 'smpte2084' when target in ('p3-hlg','bt2020-hlg') then 'arib-std-b67' when target is not null then 'bt709' end dt
+    from (select capped.*, unnest([null,'srgb','bt709','display-p3','dci-p3','p3-pq','p3-hlg','bt2020-pq','bt2020-hlg','bt2020','adobe-rgb','prophoto-rgb','colormatch-rgb']) target from capped) c),
     p as (select d.*, case when target is null then 'None' when sp is null then 'Reject' when sp = dp and st = dt then 'None' else 'Map' end as action,
     case when target is null then 'no_target' when sp is null then 'unknown_source' when sp = dp and st = dt then 'equivalent' else 'map' end reason from d),
     q as (select p.*, action = 'Map' and st <> dt needs_curve_change, action = 'Map' and not coalesce(inside, false) outside_gamut,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import text
@@ -297,22 +297,30 @@ def completion_counter(events: DataFrame, bucket: Column | None = None) -> DataF
 
 
 def stall_gaps(events: DataFrame, window: int = STALL_WINDOW_SECONDS, windows: int = STALL_WINDOWS) -> DataFrame:
-    """Gaps between terminal events that span at least three whole windows."""
-    ends = events.where(is_terminal(F.col("status"))).select("ts", "event_id")
-    nexts = ordered.lead(ends, [], ["ts", "event_id"], ordered.time_bucket("ts"), F.col("ts"), "next_ts")
-    return _gaps(nexts, window * windows)
+    """Gaps between terminal events that span at least three whole windows: ts, event_id, next_ts, gap_sec."""
+    return _gaps(events.where(is_terminal(F.col("status"))), [], window * windows)
 
 
 def silence_gaps(progress: DataFrame, seconds: int = HEARTBEAT_SECONDS) -> DataFrame:
-    """Stretches in which an item reported nothing for the heartbeat timeout."""
-    limit = min(max(seconds, 1), 3600)
-    nexts = ordered.lead(progress, ["item_id"], ["ts", "event_id"], ordered.time_bucket("ts"), F.col("ts"), "next_ts")
-    return _gaps(nexts, limit)
+    """Stretches in which an item reported nothing for the heartbeat timeout, which is held to 1 to 3600 seconds."""
+    return _gaps(progress, ["item_id"], min(max(seconds, 1), 3600))
 
 
-def _gaps(nexts: DataFrame, least: int) -> DataFrame:
+def _gaps(events: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Neighbours at least so many seconds apart.
+
+    They lie in different buckets of that width, so the first and last event
+    of each bucket are enough: one aggregate combined before the shuffle, and
+    an order over buckets, of which there are at most the time span by `least`.
+    """
+    bucket = F.floor(F.unix_micros("ts") / (least * 1_000_000)).alias("__b")
+    edges = events.groupBy(*keys, bucket).agg(F.min("ts").alias("__first"), F.max(F.struct("ts", "event_id")).alias("__last"))
+    after = F.lead("__first").over(Window.partitionBy(*keys).orderBy("__b"))
     gap = (F.unix_micros("next_ts") - F.unix_micros("ts")) / 1e6
-    return nexts.withColumn("gap_sec", gap).where(F.col("gap_sec") >= least)
+    return (
+        edges.select(*keys, F.col("__last.ts").alias("ts"), F.col("__last.event_id").alias("event_id"), after.alias("next_ts"))
+        .withColumn("gap_sec", gap).where(F.col("gap_sec") >= least)
+    )
 
 
 def item_duration(events: DataFrame) -> DataFrame:

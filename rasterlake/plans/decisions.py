@@ -17,13 +17,24 @@ from rasterlake.functions.media import (
 from rasterlake.model import profile_dim
 from rasterlake.operators.colorspace import lookup_caps, lookup_primaries
 
-# --- fixed values: requested target -> (primaries, transfer) ------------------
+# --- fixed values: requested target -> (primaries, transfer) it is written with -
 TARGETS = {
     "srgb": ("bt709", "iec61966-2-1"),
+    "bt709": ("bt709", "bt709"),
     "display-p3": ("smpte432", "iec61966-2-1"),
+    "dci-p3": ("bt2020", "bt709"),
+    "p3-pq": ("bt2020", "smpte2084"),
+    "p3-hlg": ("bt2020", "arib-std-b67"),
     "bt2020-pq": ("bt2020", "smpte2084"),
-    "p3-pq": ("smpte432", "smpte2084"),
+    "bt2020-hlg": ("bt2020", "arib-std-b67"),
+    "bt2020": ("bt2020", "bt709"),
+    "adobe-rgb": ("bt2020", "bt709"),
+    "prophoto-rgb": ("bt2020", "bt709"),
+    "colormatch-rgb": ("bt2020", "bt709"),
 }
+# --- fixed values: tokens of one curve, and of one set of primaries ------------
+SAME_CURVE = {"smpte170m": "bt709", "bt2020-10": "bt709", "bt2020-12": "bt709"}
+SAME_PRIMARIES = {"smpte240m": "smpte170m"}
 SDR_ONLY_FORMATS = ("tiff", "tif", "jpg", "jpeg", "webp")
 HDR_NATIVE_FORMATS = ("avif", "jxl", "jxr")
 MAPPABLE_TRANSFERS = (
@@ -76,7 +87,11 @@ def plan_color(rows: DataFrame, allow_gamut: bool = False, icc_available: Column
     d = with_descriptors(rows)
     curve_ok = F.coalesce(F.col("src_trc").isin(*MAPPABLE_TRANSFERS), F.lit(False))
     known = F.col("s_token").isNotNull() & F.col("src_trc").isNotNull()
-    equivalent = F.coalesce((F.col("s_token") == F.col("d_token")) & (F.col("src_trc") == F.col("dst_trc")), F.lit(False))
+    # Tokens that name one matrix or one curve are no difference.
+    one = lambda c, table: F.coalesce(F.try_element_at(literal_map(table), F.col(c)), F.col(c))
+    same_matrix = one("s_token", SAME_PRIMARIES) == one("d_token", SAME_PRIMARIES)
+    same_curve = one("src_trc", SAME_CURVE) == one("dst_trc", SAME_CURVE)
+    equivalent = F.coalesce(same_matrix & same_curve, F.lit(False))
     carry = F.coalesce(F.col("can_icc") & (icc_available if icc_available is not None else F.lit(False)), F.lit(False))
     action = (
         F.when(F.col("target").isNull(), "None")
@@ -96,9 +111,9 @@ def plan_color(rows: DataFrame, allow_gamut: bool = False, icc_available: Column
         .otherwise("map")
     )
     mapped = F.col("action") == "Map"
-    needs_curve = F.coalesce(F.col("src_trc") != F.col("dst_trc"), F.lit(False))
+    needs_curve = F.coalesce(~same_curve, F.lit(False))
     outside = mapped & ~F.coalesce(color.token_contained(F.col("s_token"), F.col("d_token")), F.lit(False))
-    needs_matrix = F.coalesce(F.col("s_token") != F.col("d_token"), F.lit(False))
+    needs_matrix = F.coalesce(~same_matrix, F.lit(False))
     return (
         d.withColumn("action", action)
         .withColumn("reason", reason)

@@ -130,13 +130,15 @@ def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(MATRIX_SCHEMA).csv(path)
 
 
-def read_bench_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark rows from JSON arrays or tab-separated summaries.
+def read_bench_rows(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    """Benchmark rows from JSON (arrays or lines) or tab-separated summaries ("tsv").
 
     A JSON array is one document to Spark; JSON lines or TSV split freely and
     are the forms to use at scale.
     """
-    if path.rstrip("/*").endswith((".tsv", "tsv")):
+    if form not in ("json", "tsv"):
+        raise ValueError(f"form {form!r}: json or tsv")
+    if form == "tsv":
         return spark.read.option("header", True).option("sep", "\t").option("enforceSchema", False).csv(path).select(
             *[F.col(f.name).cast(f.dataType) for f in BENCH_SCHEMA.fields])
     return spark.read.option("multiLine", True).schema(BENCH_SCHEMA).json(path)

@@ -108,10 +108,12 @@ def route_levels(batch: DataFrame, sinks: dict[str, str], epoch: int, level: str
     A sink's epoch folder is overwritten, so a retried batch is not doubled.
     """
     batch.persist()
-    for threshold, path in sinks.items():
-        kept = [n for n, rank in LEVELS.items() if rank <= LEVELS[threshold]]
-        batch.where(F.col(level).isin(*kept)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-    batch.unpersist()
+    try:
+        for threshold, path in sinks.items():
+            kept = [n for n, rank in LEVELS.items() if rank <= LEVELS[threshold]]
+            batch.where(F.col(level).isin(*kept)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    finally:
+        batch.unpersist()
 
 
 def level_route(stream: DataFrame, sinks: dict[str, str], checkpoint: str, level: str = "level"):

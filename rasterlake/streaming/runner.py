@@ -14,12 +14,17 @@ def run_append(stream: DataFrame, purpose: str) -> DataFrame:
     base = work_dir(spark, purpose)
     # Sessions of one task merge before the shuffle, so a busy item does not
     # send each of its events to one reducer.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").start()
-    )
-    query.awaitTermination()
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
