@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from rasterlake.operators.jobs import LEVELS, is_degraded, is_failure, is_success, is_terminal, line_level
 
 
+#: How long, in event time, what was seen is remembered.
+RETENTION = "30 days"
+
+
 def _flat(df: DataFrame, window: str = "window") -> DataFrame:
     rest = [c for c in df.columns if c != window]
     return df.select(F.col(f"{window}.start").alias("win_start"), F.col(f"{window}.end").alias("win_end"), *rest)
@@ -65,8 +69,10 @@ def heartbeat_alerts(stream: DataFrame, timeout_seconds: int = 120, delay: str =
         "item_id", F.col("last.ts").alias("last_seen"), F.col("session_window.end").alias("alert_at"))
 
 
-def terminal_dedup(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    ends = stream.where(is_terminal(F.col("status"))).withWatermark("ts", delay)
+def terminal_dedup(stream: DataFrame, retention: str = RETENTION) -> DataFrame:
+    """Each item once, when its first terminal event comes in. An item is remembered
+    for the retention, in event time, so it must outlive the queue."""
+    ends = stream.where(is_terminal(F.col("status"))).withWatermark("ts", retention)
     return _dedup(ends, ["item_id"]).select("item_id")
 
 
@@ -84,14 +90,15 @@ def queue_stall(stream: DataFrame, window_seconds: int = 600, windows: int = 3,
     return sessions.select(batch, "last_done", F.col("session_window.end").alias("stalled_at"), "done")
 
 
-def log_tail(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Log lines not forwarded before: item_id, line_no, ts, line, failed."""
-    fresh = lines.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["item_id", "line_no", "line"])
-    kept = fresh.where(F.trim("line") != "")
-    return kept.select("item_id", "line_no", "line", line_level(F.col("line"), F.col("failed")).alias("level"))
+def log_tail(lines: DataFrame, retention: str = RETENTION) -> DataFrame:
+    """Log lines not forwarded within the retention: item_id, line_no, ts, line, failed."""
+    kept = lines.withWatermark("ts", retention).where(F.trim("line") != "")
+    levelled = kept.select("ts", "item_id", "line_no", "line", line_level(F.col("line"), F.col("failed")).alias("level"))
+    return _dedup(levelled, ["item_id", "line_no", "line", "level"]).drop("ts")
 
 
-def asset_intake(files: DataFrame, retention: str = "24 hours") -> DataFrame:
+def asset_intake(files: DataFrame, retention: str = RETENTION) -> DataFrame:
+    """Each (path, mtime) once within the retention."""
     return _dedup(files.withWatermark("mtime", retention), ["path", "mtime"])
 
 

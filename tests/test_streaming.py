@@ -109,3 +109,15 @@ def test_work_dir():
     assert work_dir(_Fake(None, None, "local[2]"), "x").startswith("/tmp/spark-")
     with pytest.raises(ValueError):
         work_dir(_Fake(None, None, "yarn"), "x")
+
+
+def test_items_are_remembered_beyond_the_hour(spark, feed):
+    """One item with terminal events hours apart, each in a micro-batch of its own."""
+    for i, minute in enumerate((1, 60, 120, 180)):
+        feed((i, 7, at(minute), "completed"), (100 + i, 1000 + i, at(minute), "completed"))
+    got = sorted(r.item_id for r in runner.run_append(monitors.terminal_dedup(feed.stream()), "hours").collect())
+    assert got == [7, 1000, 1001, 1002, 1003]
+    lines = feed.stream().selectExpr("item_id", "cast(1 as int) line_no", "ts", "false failed", "'frame 1' line")
+    assert runner.run_append(monitors.log_tail(lines), "lines").where("item_id = 7").count() == 1
+    files = feed.stream().selectExpr("cast(item_id as string) path", "timestamp'2024-01-01' mtime")
+    assert runner.run_append(monitors.asset_intake(files), "files").where("path = '7'").count() == 1
