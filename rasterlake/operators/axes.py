@@ -27,34 +27,34 @@ def extension_union(image: DataFrame, video: DataFrame) -> DataFrame:
     return image.select("ext").union(video.select("ext")).distinct()
 
 
-def _wide_values(cases: DataFrame, axes: list[str]) -> DataFrame:
-    """A single row holding the value list of each axis."""
-    lists = axis_values(cases.where(F.col("axis").isin(*axes)))
-    return lists.groupBy().pivot("axis", axes).agg(F.first("vals"))
+def _values(cases: DataFrame, axes: list[str]) -> DataFrame:
+    """One row per value of the chosen axes."""
+    return cases.where(F.col("axis").isin(*axes)).select("axis", "val").distinct()
 
 
 def cartesian_cases(cases: DataFrame, axes: list[str]) -> DataFrame:
-    """Full product of the chosen axes, the feature itself: one generator per
-    axis over the value lists, no join."""
-    product = _wide_values(cases, axes)
-    for axis in axes:
-        product = product.withColumn(axis, F.explode(axis))
+    """Full product of the chosen axes, the feature itself.
+
+    Rows start as the first axis's values, spread over tasks; each further
+    axis is a generator over its short list, a scalar subquery, so no join is made.
+    """
+    values = _values(cases, axes)
+    product = values.where(F.col("axis") == axes[0]).select(F.col("val").alias(axes[0]))
+    for axis in axes[1:]:
+        listed = values.where(F.col("axis") == axis).agg(F.collect_list("val")).scalar()
+        product = product.withColumn(axis, F.explode(listed))
     return product
 
 
 def single_axis_cases(cases: DataFrame, axes: list[str]) -> DataFrame:
-    """Every value of each axis while the others keep their first value."""
-    wide = _wide_values(cases, axes)
-
-    def sweep(axis):
-        def case(value):
-            return F.struct(
-                F.lit(axis).alias("swept"),
-                *[(value if a == axis else F.element_at(a, 1)).alias(a) for a in axes])
+    """Every value of each axis while the others keep their first value: a row per value, no list of them."""
+    values = _values(cases, axes)
 
-        return F.transform(F.col(axis), case)
+    def cell(axis):
+        first = values.where(F.col("axis") == axis).agg(F.min("val")).scalar()
+        return F.when(F.col("axis") == axis, F.col("val")).otherwise(first).alias(axis)
 
-    return wide.select(F.inline(F.flatten(F.array(*[sweep(a) for a in axes]))))
+    return values.select(F.col("axis").alias("swept"), *map(cell, axes))
 
 
 def covered_pairs(wide: DataFrame, axes: list[str]) -> DataFrame:
@@ -67,19 +67,13 @@ def covered_pairs(wide: DataFrame, axes: list[str]) -> DataFrame:
 
 
 def uncovered_pairs(cases: DataFrame, wide: DataFrame, axes: list[str]) -> DataFrame:
-    """All value pairs of axis pairs minus the covered ones."""
-    lists = _wide_values(cases, axes)
-
-    def product(a, b):
-        def with_b(v):
-            return F.transform(F.col(b), lambda w: F.struct(
-                F.lit(a).alias("axis_a"), v.alias("val_a"), F.lit(b).alias("axis_b"), w.alias("val_b")))
-
-        return F.flatten(F.transform(F.col(a), with_b))
-
-    pairs = [product(a, b) for i, a in enumerate(axes) for b in axes[i + 1:]]
-    every = lists.select(F.inline(F.flatten(F.array(*pairs))))
-    return every.join(covered_pairs(wide, axes), ["axis_a", "val_a", "axis_b", "val_b"], "left_anti")
+    """All value pairs of axis pairs minus the covered ones; pairs are rows of a join on the second axis."""
+    values = _values(cases, axes)
+    partners = F.create_map(*[x for i, a in enumerate(axes) for x in (F.lit(a), F.array(*map(F.lit, axes[i + 1:])).cast("array<string>"))])
+    left = values.select(
+        F.col("axis").alias("axis_a"), F.col("val").alias("val_a"), F.explode(F.try_element_at(partners, F.col("axis"))).alias("axis_b"))
+    every = left.join(values.select(F.col("axis").alias("axis_b"), F.col("val").alias("val_b")), "axis_b")
+    return every.join(covered_pairs(wide, axes), ["axis_a", "val_a", "axis_b", "val_b"], "left_anti").select("axis_a", "val_a", "axis_b", "val_b")
 
 
 def fold_distinct(wide: DataFrame, axes: list[str], folds: dict[str, dict[str, str]]) -> DataFrame:
