@@ -139,20 +139,19 @@ def _kt(a: Column, b: Column) -> Column:
     return F.when(a + b == 0, 0.0).otherwise(_lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi))
 
 
-def _bits(grams: DataFrame) -> DataFrame:
-    """Eight decisions of each window: ctx (the bytes before), node (1 and the bits so far), bit."""
+def _steps() -> list[tuple[Column, Column]]:
+    """(node, bit) of the eight decisions of a window's last byte; a node is 1 and the bits so far."""
     sym = F.col("key").bitwiseAND(255)
-    steps = [F.struct(
-        (F.lit(1 << j) + F.shiftright(sym, 8 - j)).cast("int").alias("node"),
-        F.shiftright(sym, 7 - j).bitwiseAND(1).cast("int").alias("bit")) for j in range(8)]
-    return grams.select("key", "n", F.shiftright("key", 8).alias("ctx"), F.explode(F.array(*steps)).alias("s")).select("key", "n", "ctx", "s.node", "s.bit")
+    return [((F.lit(1 << j) + F.shiftright(sym, 8 - j)).cast("int"), F.shiftright(sym, 7 - j).bitwiseAND(1).cast("int")) for j in range(8)]
 
 
 def code_lengths(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """key, log10p of every window (key, n)."""
     spark = grams.sparkSession
     path = work_dir(spark, "tree")
-    rows = _bits(grams).groupBy("ctx", "node").agg(
+    steps = F.array(*(F.struct(node.alias("node"), bit.alias("bit")) for node, bit in _steps()))
+    bits = grams.select("n", F.shiftright("key", 8).alias("ctx"), F.explode(steps).alias("s")).select("n", "ctx", "s.node", "s.bit")
+    rows = bits.groupBy("ctx", "node").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
     rows.withColumn("children", F.lit(0.0)).withColumn("w", _kt(F.col("n0"), F.col("n1"))).write.parquet(f"{path}/{depth}")
     for d in range(depth - 1, -1, -1):
@@ -177,9 +176,14 @@ def code_lengths(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         above = level.select(
             F.col("ctx").alias("pctx"), "node", F.col("own").alias("up"), (F.col("done") + F.col("left") * F.col("share") * F.col("own")).alias("done"),
             (F.col("left") * (1 - F.col("share"))).alias("left"))
-    ones = above.select(F.col("pctx").alias("ctx"), "node", F.col("done").alias("p1"))
-    p = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return _bits(grams).join(ones, ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(p)).alias("log10p"))
+    # A context has at most 255 nodes, so one row holds them all, and each window meets its context once.
+    ones = above.groupBy("pctx").agg(F.map_from_entries(F.collect_list(F.struct("node", "done"))).alias("ones"))
+    own = grams.select("key", F.shiftright("key", 8).alias("pctx")).join(ones, "pctx")
+    total = F.lit(0.0)
+    for node, bit in _steps():
+        p1 = F.try_element_at("ones", node)
+        total = total + F.log10(F.when(bit == 1, p1).otherwise(1 - p1))
+    return own.select("key", total.alias("log10p"))
 
 
 @dataclass
