@@ -104,14 +104,6 @@ def from_linear(x: Column, curve: Curve, let=inline) -> Column:
     return F.when(mag < c * d + f, sign * ((mag - F.lit(f)) / F.lit(c))).otherwise(body)
 
 
-def to_linear_by_token(x: Column, token: Column, tokens=None) -> Column:
-    """Per-row curve choice; an unknown token stays null."""
-    expr = F.lit(None).cast("double")
-    for name in tokens or (*PARAMETRIC, "linear", "smpte2084", "arib-std-b67"):
-        expr = F.when(token == name, to_linear(x, named_curve(name))).otherwise(expr)
-    return expr
-
-
 def pq_to_linear(x: Column, let=inline) -> Column:
     p = let("p", F.pow(x, F.lit(1.0 / PQ_M2)))
     den = F.lit(PQ_C2) - F.lit(PQ_C3) * p

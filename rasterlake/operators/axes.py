@@ -10,12 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def axis_values(cases: DataFrame) -> DataFrame:
-    """One row per axis with its sorted values."""
-    return cases.select("axis", "val").distinct().groupBy("axis").agg(
-        F.array_sort(F.collect_set("val")).alias("vals"))
-
-
 def axis_summary(cases: DataFrame) -> DataFrame:
     """Values and case rows per axis; two combining steps instead of a distinct
     count, so a hot axis is counted where its rows lie."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions import color, matrices
-from rasterlake.functions.curves import Curve, SDR_WHITE_NITS, clamp, decode_codes, from_linear, to_linear
+from rasterlake.functions.curves import Curve, clamp, decode_codes, to_linear
 from rasterlake.functions.media import accepts_cicp, lower_token
 from rasterlake.model import CAPS_FIELDS, PRIMARIES, caps_map, constant_table, primaries_dim
 
@@ -156,10 +156,3 @@ def transform_pixels(px: DataFrame, plan: Transform, code_max: float = 255.0) ->
     codes = [color.encode16(v, plan.dst, let).cast("double") for v in rgb]
     out = [color.quantize8(v, offset).alias(c) for v, c in zip(codes, "rgb")]
     return let.df.select(*keep, *out)
-
-
-def encode_linear(px: DataFrame, curve: Curve, value: str = "v") -> DataFrame:
-    return px.withColumn("encoded", clamp(from_linear(F.col(value), curve), 0.0, 1.0))
-
-
-SDR_WHITE = SDR_WHITE_NITS
