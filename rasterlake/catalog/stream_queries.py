@@ -57,9 +57,9 @@ def _(t):
 
 
 @query("x06_queue_stall", f"""with {_SESSIONS.format(key='batch', gap=1800, src='terminal')} select batch, last_done, win_end stalled_at, done from (select batch, max(ts) last_done,
-    max(ts) + interval '1800 seconds' win_end, count(*) done from s group by batch, sid) where {_CLOSED.format(src='terminal')}""")
+    max(ts) + interval '1800 seconds' win_end, count(*) done, max_by(k % 4, (ts, event_id)) remaining from s group by batch, sid) where remaining > 0 and {_CLOSED.format(src='terminal')}""")
 def _(t):
-    return _plain(runner.run_append(monitors.queue_stall(t.event_stream), "x06"), "last_done", "stalled_at")
+    return _plain(runner.run_append(monitors.queue_stall(t.event_stream, remaining=F.col("k") % 4), "x06"), "last_done", "stalled_at")
 
 
 @query("x07_log_tail", """select distinct item_id, k line_no, case k % 4 when 0 then concat('frame ', k) when 1 then '❌ broken' else '⚠ odd' end line,

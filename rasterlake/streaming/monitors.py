@@ -77,17 +77,21 @@ def terminal_dedup(stream: DataFrame, retention: str = RETENTION) -> DataFrame:
 
 
 def queue_stall(stream: DataFrame, window_seconds: int = 600, windows: int = 3, delay: str = "10 minutes",
-                batch: str = "batch") -> DataFrame:
-    """A batch without a terminal event for several windows in a row.
+                batch: str = "batch", remaining: Column | None = None) -> DataFrame:
+    """An unfinished batch without a terminal event for several windows in a row.
 
     Terminal events closer together than windows*window_seconds form one
-    session; a closed session means the queue stalled after it.
+    session; a closed session means the queue stalled after it. `remaining`
+    says with each event how many items of its batch are not done: after the
+    last one of a finished batch, none, and so no stall. Without it, every
+    batch counts as unfinished.
     """
     gap = window_seconds * windows
     ends = stream.where(is_terminal(F.col("status"))).withWatermark("ts", delay)
     sessions = ends.groupBy(batch, F.session_window("ts", f"{gap} seconds")).agg(
-        F.count(F.lit(1)).alias("done"), F.max("ts").alias("last_done"))
-    return sessions.select(batch, "last_done", F.col("session_window.end").alias("stalled_at"), "done")
+        F.count(F.lit(1)).alias("done"), F.max("ts").alias("last_done"),
+        F.max(F.struct("ts", "event_id", (F.lit(1) if remaining is None else remaining).alias("left"))).alias("last"))
+    return sessions.where(F.col("last.left") > 0).select(batch, "last_done", F.col("session_window.end").alias("stalled_at"), "done")
 
 
 def log_tail(lines: DataFrame, retention: str = RETENTION) -> DataFrame:

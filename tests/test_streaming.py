@@ -121,3 +121,13 @@ def test_items_are_remembered_beyond_the_hour(spark, feed):
     assert runner.run_append(monitors.log_tail(lines), "lines").where("item_id = 7").count() == 1
     files = feed.stream().selectExpr("cast(item_id as string) path", "timestamp'2024-01-01' mtime")
     assert runner.run_append(monitors.asset_intake(files), "files").where("path = '7'").count() == 1
+
+
+def test_finished_batch_raises_no_stall(spark, feed):
+    """A batch whose last item is done is silent, but not stalled."""
+    feed((1, 1, at(1), "completed"), (2, 2, at(1), "completed"))
+    feed((3, 1, at(2), "completed"), (4, 2, at(2), "completed"))
+    feed((5, 9, at(600), "completed"))
+    left = F.when(F.col("event_id") == 3, 0).when(F.col("event_id") == 4, 5).otherwise(1)
+    alerts = monitors.queue_stall(feed.stream(), 60, 3, "1 minute", batch="item_id", remaining=left)
+    assert [r.item_id for r in runner.run_append(alerts, "stall").collect()] == [2]
