@@ -245,8 +245,11 @@ def _table(name: str, held) -> Lookup:
 
 def _sent(rows: DataFrame, key: str, value: str):
     """Two columns of a bounded table, broadcast as plain arrays."""
-    got = rows.select(F.col(key).cast("long"), F.col(value).cast("double")).toPandas()
-    return rows.sparkSession.sparkContext.broadcast((got[key].to_numpy(np.int64), got[value].to_numpy(np.float64)))
+    got = rows.select(F.col(key).cast("long"), F.col(value).cast("double")).toArrow()
+    pair = tuple(c.to_numpy() for c in got.columns)
+    del got  # the driver holds one copy
+    held = rows.sparkSession.sparkContext.broadcast(pair)
+    return held
 
 
 def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

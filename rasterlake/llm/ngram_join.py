@@ -24,9 +24,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,9 @@ from rasterlake.llm.textexpr import fresh
 from rasterlake.llm.textkit import buffers, gram_hashes, mix, slices, span_hashes, unique_per_doc, words
 from rasterlake.session import work_dir
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Most texts of one side of a group.
 BLOCK = 1024
 #: Columns of the incidence matrix at once.
@@ -149,6 +152,8 @@ def _forest(ok: np.ndarray) -> np.ndarray:
 
 def _group(g: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
     """Links of one group: a bucket, or two blocks of one."""
+    import pandas as pd
+
     band, i, j = int(g["band"].iloc[0]), int(g["i"].iloc[0]), int(g["j"].iloc[0])
     block = g["block"].to_numpy()
     sets, weight = list(g["grams"]), g["n"].to_numpy()
@@ -176,6 +181,8 @@ def _group(g: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
 def _verify(similarity: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups follow each other in the sorted partition; one that a batch cuts is carried on."""
+        import pandas as pd
+
         key, kept = ["band", "hash", "i", "j"], None
         for frame in frames:
             frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
