@@ -46,7 +46,9 @@ DEPTH = 5
 COMMON = 22
 TABLE = 1 << 24
 #: Different keys that a counting task holds before it lets them go.
-HELD_KEYS = 4_000_000
+HELD_KEYS = 1_000_000
+#: Bytes of text at once; a window takes some fifty bytes while it is made.
+SLICE = 1 << 20
 _END = 0xFF
 _GRAM, _WORD, _DOCS = 0, 1, 2
 
@@ -103,7 +105,7 @@ def counts(docs: DataFrame, held: int, folds: int, depth: int = DEPTH) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, terms, texts = Tally(), Tally(), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 data, offsets = buffers(part.column("text"))
                 data = LOWER[data]
                 learnt = part.column("learnt").to_numpy(zero_copy_only=False).astype(bool)
@@ -290,7 +292,7 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7, depth: int = DEPTH) ->
             row = TaskContext.get().partitionId() << 33
             known_terms, table = _table(f"{name}/terms", terms), _table(name, grams)
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=SLICE):
                     data, offsets = buffers(part.column("text"))
                     data = LOWER[data]
                     key, bounds = windows(data, offsets, depth)
