@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-case runs of letters and digits. A seed is a window of n words
-of a test item that chance would hardly put into the corpus: the number of
-windows expected from the corpus's own word counts is at most `EXPECTED`. (An
-item without such a window keeps its rarest.) Where a seed occurs in a
+Words are lower-case runs of letters and digits. A seed is a window of `LEAST`
+to n words of a test item that chance would hardly put into the corpus: the
+number of windows expected from the corpus's own word counts is at most
+`EXPECTED`. Every word of an item begins the shortest such window there is. (An
+item without one keeps the `SPARE` rarest of each length.) Where a seed occurs in a
 document, the item is aligned with the words around it; edits, insertions and
 omissions cost less than the words that agree gain. A pair is reported if the
 best score reaches `similarity` of the full score.
@@ -15,7 +16,7 @@ so its size is bounded too.
 
 Cases: null texts are empty ones; empty texts and items match nothing; null and
 repeated ids keep their rows (items with equal id and text count once); an item
-of fewer than n words has one seed, all its words; empty tables give an empty
+of fewer than `LEAST` words has one seed, all its words; empty tables give an empty
 result; other columns are ignored, whatever their names.
 """
 
@@ -33,7 +34,10 @@ from pyspark.sql import types as T
 
 from rasterlake.llm.textkit import Words, buffers, gram_hashes, slices, span_hashes, words
 
-N = 5
+#: Words of the longest and of the shortest seeds.
+N, LEAST = 5, 2
+#: Seeds of each length of an item none of whose windows is rare.
+SPARE = 4
 SIMILARITY = 0.4
 EXPECTED = 1.0
 #: Words of the benchmark in one pass.
@@ -150,18 +154,26 @@ def block_of(docs: DataFrame, rows: list, n: int = N, expected: float = EXPECTED
     seeds, items, places, lengths = [], [], [], set()
     for k in range(len(rows)):
         a, b = int(w.bounds[k]), int(w.bounds[k + 1])
-        size = min(n, b - a)
-        if not size:
-            continue
-        own = np.array([0, b - a])
-        grams, first, _ = gram_hashes(hashes[a:b], own, size, short=False)
-        chance = np.array([cost[a + f : a + f + size].sum() for f in first]) + np.log(max(total, 1))
-        rare = np.flatnonzero(chance <= np.log(expected))
-        rare = rare if len(rare) else np.array([int(chance.argmin())])
-        seeds.append(grams[rare])
-        items.append(np.full(len(rare), k))
-        places.append(first[rare])
-        lengths.add(size)
+        own, open_at, spare = np.array([0, b - a]), np.ones(b - a, bool), []
+        for size in range(min(LEAST, n, b - a), min(n, b - a) + 1):
+            if not size:
+                continue
+            grams, first, _ = gram_hashes(hashes[a:b], own, size, short=False)
+            chance = np.array([cost[a + f : a + f + size].sum() for f in first]) + np.log(max(total, 1))
+            rare = np.flatnonzero((chance <= np.log(expected)) & open_at[first])
+            open_at[first[rare]] = False
+            spare.append((size, grams, first, np.argsort(chance, kind="stable")[:SPARE]))
+            if len(rare):
+                seeds.append(grams[rare])
+                items.append(np.full(len(rare), k))
+                places.append(first[rare])
+                lengths.add(size)
+        if open_at.all():
+            for size, grams, first, some in spare:
+                seeds.append(grams[some])
+                items.append(np.full(len(some), k))
+                places.append(first[some])
+                lengths.add(size)
     if not seeds:
         return None
     seed, item, place = np.concatenate(seeds), np.concatenate(items), np.concatenate(places)

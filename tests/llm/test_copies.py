@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rasterlake.llm import components, decontaminate, ngram_join, substring_dedup
@@ -139,6 +140,26 @@ def test_edited_copies_are_found(spark, texts, benchmark):
     assert len({i for i in items if (i, i) in found}) >= 0.95 * len(items)
 
 
+def test_copies_without_a_window_of_five_words(spark, texts, benchmark):
+    """Every fifth word changed, and 20 to 30 % of them: all copies whose whole alignment reaches the similarity are found."""
+    rng = random.Random(6)
+    items = {r["item_id"]: r["text"].split() for r in benchmark.collect() if r["text"] and len(r["text"].split()) >= 10}
+    filler = " ".join(list(texts.values())[:5]).split()[:80]
+    hashes = lambda w: decontaminate.plain_words(pa.array([" ".join(w)]))[1]
+    rows, want = [], {0: set(), 1: set(), 2: set(), 3: set()}
+    for k, rate in enumerate((None, 0.2, 0.25, 0.3)):
+        for i, w in items.items():
+            own = [f"q{rng.randrange(9999)}" if (j % 5 == 4 if rate is None else rng.random() < rate) else x for j, x in enumerate(w)]
+            rows.append((10 * i + k, " ".join([*filler, *own, *filler])))
+            if decontaminate.align(hashes(w), hashes(own))[0] >= decontaminate.SIMILARITY * decontaminate.MATCH * min(len(hashes(w)), decontaminate.LONGEST):
+                want[k].add(i)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, benchmark).collect()}
+    got = {k: {i for i in some if (10 * i + k, i) in found} for k, some in want.items()}
+    assert got[0] == want[0] == set(items)
+    assert all(len(got[k]) >= 0.99 * len(want[k]) for k in want), {k: (len(got[k]), len(want[k])) for k in want}
+
+
 def test_benchmark_in_blocks(plain, benchmark, monkeypatch):
     key = lambda rows: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 6), r["first_word"], r["end_word"]) for r in rows)
     whole = key(decontaminate.find(plain, benchmark).collect())
