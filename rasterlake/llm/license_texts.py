@@ -1,8 +1,12 @@
 """Known licence texts and notices, by SPDX identifier.
 
-Fixed values: the wordings are those of the licences and of their usual notices.
+Fixed values: the wordings are those of the licences and of their usual notices;
+long licences are whole in `license_files`. A whole text of the GPL or LGPL names
+its version alone and counts as "only", like the notices.
 """
 
+from pathlib import Path
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -42,11 +46,38 @@ SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSE
 WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
 THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
-_UNLICENSE = """This is free and unencumbered software released into the public domain.
+_BSD_3 = _BSD_2.replace("THIS SOFTWARE IS PROVIDED BY", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY""")
+
+_UNLICENSE_HEAD = """This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
 as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
+_UNLICENSE = _UNLICENSE_HEAD + """
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+_UNLICENSE_LINK = "\n\nFor more information, please refer to <https://unlicense.org>"
+
+
+def _file(name: str) -> str:
+    return (Path(__file__).parent / "license_files" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+_APACHE = _file("Apache-2.0")
+_APACHE_TERMS = _APACHE.partition("APPENDIX:")[0]
+
 KNOWN = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -71,5 +102,18 @@ KNOWN = (
     ("ISC", "ISC License\n\n" + _ISC),
     ("BSD-2-Clause", _BSD_2),
     ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_2),
+    ("BSD-3-Clause", _BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_3),
+    ("Unlicense", _UNLICENSE_HEAD),
     ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + _UNLICENSE_LINK),
+    ("Apache-2.0", _APACHE),
+    # The appendix with its copyright line filled in, and the terms without it.
+    ("Apache-2.0", _APACHE.replace("Copyright [yyyy]", "Copyright 2000")),
+    ("Apache-2.0", _APACHE_TERMS),
+    ("GPL-2.0-only", _file("GPL-2")),
+    ("GPL-3.0-only", _file("GPL-3")),
+    ("LGPL-2.1-only", _file("LGPL-2.1")),
+    ("LGPL-3.0-only", _file("LGPL-3")),
+    ("MPL-2.0", _file("MPL-2.0")),
 )

@@ -8,7 +8,7 @@ from math import log
 import duckdb
 import pytest
 
-from rasterlake.llm import licenses, quality, secrets
+from rasterlake.llm import license_texts, licenses, quality, secrets
 from rasterlake.catalog.compare import compare
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -152,3 +152,22 @@ def test_licences(spark, docs, none):
     assert compare(licenses.scan(rows).toPandas(), con.execute(licenses.SQL).df()) == ""
     assert licenses.scan(docs).count() > 0
     assert licenses.scan(none).collect() == []
+
+
+def test_whole_licences(spark):
+    """Whole texts, as their files hold them, against the SQL as well."""
+    known = license_texts
+    apache = known._APACHE.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Someone")
+    unlicense = known._UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>\n"
+    assert "relinquishment in perpetuity" in unlicense and "OTHER DEALINGS IN THE SOFTWARE." in unlicense
+    assert "END OF TERMS AND CONDITIONS" in apache and "limitations under the License." in apache
+    want = [
+        ("Unlicense", unlicense), ("Unlicense", known._UNLICENSE_HEAD), ("Apache-2.0", apache), ("Apache-2.0", known._APACHE), ("Apache-2.0", known._APACHE_TERMS),
+        ("BSD-3-Clause", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + known._BSD_3), ("BSD-2-Clause", known._BSD_2),
+        *((n, known._file(f)) for n, f in (("GPL-2.0-only", "GPL-2"), ("GPL-3.0-only", "GPL-3"), ("LGPL-2.1-only", "LGPL-2.1"), ("LGPL-3.0-only", "LGPL-3"), ("MPL-2.0", "MPL-2.0"))),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(want)], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["license"]) for r in licenses.scan(rows).collect() if r["whole"]} == {(k, n) for k, (n, _) in enumerate(want)}
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas())
+    assert compare(licenses.scan(rows).toPandas(), con.execute(licenses.SQL).df()) == ""
