@@ -30,8 +30,8 @@ SPELLINGS = (
     ("version 2 0", "version 2"), ("v2 0", "version 2"), ("v2", "version 2"), ("v3", "version 3"), ("4 0", "4"),
     ("https", "http"), ("e g", "eg"), ("co operation", "cooperation"), ("merchantibility", "merchantability"),
 )
-#: Every canonical known text holds one of these.
-STEMS = ("licens", "licenc", "permission", "redistribution", "warranty", "public domain")
+#: Every canonical known text holds one of these. Parts of one word: between two, a text may have any signs.
+STEMS = ("licens", "licenc", "permission", "redistribution", "warranty", "domain")
 
 
 def canonical(text: Column) -> Column:

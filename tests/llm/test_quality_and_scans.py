@@ -171,3 +171,13 @@ def test_whole_licences(spark):
     con = duckdb.connect()
     con.register("documents", rows.toPandas())
     assert compare(licenses.scan(rows).toPandas(), con.execute(licenses.SQL).df()) == ""
+
+
+@pytest.mark.parametrize("between", ["-", "  ", "\n", " \t", "_"])
+def test_stems_in_any_spelling(spark, between):
+    text = f"This work is dedicated to the public{between}domain under CC0 1.0."
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [(r["license"], r["whole"]) for r in licenses.scan(rows).collect()] == [("CC0-1.0", True)]
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas())
+    assert compare(licenses.scan(rows).toPandas(), con.execute(licenses.SQL).df()) == ""
