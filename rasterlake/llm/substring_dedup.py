@@ -4,12 +4,19 @@ A gear hash rolls over the UTF-8 bytes: h = (h << 1) + table[byte], 32 bits, so
 it depends on the last 32 bytes alone. A chunk may end where its top `BITS`
 bits are zero, at least `LEAST` and at most `MOST` bytes after its start; an
 insertion therefore moves the borders near it and no others. Chunks with equal
-128-bit digests are equal. A repeated span is a run of neighbouring chunks of a
-document, each found in another document too, of at least `SPAN` bytes.
+128-bit digests are equal. A run is one of neighbouring chunks of a document,
+each found in another document too; at both ends it goes on, byte by byte, as
+far into the cut chunks as another document that holds its last chunk does. A
+repeated span is a run so extended, of at least `SPAN` bytes. Spans of one text
+may overlap where two runs go on into the same chunk. A passage without one
+whole shared chunk has no run, and so no span.
 
 One pass over the texts makes the chunks; one aggregation by digest, combined
 before its shuffle, finds those of two documents or more; one join brings that
-back to the chunks. Neither gathers a digest's chunks, however many they are.
+back to the chunks. A second pass reads the bytes beside the chunks that end a
+run; digests of their first 64, 128, .. bytes, then of the lengths between, are
+aggregated and joined the same way. Nothing gathers a digest's chunks, however
+many they are.
 
 Cases: a null text is an empty one and has no chunks; rows that share an id are
 one document, though each text has spans of its own; rows without an id are
@@ -88,9 +95,114 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, text_key bigint, at int, start int, end int, d0 bigint, d1 bigint")
 
 
-def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, text_key, start, end (bytes), n_chunks, first_doc (the least doc_id that holds the span's first chunk)
-    of every repeated span."""
+def _contexts(docs: DataFrame, sites: DataFrame, width: int) -> DataFrame:
+    """sites (site, doc_id, text_key, side, pos, edge, tag) with own: the `width` bytes before pos, the nearest first, or behind it."""
+    own_key, own_id = fresh([*sites.columns, "text"], "own_key", "own_id")
+    kind = docs.schema["doc_id"].dataType
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[own_id, "text", own_key])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for text, own_sites in zip(batch.column("text").to_pylist(), batch.column("sites").to_pylist(), strict=True):
+                raw = text.encode()
+                for s in own_sites:
+                    own.append((s["site"], s["side"], s["pos"], s["edge"], s["tag"], raw[max(s["pos"] - width, 0) : s["pos"]][::-1] if s["side"] < 0 else raw[s["pos"] : s["pos"] + width]))
+            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column("sites").to_pylist()])))
+            text_key = batch.column("text_key").take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column("sites").to_pylist()])))
+            site, side, pos, edge, tag, near = zip(*own, strict=True) if own else ((),) * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(site, pa.int64()), doc, text_key, pa.array(side, pa.int32()), pa.array(pos, pa.int32()), pa.array(edge, pa.bool_()), pa.array(tag, pa.binary()), pa.array(near, pa.binary())],
+                names=["site", "doc_id", "text_key", "side", "pos", "edge", "tag", "own"])
+
+    texts = docs.select("doc_id", "text").where("text <> ''").mapInArrow(key, T.StructType([T.StructField(own_id, kind), T.StructField("text", T.StringType()), T.StructField(own_key, T.LongType())]))
+    # As many sites as one text holds. Rows that share an id and a text have the same sites.
+    sites = sites.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("site", "side", "pos", "edge", "tag")).alias("sites"))
+    schema = T.StructType([
+        T.StructField("site", T.LongType()), T.StructField("doc_id", kind), T.StructField("text_key", T.LongType()), T.StructField("side", T.IntegerType()),
+        T.StructField("pos", T.IntegerType()), T.StructField("edge", T.BooleanType()), T.StructField("tag", T.BinaryType()), T.StructField("own", T.BinaryType())])
+    joined = texts.join(sites, texts[own_id].eqNullSafe(sites["doc_id"]) & (texts[own_key] == sites["text_key"]))
+    return joined.select("doc_id", "text_key", "text", "sites").mapInArrow(around, schema)
+
+
+def _agreed(contexts: DataFrame, width: int) -> DataFrame:
+    """site, got (the most bytes of own that the same tag has in another document too), least (the least doc_id that has them)
+    and cell (their digest) of the sites at ends of runs.
+
+    A cell is a prefix of own where the search of some such site has come to: all
+    sites with that prefix try the longer ones, as each may be that site's best."""
+    spark = contexts.sparkSession
+    state = contexts.where("edge").select("site", F.lit(0).alias("got"), F.lit(None).cast(contexts.schema["doc_id"].dataType).alias("least"), F.col("tag").alias("cell"))
+    cells, step, times = None, width // 4, 4
+    while step:
+        at = contexts.withColumn("base", F.lit(0)) if cells is None else contexts.join(cells, "site")
+        rungs = (
+            at.where(F.length("own") >= F.col("base") + step)
+            .select("site", "doc_id", "tag", "own", F.explode(F.sequence(F.col("base") + step, F.least(F.length("own"), F.col("base") + times * step), F.lit(step))).alias("k"))
+            .select("site", "doc_id", "k", F.unhex(F.md5(F.concat("tag", F.col("own").substr(F.lit(1), F.col("k"))))).alias("rung")))
+        held = (
+            rungs.groupBy("rung").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+            .where("least <> most").select("rung", "least"))
+        path = work_dir(spark, "rungs")
+        rungs.join(held, "rung").select("site", "k", "rung", "least").write.parquet(path)
+        found = spark.read.parquet(path)
+        own = found.select("site", F.col("k").alias("got"), "least", F.col("rung").alias("cell")).join(state.select("site"), "site", "left_semi")
+        path = work_dir(spark, "rungs")
+        state.unionByName(own).groupBy("site").agg(F.max("got").alias("got"), F.max_by("least", "got").alias("least"), F.max_by("cell", "got").alias("cell")).write.parquet(path)
+        state = spark.read.parquet(path)
+        before = contexts.select("site", F.lit(0).alias("base"), F.col("tag").alias("cell")) if cells is None else cells.select("site", "base", "cell")
+        cells = (
+            before.unionByName(found.select("site", F.col("k").alias("base"), F.col("rung").alias("cell")))
+            .join(state.select("cell").distinct(), "cell", "left_semi").distinct())
+        step, times = step // 4, 3
+    return state
+
+
+def _extended(docs: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, text_key, side (-1, 1), pos, more (bytes), least: how far the ends of runs go on into the cut chunks, byte by byte.
+
+    A site is a place where a chunk that ends some run stands, in any document.
+    Sites of one chunk are compared by digests of the bytes next to it, on a
+    ladder of 4 lengths and again between two rungs. Where a whole width of
+    bytes agrees, the next round goes on behind it, with 16 times the width."""
+    spark = docs.sparkSession
+    ends = F.array(F.struct(F.lit(-1).alias("side"), "d_first.*"), F.struct(F.lit(1).alias("side"), "d_last.*"))
+    tags = runs.select(F.explode(ends).alias("e")).select("e.*").distinct()
+    both = found.select(
+        "doc_id", "text_key", "d0", "d1", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("start").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("end").alias("pos")))).alias("s"),
+    ).select("doc_id", "text_key", "d0", "d1", "s.side", "s.pos").where("side > 0 or pos > 0")
+    edges = runs.select("doc_id", "text_key", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("start").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("end").alias("pos")))).alias("e"))
+    edges = edges.select(F.xxhash64("doc_id", "text_key", "e.side", "e.pos").alias("site")).distinct().withColumn("edge", F.lit(True))
+    sites = (
+        both.join(tags, ["side", "d0", "d1"], "left_semi").distinct()
+        .select(F.xxhash64("doc_id", "text_key", "side", "pos").alias("site"), "doc_id", "text_key", "side", "pos", F.unhex(F.md5(F.concat_ws(" ", "side", "d0", "d1"))).alias("tag"))
+        .join(edges, "site", "left").withColumn("edge", F.coalesce("edge", F.lit(False))))
+    width, parts = 256, []
+    while True:
+        path = work_dir(spark, "contexts")
+        _contexts(docs, sites.distinct(), width).write.parquet(path)
+        contexts = spark.read.parquet(path)
+        best = _agreed(contexts, width)
+        parts.append(best)
+        whole = contexts.where(F.length("own") == width).withColumn("next", F.unhex(F.md5(F.concat("tag", "own"))))
+        on = best.where(F.col("got") == width).select(F.col("cell").alias("next")).distinct()
+        if on.isEmpty():
+            break
+        sites = whole.join(on, "next", "left_semi").select("site", "doc_id", "text_key", "side", (F.col("pos") + F.col("side") * width).alias("pos"), "edge", F.col("next").alias("tag"))
+        width *= 16
+    got = parts[0]
+    for x in parts[1:]:
+        got = got.unionByName(x)
+    # The least doc_id of the longest part that agrees has the shorter ones too.
+    return got.groupBy("site").agg(F.sum("got").cast("int").alias("more"), F.max_by("least", "got").alias("least"))
+
+
+def _spans(docs: DataFrame, span: int) -> DataFrame:
+    """What repeated() gives, and from, to: the bytes that an earlier document holds as well where doc_id is not first_doc."""
     spark = docs.sparkSession
     path = work_dir(spark, "chunks")
     chunks(docs).write.parquet(path)
@@ -99,22 +211,39 @@ def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
         every.groupBy("d0", "d1").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .where("first_doc <> last_doc").select("d0", "d1", "first_doc")
     )
-    found = every.join(held, ["d0", "d1"])
+    path = work_dir(spark, "shared-chunks")
+    every.join(held, ["d0", "d1"]).write.parquet(path)
+    found = spark.read.parquet(path)
     # Neighbours in a text: the place less the rank is the same all along a run.
     rank = F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("at"))
-    runs = found.withColumn("run", F.col("at") - rank)
-    return (
-        runs.groupBy("doc_id", "text_key", "run").agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("at").alias("n_chunks"),
-            F.min_by("first_doc", "at").alias("first_doc"))
-        .where(F.col("end") - F.col("start") >= span).drop("run")
+    path = work_dir(spark, "runs")
+    found.withColumn("run", F.col("at") - rank).groupBy("doc_id", "text_key", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("at").alias("n_chunks"), F.min_by("first_doc", "at").alias("first_doc"),
+        F.min_by(F.struct("d0", "d1"), "at").alias("d_first"), F.max_by(F.struct("d0", "d1"), "at").alias("d_last"),
+    ).drop("run").write.parquet(path)
+    runs = spark.read.parquet(path)
+    more = _extended(docs, found, runs)
+    for side, pos, name in ((-1, "start", "left"), (1, "end", "right")):
+        own = more.select("site", F.col("more").alias(name), F.col("least").alias(f"{name}_doc"))
+        runs = runs.withColumn("site", F.xxhash64("doc_id", "text_key", F.lit(side), pos)).join(own, "site", "left").drop("site")
+    before, behind = F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0))
+    cut = lambda name, n: F.when(F.col(f"{name}_doc") != F.col("doc_id"), n).otherwise(0)
+    return runs.where(F.col("end") - F.col("start") + before + behind >= span).select(
+        "doc_id", "text_key", (F.col("start") - before).alias("start"), (F.col("end") + behind).alias("end"), "n_chunks", "first_doc",
+        (F.col("start") - cut("left", before)).alias("from"), (F.col("end") + cut("right", behind)).alias("to"),
     )
 
 
+def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, text_key, start, end (bytes), n_chunks, first_doc (the least doc_id that holds the span's first whole chunk)
+    of every repeated span."""
+    return _spans(docs, span).drop("from", "to")
+
+
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs, all columns, with the repeated spans cut out of every document but the one that holds them first."""
-    spans = repeated(docs, span).where("doc_id <> first_doc").groupBy("doc_id", "text_key").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # as many as one text holds
+    spans = _spans(docs, span).where("doc_id <> first_doc").groupBy("doc_id", "text_key").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("from").alias("start"), F.col("to").alias("end")))).alias("spans"))  # as many as one text holds
     kept = docs.schema
     own_key, own_id, own_text, own_spans = fresh(docs.columns, "own_key", "own_id", "own_text", "own_spans")
 
@@ -132,7 +261,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                     raw, at, parts = text.encode(), 0, []
                     for s in spans:
                         parts.append(raw[at : s["start"]])
-                        at = s["end"]
+                        at = max(at, s["end"])
                     # A border may lie inside of a character, whose rest goes too.
                     text = b"".join([*parts, raw[at:]]).decode(errors="ignore")
                 out.append(text)

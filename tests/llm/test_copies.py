@@ -207,6 +207,53 @@ def test_repeated_passages(spark, plain, texts):
         assert any(part[:16] in t for d, t in raw.items() if d != r["doc_id"])
 
 
+def test_short_passages_of_two_documents(spark):
+    """Passages of 51 words in two documents each, fresh words around them: both documents have a span that is the passage, to the byte, unless the two share no whole chunk."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(150):
+        passage = fresh(51)
+        for d in (2 * k, 2 * k + 1):
+            head = fresh(30) + " "
+            rows.append((d, head + passage + " " + fresh(30)))
+            want[d] = len(head), len(head) + len(passage)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    texts, got = dict(rows), {r["doc_id"]: (r["start"], r["end"]) for r in substring_dedup.repeated(docs).collect()}
+    common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    exact = {}
+    for d, (a, b) in want.items():
+        x, y, (p, q) = texts[d], texts[d ^ 1], want[d ^ 1]
+        exact[d] = a - common(x[:a][::-1], y[:p][::-1]), b + common(x[b:], y[q:])
+    ends = {d: substring_dedup.cuts(np.frombuffer(t.encode(), np.uint8)) for d, t in texts.items()}
+    pieces = lambda d: {texts[d][a:b] for a, b in zip([0, *ends[d]], ends[d])}
+    lost = exact.keys() - got.keys()
+    assert len(lost) <= 2 and not any(pieces(d) & pieces(d ^ 1) for d in lost)
+    assert got == {d: x for d, x in exact.items() if d not in lost}
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert all(left[d] == (texts[d] if d % 2 == 0 else texts[d][:a] + texts[d][b:]) for d, (a, b) in got.items())
+
+
+def test_ends_with_several_holders(spark):
+    """One chunk run in four documents, whose surroundings agree for different lengths: each has its longest."""
+    rng = random.Random(10)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared, tail = own(500), own(70)
+    rows = [(k, own(90).upper() + shared + tail[:n] + own(90).upper()) for k, n in enumerate((20, 21, 55, 70))]
+    got = {r["doc_id"]: (r["start"], r["end"]) for r in substring_dedup.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: (90, 610), 1: (90, 611), 2: (90, 645), 3: (90, 645)}
+
+
+def test_ends_longer_than_a_window(spark):
+    """Without borders for thousands of bytes, chunks of MOST bytes do not fall together; the bytes beside a run do."""
+    blank, rng = "a" * 6000, random.Random(9)
+    own = lambda n: "".join(rng.choice("bcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = own(400)
+    rows = [(1, own(100) + blank[:5000] + shared + own(90)), (2, own(153) + blank[:4321] + shared + own(50))]
+    got = substring_dedup.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"]) for r in got if r["end"] - r["start"] >= 4321 + 400} == {1, 2}
+
+
 def test_insertions_move_few_borders(texts):
     text = max(texts.values(), key=len).encode()
     moved = text[:1000] + b"inserted" + text[1000:]
