@@ -15,9 +15,11 @@ Bands and rows come from the similarity and the recall asked for. A text of
 fewer than n words has one n-gram, all its words.
 
 Cases: a null text is an empty one; empty texts have no n-gram and are copies of
-each other; null and repeated doc_ids keep their rows, a class is named by its
-least id (null if it has none); an empty table gives an empty result; columns
-other than doc_id and text are ignored.
+each other; null and repeated doc_ids keep their rows, and a class is named by its
+least id. Where it has none, or where that id already names a class (of lesser
+digest), its name comes from its digest: a negative number, or the digest in
+hexadecimal digits if ids are no integers. An empty table gives an empty result;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlake.llm.components import components
-from rasterlake.llm.textexpr import fresh
+from rasterlake.llm.textexpr import digest, fresh
 from rasterlake.llm.textkit import buffers, gram_hashes, mix, slices, span_hashes, unique_per_doc, words
 from rasterlake.session import work_dir
 
@@ -86,9 +88,10 @@ def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
 
 
 def _digests(strings: pa.Array) -> list[bytes]:
+    """As textexpr.digest."""
     data, at = buffers(strings)
     raw = memoryview(data)
-    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -133,7 +136,7 @@ def _links(left: list[int], right: list[int], sets: list[np.ndarray], bands: np.
         common += m[: len(left)] @ (m[len(left) :] if right is not left else m).T
     sl, sr = size[: len(left)], size[len(left) :] if right is not left else size
     both = (sl[:, None] + sr[None, :]).astype(np.float64)
-    ok = common * (1 + similarity) >= similarity * both - 1e-6
+    ok = common.astype(np.float64) * (1 + similarity) >= similarity * both - 1e-6
     for j in range(band):
         ok &= bands[left, j][:, None] != bands[right, j][None, :]
     return ok & (bands[left, band][:, None] == bands[right, band][None, :])
@@ -224,9 +227,6 @@ def links(docs: DataFrame, signed: DataFrame, n: int, similarity: float, bands:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                node = _digests(part.column("text"))
-                same = [k for k, (a, b) in enumerate(zip(node, part.column("node").to_pylist(), strict=True)) if a == b]
-                part = part.take(pa.array(same, pa.int64()))
                 grams, bounds = gram_sets(part.column("text"), n)
                 hashes = band_hashes(grams, bounds, bands, rows).view(np.int64)
                 at = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands)
@@ -236,7 +236,8 @@ def links(docs: DataFrame, signed: DataFrame, n: int, similarity: float, bands:
                     names=["node", "n", "bands", "grams"])
 
     texts = (
-        docs.select(F.col("doc_id").alias("_id"), "text").join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")))
+        docs.select(F.col("doc_id").alias("_id"), "text", digest(F.col("text")).alias("_node"))
+        .join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_node") == F.col("node")))
         .select("node", "n", "text").mapInArrow(read, "node binary, n bigint, bands array<bigint>, grams array<bigint>")
     )
     path = work_dir(spark, "sets")
@@ -256,6 +257,18 @@ def links(docs: DataFrame, signed: DataFrame, n: int, similarity: float, bands:
     )
 
 
+def _names(roots: DataFrame) -> DataFrame:
+    """root, class_id of every root (columns root, least): the least id where it names no class of lesser root, else a name from the root."""
+    kind = roots.schema["least"].dataType
+    first = roots.groupBy("least").agg(F.min("root").alias("first"))
+    free = F.col("least").isNotNull() & (F.col("root") == F.col("first"))
+    if isinstance(kind, T.IntegralType):
+        own, least = -F.pmod(F.xxhash64("root"), F.lit(1 << 62)) - 2, F.col("least").cast("long")
+    else:
+        own, least = F.lower(F.hex("root")), F.col("least").cast("string")
+    return roots.join(first, "least", "left").select("root", F.when(free, least).otherwise(own).alias("class_id"))
+
+
 def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every row, and (node, class_id, root, n_links, n_texts, n_copies) of every different text."""
     spark = docs.sparkSession
@@ -273,7 +286,7 @@ def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
         .join(roots, "node", "left").join(count, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    named = texts.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = _names(texts.groupBy("root").agg(F.min("least").alias("least")))
     texts = texts.join(named, "root").select(
         "node", "root", "class_id", "least", "n_copies", F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
         (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).cast("long").alias("n_links"))
@@ -291,16 +304,8 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: fl
     """One row of docs, all columns, of each class: of its least doc_id, and among rows of that id, of the least digest."""
     _, texts = classes(docs, n, similarity, recall)
     first = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("k"))
-    own_id, own_node = fresh(docs.columns, "own_id", "own_node")
+    own_id, own_node, node = fresh(docs.columns, "own_id", "own_node", "node")
     first = first.select(F.col("k.least").alias(own_id), F.col("k.node").alias(own_node))
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of the chosen id whose text is the chosen one."""
-        for batch in batches:
-            for part in slices(batch):
-                want = part.column(own_node).to_pylist()
-                yield part.filter(pa.array([a == b for a, b in zip(_digests(part.column("text")), want, strict=True)], pa.bool_()))
-
-    found = docs.join(first, docs["doc_id"].eqNullSafe(first[own_id]))
-    schema = T.StructType([*docs.schema.fields, T.StructField(own_node, T.BinaryType())])
-    return found.select(*docs.columns, own_node).mapInArrow(same, schema).dropDuplicates([own_node]).drop(own_node)
+    signed = docs.withColumn(node, digest(F.col("text")))
+    found = signed.join(first, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(node) == F.col(own_node)))
+    return found.dropDuplicates([own_node]).select(*docs.columns)

@@ -21,3 +21,8 @@ def fresh(columns: list[str], *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def digest(text: Column) -> Column:
+    """The first 16 bytes of the SHA-256 of a text; a null text counts as an empty one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))

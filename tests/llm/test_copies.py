@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rasterlake.llm import components, decontaminate, ngram_join, substring_dedup
 
@@ -80,6 +81,31 @@ def test_join_odd_rows(docs, none):
     assert ngram_join.join(none).collect() == [] and ngram_join.one_of_each(none).collect() == []
 
 
+def test_join_shared_and_missing_ids(spark):
+    """Classes keep names of their own where all rows lack an id or share one; texts are joined by id and digest."""
+    pairs = [t for seed in range(400) for t in edited(seed, 1, words=40)]
+    for ids in (None, 7):
+        frame = spark.createDataFrame([(ids, t) for t in pairs], "doc_id int, text string").repartition(4)
+        rows = ngram_join.join(frame).collect()
+        size = defaultdict(int)
+        for r in rows:
+            size[r["class_id"]] += 1
+        want = classes_of(dict(enumerate(pairs)), 0.8)
+        count = defaultdict(int)
+        for name, _ in want.values():
+            count[name] += 1
+        assert sorted(size.values()) == sorted(count.values()) and None not in size
+        assert (7 in size) == (ids == 7)
+        assert ngram_join.one_of_each(frame).count() == len(count)
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    for kind in ("bigint", "string"):
+        frame = spark.createDataFrame([("1", a), ("1", b), ("2", a), ("3", b)], "doc_id string, text string")
+        rows = ngram_join.join(frame.withColumn("doc_id", F.col("doc_id").cast(kind))).collect()
+        names = {int(r["doc_id"]): r["class_id"] for r in rows if int(r["doc_id"]) > 1}
+        assert names[2] != names[3] and {r["class_id"] for r in rows} == set(names.values())
+        assert str(1) in {str(n) for n in names.values()}
+
+
 def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.999), (0.5, 0.95), (0.9, 0.99)):
         bands, rows = ngram_join.bands_for(similarity, recall)
