@@ -5,7 +5,8 @@ when a single key holds a third of the table. Here the rows of a key are first
 cut into consecutive buckets of the ordering column (an hour of a timestamp, a
 block of an integer). The window runs inside (key, bucket); what must cross a
 bucket border is carried by one summary row per bucket, and only those
-summaries are windowed per key.
+summaries are windowed per key. `range_ranks` numbers a whole table without any
+bucket: over range partitions, whose sizes alone are added up.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlake.session import work_dir
+
 
 def time_bucket(ts: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts))
@@ -117,3 +120,22 @@ def hist_quantile(df: DataFrame, keys: list[str], bin_col: str, target: Column,
         F.max("total").alias("total"),
         pick(F.when(F.col("__run") >= target, F.col(bin_col))).alias(out),
     )
+
+
+def range_ranks(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
+    """1-based place of every row in the whole order, which must be unique.
+
+    Rows are dealt to range partitions from a sample of the order, so a busy
+    hour or sparse ids spread as evenly as any other. They are numbered inside
+    their partition and written; what a partition's numbers begin with is the
+    count of the rows before it, a table of one row per partition.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "ranks")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    before = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.coalesce("__before", F.lit(0)) + 1
+    return numbered.join(F.broadcast(before.drop("__n")), "__part").withColumn(out, place).drop("__id", "__part", "__before")

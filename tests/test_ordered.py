@@ -65,3 +65,21 @@ def test_hot_key_is_split(rows):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(key" in plan
     assert all("__b" in line for line in plan.splitlines() if "row_number() windowspecdefinition" in line)
+
+
+def test_range_ranks_of_any_order(spark):
+    """One busy hour and sparse ids: places in the whole order, nulls included, spread over all tasks."""
+    rows = [(i * i * 7919 % 100_003, i % 3 or None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "v long, g int").repartition(6)
+    order = [F.col("g").asc_nulls_last(), F.col("v").desc()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranked = ordered.range_ranks(df.distinct(), order, "place")
+        got = ranked.collect()
+        per_task = [r["n"] for r in ranked.groupBy(F.floor(F.col("place") / 625)).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = sorted(set(rows), key=lambda r: (r[1] is None, r[1] or 0, -r[0]))
+    assert {(r["v"], r["g"]): r["place"] for r in got} == {r: i for i, r in enumerate(want, 1)}
+    assert sum(per_task) == len(want)
+    assert ordered.range_ranks(df.where("false"), order, "place").collect() == []
