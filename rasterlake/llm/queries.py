@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterlake.llm import (
-    context_tree, decontaminate, licenses, ngram_join, packing, quality, secrets, substring_dedup, token_files, toxicity,
+    context_tree, decontaminate, licenses, mixing, ngram_join, packing, quality, secrets, spelling, substring_dedup, token_files, toxicity,
+    vector_codes,
 )
 from rasterlake.session import work_dir
 
@@ -87,3 +88,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=0)
+
+
+@query("op11_source_mix")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", vector_codes.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
