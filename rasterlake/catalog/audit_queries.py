@@ -26,6 +26,46 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.sum("output_bytes").alias("out_sum"), F.count_if("pixel_equal").alias("equal_n"))
 
 
+def _bench_file(t, form: str) -> str:
+    """The runs as a benchmark writes them, with lost chunks by name and both decoders."""
+    folder = work_dir(t.spark, f"bench-{form}")
+    rows = t.bench.select(
+        col("case_id").cast("string").alias("case_id"), col("arm_id").cast("string").alias("arm_id"), col("pixels").alias("input_bytes"),
+        col("baseline_bytes").alias("baseline_l9_bytes"), "output_bytes", (col("output_bytes") / col("baseline_bytes")).alias("ratio_vs_l9"),
+        F.lit(None).cast("double").alias("pct_saved_vs_l9"), "pixel_equal", "status", "time_ms",
+        F.when(~col("decode_ok") & (col("run_id") % 2 == 0), False).otherwise(True).alias("decode_ffmpeg"),
+        F.when(~col("decode_ok") & (col("run_id") % 2 == 1), False).alias("decode_pillow"),
+        F.when(col("chunk_loss"), F.array(F.lit("iCCP"), F.lit("eXIf"))).when(col("run_id") % 3 == 0, F.array().cast("array<string>")).alias("chunk_loss"))
+    if form == "tsv":
+        cells = [F.coalesce(F.to_json(c) if c == "chunk_loss" else col(c).cast("string"), F.lit("null")).alias(c) for c in rows.columns]
+        rows.select(*cells).write.option("header", True).option("sep", "\t").option("quote", "").csv(folder)
+    else:
+        rows.write.json(folder)
+    return folder
+
+
+_ARMS_SQL = f"""select cast(arm_id as varchar) arm_id, count(case when {_OK} then 1 end) valid,
+    round(exp(avg(case when {_OK} then ln(output_bytes::double/baseline_bytes) end)), 6) geo_ratio,
+    round((1e0 - sum(case when {_OK} then output_bytes end)::double/sum(case when {_OK} then baseline_bytes end)::double)*100e0, 6) saved_pct,
+    count(case when not pixel_equal then 1 end) violations, count(case when chunk_loss then 1 end) chunk_losses,
+    count(case when not decode_ok then 1 end) decode_failures, count(case when status = 'timeout' then 1 end) timeouts,
+    cast(sum(time_ms) as bigint) total_ms from bench group by arm_id"""
+
+
+@query("s10_arm_summary_from_tsv", _ARMS_SQL)
+def _(t):
+    rows = readers.bench_cells(readers.read_bench_rows(t.spark, _bench_file(t, "tsv"), "tsv"))
+    return audit.bench_arm_summary(rows).withColumns({"geo_ratio": r6("geo_ratio"), "saved_pct": r6("saved_pct")})
+
+
+@query("s10_conservation_from_json", """select cast(arm_id as varchar) arm_id, count(*) cells, count(case when status = 'ok' and pixel_equal then 1 end) passed,
+    count(case when status = 'fail' or (status = 'ok' and not pixel_equal) then 1 end) failed, count(case when status = 'skip' then 1 end) skipped,
+    count(case when status = 'timeout' then 1 end) timed_out, true conserved from bench group by arm_id""")
+def _(t):
+    """JSON lines: the reader's array form takes them too."""
+    return audit.bench_conservation(readers.bench_cells(readers.read_bench_rows(t.spark, _bench_file(t, "json"), "jsonl")))
+
+
 @query("a18_bench_arm_summary", f"""select arm_id, count(case when {_OK} then 1 end) valid,
     round(exp(avg(case when {_OK} then ln(output_bytes::double/baseline_bytes) end)), 6) geo_ratio,
     round((1e0 - sum(case when {_OK} then output_bytes end)::double/sum(case when {_OK} then baseline_bytes end)::double)*100e0, 6) saved_pct,

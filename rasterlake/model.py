@@ -150,6 +150,13 @@ BENCH_SCHEMA = T.StructType([
     T.StructField("pixel_equal", T.BooleanType()),
     T.StructField("status", T.StringType()),
     T.StructField("time_ms", T.LongType()),
+    T.StructField("decode_ffmpeg", T.BooleanType()),
+    T.StructField("decode_pillow", T.BooleanType()),
+    T.StructField("chunk_loss", T.ArrayType(T.StringType())),
+    T.StructField("chunk_gain", T.ArrayType(T.StringType())),
+    T.StructField("corrupt", T.BooleanType()),
+    T.StructField("exit_code", T.IntegerType()),
+    T.StructField("notes", T.StringType()),
 ])
 _SIDE = T.StructType([
     T.StructField("side_data_type", T.StringType()),

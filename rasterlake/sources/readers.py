@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterlake.functions import media, text
 from rasterlake.model import BENCH_SCHEMA, JOB_LOG_SCHEMA, LEDGER_SCHEMA, MATRIX_SCHEMA
@@ -81,7 +82,10 @@ def pick_stream(df: DataFrame, json_col: str) -> DataFrame:
 def tag_dump_rows(docs: DataFrame, json_col: str) -> DataFrame:
     """Dump text, an array of objects with dynamic keys, to a long tag table."""
     maps = F.from_json(F.col(json_col), "array<map<string,string>>")
-    rows = docs.select(F.explode(maps).alias("m"))
+    return _tag_rows(docs.select(F.explode(maps).alias("m")))
+
+
+def _tag_rows(rows: DataFrame) -> DataFrame:
     return (
         rows.select(F.col("m")["SourceFile"].alias("file"), F.explode("m").alias("name", "value"))
         .where(F.col("name") != "SourceFile")
@@ -92,8 +96,25 @@ def tag_dump_rows(docs: DataFrame, json_col: str) -> DataFrame:
     )
 
 
-def read_tag_dump(spark: SparkSession, path: str) -> DataFrame:
-    return tag_dump_rows(spark.read.text(path, wholetext=True), "value")
+#: What lies between two records of a dump with a record's end and the next one's start on lines of their own.
+RECORD_BORDERS = ("},\n{", "},\r\n{")
+
+
+def read_tag_dump(spark: SparkSession, path: str, border: str = RECORD_BORDERS[0]) -> DataFrame:
+    """A long tag table of dumps: arrays of one object a file.
+
+    The text between two records separates rows for the scan, which finds it in byte
+    ranges, so one huge dump is many tasks. No string of a JSON text holds a
+    line break, so the border is never inside of a value. A dump written without line breaks, or with other ones
+    (pass its border), is one row.
+    """
+    pieces = spark.read.option("lineSep", border).text(path)
+    # The first record of a file has the array's opening before it, the last one its end behind it; the rest lost both braces.
+    opened = F.regexp_replace("value", r"^\s*\[?\s*\{", "")
+    record = F.from_json(F.concat(F.lit("{"), opened, F.lit("}")), "map<string,string>")
+    whole = F.from_json("value", "array<map<string,string>>")
+    several = F.when(F.col("value").rlike(r"^\s*\[") & F.col("value").rlike(r"\]\s*$"), whole).otherwise(F.array(record))
+    return _tag_rows(pieces.where(F.col("value").rlike(r"\S")).select(F.explode(several).alias("m")))
 
 
 def read_job_log(spark: SparkSession, path: str) -> DataFrame:
@@ -131,14 +152,29 @@ def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bench_rows(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
-    """Benchmark rows from JSON (arrays or lines) or tab-separated summaries ("tsv").
+    """Benchmark rows from JSON arrays ("json"), JSON lines ("jsonl") or tab-separated summaries ("tsv").
 
     A JSON array is one document to Spark; JSON lines or TSV split freely and
-    are the forms to use at scale.
+    are the forms to use at scale. Columns that an older summary lacks are null.
     """
-    if form not in ("json", "tsv"):
-        raise ValueError(f"form {form!r}: json or tsv")
+    if form not in ("json", "jsonl", "tsv"):
+        raise ValueError(f"form {form!r}: json, jsonl or tsv")
     if form == "tsv":
-        return spark.read.option("header", True).option("sep", "\t").option("enforceSchema", False).csv(path).select(
-            *[F.col(f.name).cast(f.dataType) for f in BENCH_SCHEMA.fields])
-    return spark.read.option("multiLine", True).schema(BENCH_SCHEMA).json(path)
+        rows = spark.read.option("header", True).option("sep", "\t").option("enforceSchema", False).csv(path)
+
+        def cell(f):
+            if f.name not in rows.columns:
+                return F.lit(None).cast(f.dataType).alias(f.name)
+            value = F.when(F.col(f.name) != "null", F.col(f.name))
+            return (F.from_json(value, f.dataType) if isinstance(f.dataType, T.ArrayType) else value.cast(f.dataType)).alias(f.name)
+
+        return rows.select(*map(cell, BENCH_SCHEMA.fields))
+    return spark.read.option("multiLine", form == "json").schema(BENCH_SCHEMA).json(path)
+
+
+def bench_cells(rows: DataFrame) -> DataFrame:
+    """Benchmark rows as the summaries take them: what a run lost, and whether both decoders read its result."""
+    return rows.select(
+        "case_id", "arm_id", "output_bytes", F.col("baseline_l9_bytes").alias("baseline_bytes"), "pixel_equal", "status", "time_ms",
+        (F.size(F.coalesce("chunk_loss", F.array().cast("array<string>"))) > 0).alias("chunk_loss"),
+        (F.coalesce("decode_ffmpeg", F.lit(True)) & F.coalesce("decode_pillow", F.lit(True))).alias("decode_ok"))
