@@ -56,6 +56,11 @@ def _(t):
     return runner.run_append(monitors.terminal_dedup(t.event_stream), "x05")
 
 
+@query("x05_terminal_first", "select item_id, ts, event_id, status from (select *, row_number() over (partition by item_id order by ts, event_id) rn from terminal) where rn = 1")
+def _(t):
+    return _plain(runner.run_append(monitors.terminal_first(t.event_stream), "x05-first"), "ts")
+
+
 @query("x06_queue_stall", f"""with {_SESSIONS.format(key='batch', gap=1800, src='terminal')} select batch, last_done, win_end stalled_at, done from (select batch, max(ts) last_done,
     max(ts) + interval '1800 seconds' win_end, count(*) done, max_by(k % 4, (ts, event_id)) remaining from s group by batch, sid) where remaining > 0 and {_CLOSED.format(src='terminal')}""")
 def _(t):

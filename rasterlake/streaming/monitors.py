@@ -76,6 +76,31 @@ def terminal_dedup(stream: DataFrame, retention: str = RETENTION) -> DataFrame:
     return _dedup(ends, ["item_id"]).select("item_id")
 
 
+def terminal_first(stream: DataFrame, retention: str = RETENTION) -> DataFrame:
+    """The first terminal event of each item with its payload: item_id, ts, event_id, status.
+
+    Of the events that come in together the earliest counts; one that comes in later
+    changes nothing. An item's state is one mark, dropped when its event is older than the
+    retention, in event time; events older than that are not taken in either.
+    """
+    ends = stream.where(is_terminal(F.col("status"))).withWatermark("ts", retention).select("item_id", "ts", "event_id", "status")
+
+    def first(key, frames, state):
+        best = None
+        for frame in frames:
+            row = frame.sort_values(["ts", "event_id"]).iloc[[0]]
+            if best is None or (row["ts"].iloc[0], row["event_id"].iloc[0]) < (best["ts"].iloc[0], best["event_id"].iloc[0]):
+                best = row
+        if state.hasTimedOut:
+            state.remove()
+        elif best is not None and not state.exists:
+            state.update((True,))
+            state.setTimeoutTimestamp(max(int(best["ts"].iloc[0].timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+            yield best[["item_id", "ts", "event_id", "status"]]
+
+    return ends.groupBy("item_id").applyInPandasWithState(first, ends.schema, "seen boolean", "append", "EventTimeTimeout")
+
+
 def queue_stall(stream: DataFrame, window_seconds: int = 600, windows: int = 3, delay: str = "10 minutes",
                 batch: str = "batch", remaining: Column | None = None) -> DataFrame:
     """An unfinished batch without a terminal event for several windows in a row.

@@ -61,6 +61,23 @@ def test_restart_neither_loses_nor_repeats(spark, feed, tmp_path):
     assert sorted(r.item_id for r in spark.read.parquet(f"{base}/out").collect()) == [7, 8]
 
 
+def test_first_terminal_event_with_its_payload(spark, feed, tmp_path):
+    """Over micro-batches and a restart: the earliest of those that came in together, later ones change nothing, state ends with the retention."""
+    base = str(tmp_path / "first")
+    feed((1, 7, at(5), "stopped"), (2, 7, at(4), "failed: 1"), (3, 8, at(1), "processing"), (4, 9, at(2), "completed"), (5, 9, at(2), "stopped"))
+    drain(monitors.terminal_first(feed.stream()), base)
+    feed((6, 7, at(1), "completed"), (7, 8, at(9), "completed"))
+    drain(monitors.terminal_first(feed.stream()), base)
+    drain(monitors.terminal_first(feed.stream()), base)
+    got = sorted((r.item_id, r.ts, r.event_id, r.status) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(7, at(4), 2, "failed: 1"), (8, at(9), 7, "completed"), (9, at(2), 4, "completed")]
+    feed((8, 10, at(60 * 24 * 40), "stopped"))
+    drain(monitors.terminal_first(feed.stream()), base)
+    feed((9, 7, at(60 * 24 * 41), "completed"))
+    drain(monitors.terminal_first(feed.stream()), base)
+    assert [r.status for r in spark.read.parquet(f"{base}/out").where("item_id = 7").orderBy("ts").collect()] == ["failed: 1", "completed"]
+
+
 def test_heartbeat_alerts(spark, feed):
     feed((1, 1, at(0), "processing"), (2, 1, at(1), "processing 5%"), (3, 2, at(0), "processing"), (4, 2, at(1), "completed"),
          (5, 3, at(0), "processing"), (6, 3, at(5), "processing 9%"), (7, 9, at(60), "pending"))
