@@ -118,7 +118,7 @@ def _(t):
 @query("j04_pair_sequential", """select (rn - 1) // 2 pair_id, max(case when rn % 2 = 1 then path end) sdr, max(case when rn % 2 = 0 then path end) hdr from (
     select path, row_number() over (order by asset_id) rn from paths) group by 1""")
 def _(t):
-    return jobs.pair_sequential(t.paths, "asset_id", "path", width=64)
+    return jobs.pair_sequential(t.paths, "asset_id", "path")
 
 
 @query("j10_apply_preset", """select ord, o.k, coalesce(p.v, o.v) v from (select *, concat('preset', owner % 3) preset from options) o

@@ -71,7 +71,8 @@ def _(t):
 
 
 _NEAR = "select asset_id, token, rank, greatest(" + ", ".join(f"abs(m{i}-d{i})" for i in range(9)) + """) err from mats, (select *,
-    case token when 'bt709' then 0 when 'bt2020' then 1 when 'smpte432' then 2 when 'smpte431' then 3 else 4 end rank from prim_d50)"""
+    case token when 'bt709' then 0 when 'bt2020' then 1 when 'smpte432' then 2 when 'smpte431' then 3 when 'bt470bg' then 4
+    when 'Adobe RGB' then 5 else 6 end rank from prim_d50)"""
 
 
 @query("j07_nearest_known_space", f"""select asset_id, round(err, 6) err, case when err <= 2e-3 then token end space from (
@@ -83,13 +84,11 @@ def _(t):
 
 @query("t02_argmin_per_group", f"""select asset_id, rank, round(err, 6) err from (select *, row_number() over (partition by asset_id order by err, rank) rn from ({_NEAR})) where rn = 1""")
 def _(t):
-    from rasterlake.functions.matrices import colorants_d50
-    from rasterlake.model import PRIMARIES
     from rasterlake.operators.measure import argmin_per_group
     cells = [f"m{i}" for i in range(9)]
     options = F.array(*[
-        F.struct(F.lit(r).alias("rank"), F.greatest(*[F.abs(col(c) - v) for c, v in zip(cells, colorants_d50(*PRIMARIES[p]))]).alias("err"))
-        for r, p in enumerate(colorspace.KNOWN_SPACES)])
+        F.struct(F.lit(r).alias("rank"), F.greatest(*[F.abs(col(c) - v) for c, v in zip(cells, colorants)]).alias("err"))
+        for r, (_, colorants) in enumerate(colorspace.known_spaces())])
     rows = t.mats.select("asset_id", F.inline(options))
     return argmin_per_group(rows, ["asset_id"], "err", "rank").select("asset_id", "rank", r6("err", "err"))
 
@@ -175,18 +174,19 @@ def _(t):
 def _judged(t):
     rows = decisions.with_targets(t.assets).withColumns({
         "requested_depth": F.when(col("asset_id") % 3 == 0, 16).when(col("asset_id") % 3 == 1, 10).otherwise(8),
-        "gain_map_wanted": col("asset_id") % 5 == 1, "tone_requested": col("asset_id") % 2 == 0})
+        "gain_map_wanted": col("asset_id") % 5 == 1, "tone_requested": col("asset_id") % 2 == 0,
+        "gain_map_base": F.when(col("asset_id") % 10 == 1, "bt2020")})
     return decisions.degradations(decisions.with_outlet(decisions.plan_color(rows)))
 
 
 _JUDGE = f"""with {_PLAN}, o as (select q.*, case asset_id % 3 when 0 then 16 when 1 then 10 else 8 end req, asset_id % 5 = 1 gmw, asset_id % 2 = 0 tone, coalesce(dp, sp) xp, coalesce(dt, st) xt from q),
     u as (select *, least(req, max_bit_depth) td from o),
-    v as (select *, case when rgb_native then case when td <= 8 then 8 else 16 end else td end od, has_icc and can_icc and action <> 'Map' att,
+    v as (select *, case when rgb_native and (action = 'Map' or format in ('png','apng','tiff','jxl')) then case when td <= 8 then 8 else 16 end else td end od, has_icc and can_icc and action <> 'Map' att,
     coalesce(can_cicp and xp is not null and (format <> 'jxl' or (xt = 'iec61966-2-1' and xp in ('bt709','smpte432')) or (xt in ('smpte2084','arib-std-b67') and xp = 'bt2020')), false) nameable from u),
     w as (select *, nameable or att or can_icc_from_cicp labelled, rgb_native and od > td and od <= max_bit_depth raised from v),
     z as (select asset_id, target, action, case when action = 'Reject' then '' else concat_ws('|',
     case when not raised and ((action = 'Map' and od = 8) or (not rgb_native and req > td)) then 'BitDepthReduced' end,
-    case when raised then 'BitDepthRaised' end, case when outside_gamut then 'GamutClipped' end, case when not labelled and unlabeled_srgb then 'UnlabeledAssumedSrgb' end,
+    case when raised then 'BitDepthRaised' end, case when outside_gamut and not (gmw and gain_map and asset_id % 10 = 1 and not has_icc and coalesce(sp in ('bt709','smpte432','bt2020'), false)) then 'GamutClipped' end, case when not labelled and unlabeled_srgb then 'UnlabeledAssumedSrgb' end,
     case when has_icc and not att then 'NoIccCarrier' end, case when has_icc and not att and not can_icc then 'ContainerCannotCarryIcc' end,
     case when gmw and gain_map and tone then 'ToneMapNotAppliedToGainMap' end) end codes from w)"""
 

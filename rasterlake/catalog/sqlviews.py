@@ -33,7 +33,9 @@ VIEWS: dict[str, str] = {
         ('bt2020',0.708e0,0.292e0,0.170e0,0.797e0,0.131e0,0.046e0,0.3127e0,0.3290e0),
         ('smpte432',0.680e0,0.320e0,0.265e0,0.690e0,0.150e0,0.060e0,0.3127e0,0.3290e0),
         ('smpte431',0.680e0,0.320e0,0.265e0,0.690e0,0.150e0,0.060e0,0.314e0,0.351e0),
-        ('bt470bg',0.640e0,0.330e0,0.290e0,0.600e0,0.150e0,0.060e0,0.3127e0,0.3290e0))
+        ('bt470bg',0.640e0,0.330e0,0.290e0,0.600e0,0.150e0,0.060e0,0.3127e0,0.3290e0),
+        ('Adobe RGB',0.640e0,0.330e0,0.210e0,0.710e0,0.150e0,0.060e0,0.3127e0,0.3290e0),
+        ('ProPhoto RGB',0.7347e0,0.2653e0,0.1596e0,0.8404e0,0.0366e0,0.0001e0,0.3457e0,0.3585e0))
         t(token, rx, ry, gx, gy, bx, by_, wx, wy)""",
     # Scale of each primary by Cramer's rule, then Bradford to D50.
     "prim_xyz": """select *, rx*sr m0, gx*sg m1, bx*sb m2, ry*sr m3, gy*sg m4, by_*sb m5,

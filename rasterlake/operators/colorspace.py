@@ -14,6 +14,11 @@ from rasterlake.model import CAPS_FIELDS, PRIMARIES, caps_map, constant_table, p
 
 # --- fixed values: identification order and tolerance -------------------------
 KNOWN_SPACES = ("bt709", "bt2020", "smpte432", "smpte431", "bt470bg")
+#: Named spaces behind them. Others of the names (sRGB, Display P3, BT.2020) have the primaries of a token, which comes first; ColorMatch RGB has none on record.
+NAMED_SPACES = {
+    "Adobe RGB": ((0.640, 0.330), (0.210, 0.710), (0.150, 0.060), (0.3127, 0.3290)),
+    "ProPhoto RGB": ((0.7347, 0.2653), (0.1596, 0.8404), (0.0366, 0.0001), (0.3457, 0.3585)),
+}
 KNOWN_TOLERANCE = 2e-3
 # --- fixed values: superset candidates in order -------------------------------
 SDR_SUPERSETS = (
@@ -39,6 +44,11 @@ def lookup_primaries(assets: DataFrame, token: str, prefix: str = "") -> DataFra
     return assets.join(F.broadcast(dim), lower_token(F.col(token)) == F.col("__alias"), "left").drop("__alias")
 
 
+def known_spaces() -> list[tuple[str, tuple]]:
+    """Name and D50 colorants of every space that is recognised, in order."""
+    return [(t, matrices.colorants_d50(*PRIMARIES[t])) for t in KNOWN_SPACES] + [(n, matrices.colorants_d50(*p)) for n, p in NAMED_SPACES.items()]
+
+
 def nearest_known_space(profiles: DataFrame, cells: list[str], tol: float = KNOWN_TOLERANCE) -> DataFrame:
     """Best match of a measured colorant matrix, accepted within the tolerance.
 
@@ -46,8 +56,7 @@ def nearest_known_space(profiles: DataFrame, cells: list[str], tol: float = KNOW
     projection: no join at all, and ties go to the earlier space.
     """
     options = []
-    for rank, token in enumerate(KNOWN_SPACES):
-        ref = matrices.colorants_d50(*PRIMARIES[token])
+    for rank, (token, ref) in enumerate(known_spaces()):
         err = F.greatest(*[F.abs(F.col(c) - v) for c, v in zip(cells, ref)])
         options.append(F.struct(err.alias("err"), F.lit(rank).alias("rank"), F.lit(token).alias("token")))
     best = F.array_min(F.array(*options))

@@ -102,9 +102,17 @@ def compose_admissible(pairs: DataFrame) -> DataFrame:
 
 
 # --- inputs and target names ---------------------------------------------------
-def pair_sequential(inputs: DataFrame, order: str, value: str, width: int = 1_000_000) -> DataFrame:
-    """Inputs 2i and 2i+1 become (sdr, hdr); a trailing odd input gets no partner."""
-    ranked = ordered.row_numbers(inputs, [], [F.col(order)], ordered.block(order, width))
+def _numbered(rows: DataFrame, order: list[Column], bucket: Column | None, out: str) -> DataFrame:
+    """Places in the whole order, over range partitions unless there is a bucket."""
+    return ordered.range_ranks(rows, order, out) if bucket is None else ordered.row_numbers(rows, [], order, bucket, out)
+
+
+def pair_sequential(inputs: DataFrame, order: str, value: str, width: int | None = None) -> DataFrame:
+    """Inputs 2i and 2i+1 become (sdr, hdr); a trailing odd input gets no partner.
+
+    Inputs are numbered over range partitions, or, where the order is known to be dense, over blocks of that width.
+    """
+    ranked = _numbered(inputs, [F.col(order)], ordered.block(order, width) if width else None, "rn")
     pair = F.floor((F.col("rn") - 1) / 2).alias("pair_id")
     slot = F.struct("rn", F.col(value).alias("v"))
     return ranked.select(pair, slot.alias("s")).groupBy("pair_id").agg(
@@ -289,11 +297,12 @@ def queue_summary(terminal: DataFrame) -> DataFrame:
 
 
 def completion_counter(events: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """Running done count in completion order, and the total."""
-    done = first_terminal(events)
-    numbered = ordered.row_numbers(
-        done, [], [F.col("ts"), F.col("event_id")], bucket if bucket is not None else ordered.time_bucket("ts"), "done")
-    return numbered.withColumn("total", done.agg(F.count(F.lit(1))).scalar())
+    """Running done count in completion order, and the total.
+
+    Items are numbered over range partitions, so a busy hour spreads like any other; a bucket of ts takes their place.
+    """
+    numbered = _numbered(first_terminal(events), [F.col("ts"), F.col("event_id")], bucket, "done")
+    return numbered.withColumn("total", numbered.agg(F.count(F.lit(1))).scalar())
 
 
 def stall_gaps(events: DataFrame, window: int = STALL_WINDOW_SECONDS, windows: int = STALL_WINDOWS) -> DataFrame:
@@ -347,7 +356,7 @@ def build_jobs(inputs: DataFrame, existing: DataFrame, fmt: str, out_dir: str, e
     """
     rows = filter_enabled_formats(inputs, enabled)
     if compose:
-        pairs = ordered.row_numbers(rows, [], [F.col(order)], ordered.block(order, width))
+        pairs = _numbered(rows, [F.col(order)], None, "rn")
         row = F.struct("rn", *rows.columns)
         pairs = pairs.groupBy(F.floor((F.col("rn") - 1) / 2).alias("__pair")).agg(
             F.min(row).alias("sdr"), F.max(row).alias("hdr"), F.count(F.lit(1)).alias("n"))

@@ -176,12 +176,19 @@ def needs_hdr_to_sdr(fmt: Column, transfer: Column, depth: Column, target_transf
     return hdr_source & ~F.coalesce(exempt, F.lit(False)) & ~F.coalesce(hdr_target, F.lit(False))
 
 
+# --- fixed values: formats whose RGB outlet is 8 or 16 bit, and sources inside a wide gain-map base -----
+TWO_DEPTH_FORMATS = ("png", "apng", "tiff", "jxl")
+WIDE_BASE = "bt2020"
+WIDE_BASE_COVERS = ("bt709", "smpte432", "bt2020")
+
+
 def degradations(plans: DataFrame) -> DataFrame:
     """Codes of what actually happened, in fixed order; none for a reject.
 
     plans: plan_color output plus target_depth, requested_depth, outlet_depth,
     has_icc, attach_icc, out_primaries, gain_map_wanted, tone_requested,
-    labelled.
+    labelled. With a column gain_map_base, a gain map on a wide base clips nothing
+    of a source that names primaries inside of it.
     """
     mapped = F.col("action") == "Map"
     to_eight = mapped & (F.col("outlet_depth") == 8)
@@ -192,10 +199,15 @@ def degradations(plans: DataFrame) -> DataFrame:
     capped = ~F.col("rgb_native") & (F.col("requested_depth") > F.col("target_depth")) & ~to_eight
     reduced = (to_eight | lowered | capped) & ~raised
     lost_icc = F.col("has_icc") & ~F.col("attach_icc")
+    outside = F.col("outside_gamut")
+    if "gain_map_base" in plans.columns:
+        wide = F.col("gain_map_wanted") & F.col("gain_map") & (F.lower("gain_map_base") == WIDE_BASE)
+        covered = wide & ~F.col("has_icc") & F.col("s_token").isin(*WIDE_BASE_COVERS)
+        outside = outside & ~F.coalesce(covered, F.lit(False))
     found = F.array_compact(F.array(
         F.when(reduced, F.lit("BitDepthReduced")),
         F.when(raised, F.lit("BitDepthRaised")),
-        F.when(F.col("outside_gamut"), F.when(F.col("gamut_map"), "GamutCompressed").otherwise("GamutClipped")),
+        F.when(outside, F.when(F.col("gamut_map"), "GamutCompressed").otherwise("GamutClipped")),
         F.when(~F.col("labelled") & F.col("unlabeled_srgb"), F.lit("UnlabeledAssumedSrgb")),
         F.when(lost_icc, F.lit("NoIccCarrier")),
         F.when(lost_icc & ~F.col("can_icc"), F.lit("ContainerCannotCarryIcc")),
@@ -207,9 +219,13 @@ def degradations(plans: DataFrame) -> DataFrame:
 
 
 def with_outlet(plans: DataFrame) -> DataFrame:
-    """Depths and labels that degradations() judges, derived from the plan."""
+    """Depths and labels that degradations() judges, derived from the plan.
+
+    What is passed through in RGB is known to come out with 8 or 16 bit in four formats alone; elsewhere nothing is claimed.
+    """
     target = F.least(F.coalesce(F.col("requested_depth"), F.lit(8)), F.col("max_bit_depth"))
-    rgb_outlet = F.when(F.col("target_depth") <= 8, 8).otherwise(16)
+    two_depths = (F.col("action") == "Map") | F.lower("format").isin(*TWO_DEPTH_FORMATS)
+    rgb_outlet = F.when(~two_depths, F.col("target_depth")).when(F.col("target_depth") <= 8, 8).otherwise(16)
     return (
         plans.withColumn("target_depth", target)
         .withColumn("outlet_depth", F.when(F.col("rgb_native"), rgb_outlet).otherwise(F.col("target_depth")))

@@ -143,3 +143,11 @@ def test_psnr_of_identical_is_infinite(spark):
     from rasterlake.operators import quality
     px = spark.range(10).selectExpr("1 asset_id", "0 frame", "0 y", "cast(id as int) x", "cast(id as int) code")
     assert math.isinf(quality.psnr(px, px).first().psnr)
+
+
+def test_named_spaces_are_recognised(spark):
+    cells = [f"m{i}" for i in range(9)]
+    rows = [(name, *(float(v) + 1e-3 * (-1) ** i for i, v in enumerate(m))) for name, m in colorspace.known_spaces()]
+    rows.append(("none", *([0.3] * 9)))
+    got = colorspace.nearest_known_space(spark.createDataFrame(rows, "name string, " + ", ".join(f"{c} double" for c in cells)), cells)
+    assert {r["name"]: r["space"] for r in got.collect()} == {name: name for name, _ in colorspace.known_spaces()} | {"none": None}
