@@ -3,8 +3,8 @@
 from importlib import import_module
 
 MODULES = (
-    "pixel_queries", "expression_queries", "metadata_queries", "job_queries", "audit_queries", "planning_queries",
-    "stream_queries",
+    "pixel_queries", "tile_queries", "expression_queries", "metadata_queries", "job_queries", "audit_queries",
+    "planning_queries", "stream_queries",
 )
 
 

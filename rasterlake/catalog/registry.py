@@ -12,6 +12,8 @@ from rasterlake.catalog.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The SQL as written, before the views are put in front of it: a second form of an operator has the same.
+ORACLE_BODIES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -20,6 +22,7 @@ def query(name: str, sql: str | None = None):
     def wrap(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if sql is not None:
+            ORACLE_BODIES[name] = sql
             ORACLES[name] = with_views(sql)
         return build
 

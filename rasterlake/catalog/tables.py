@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.operators import ordered
+from rasterlake.operators import ordered, tiles
 from rasterlake.operators.pixels import split_frames, unpack_bytes, unpack_pixels
 
 BASE = (
@@ -56,6 +58,73 @@ class Tables:
     def enc(self) -> DataFrame:
         return self.px8f.drop("code").withColumnRenamed("code2", "code")
 
+    def _lines(self, codes, bits: int = 8) -> DataFrame:
+        """The frames of px8f as tiles of one line each, of the given codes (an array of eight by line)."""
+        y = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("line")
+        lines = self.rasters.select("asset_id", y, "codes").select(
+            "asset_id", F.floor(F.col("line") / 3).cast("int").alias("frame"), (F.col("line") % 3).cast("int").alias("y0"), F.lit(0).alias("x0"),
+            F.lit(8).alias("w"), F.lit(1).alias("h"), F.slice("codes", F.col("line") * 8 + 1, F.lit(8)).alias("codes"))
+        return tiles.from_arrays(lines.withColumn("codes", codes), "codes", bits=bits)
+
+    @staticmethod
+    def _coarser(code):
+        step = F.col("frame") * 4 + 1
+        return F.least(F.lit(255), F.floor(code / step) * step).cast("int")
+
+    @cached_property
+    def ref_tiles(self) -> DataFrame:
+        return self._lines(F.col("codes"))
+
+    @cached_property
+    def enc_tiles(self) -> DataFrame:
+        """The rendition of px8f."""
+        return self._lines(F.transform("codes", self._coarser))
+
+    @cached_property
+    def wide_tiles(self) -> tuple[DataFrame, DataFrame]:
+        """Both renditions with 16 bits: 257 times the code."""
+        return (self._lines(F.transform("codes", lambda c: c * 257), 16), self._lines(F.transform("codes", lambda c: self._coarser(c) * 257), 16))
+
+    @cached_property
+    def rgb_tiles(self) -> DataFrame:
+        """The images of pxrgb as two tiles each: five lines and three."""
+        def shifted(by):
+            return F.transform("codes", lambda c, i: F.get("codes", ((i + by) % F.size("codes")).cast("int")))
+
+        whole = self.rasters.select("asset_id", F.flatten(F.transform(
+            F.arrays_zip(F.col("codes").alias("r"), shifted(21).alias("g"), shifted(42).alias("b")), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("codes"))
+        part = F.explode(F.array(F.struct(F.lit(0).alias("y0"), F.lit(5).alias("h")), F.struct(F.lit(5).alias("y0"), F.lit(3).alias("h")))).alias("p")
+        cut = whole.select("asset_id", part, "codes").select(
+            "asset_id", F.lit(0).alias("frame"), "p.y0", F.lit(0).alias("x0"), F.lit(8).alias("w"), "p.h",
+            F.slice("codes", F.col("p.y0") * 24 + 1, F.col("p.h") * 24).alias("codes"))
+        return tiles.from_arrays(cut, "codes", 3)
+
+    @cached_property
+    def mixed_sizes(self) -> DataFrame:
+        """Sizes of three kinds of image and of their gain grids."""
+        def pick(*values):
+            kind = F.col("asset_id") % 3
+            return F.when(kind == 0, values[0]).when(kind == 1, values[1]).otherwise(values[2])
+
+        return self.rasters.select("asset_id", pick(8, 8, 5).alias("base_w"), pick(8, 6, 7).alias("base_h"), pick(4, 3, 5).alias("gain_w"), pick(4, 2, 3).alias("gain_h"))
+
+    @cached_property
+    def mixed_tiles(self) -> DataFrame:
+        """The top left corner of each image in the size of mixed_sizes, in tiles of three lines."""
+        y0 = F.explode(F.array(F.lit(0), F.lit(3), F.lit(6))).alias("y0")
+        cut = self.rasters.join(self.mixed_sizes, "asset_id").select("asset_id", y0, "codes", "base_w", "base_h").where("y0 < base_h")
+        cut = cut.withColumns({"h": F.least(F.lit(3), F.col("base_h") - F.col("y0")), "w": F.col("base_w"), "frame": F.lit(0), "x0": F.lit(0)})
+        lines = F.flatten(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.slice("codes", (F.col("y0") + i) * 8 + 1, F.col("w"))))
+        return tiles.from_arrays(cut.withColumn("codes", lines), "codes")
+
+    @cached_property
+    def square_tiles(self) -> DataFrame:
+        """The images of px8 as four tiles of four by four; tile is their number."""
+        n = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("tile")
+        place = self.rasters.select("asset_id", n, "codes").withColumns({"y0": (F.floor(F.col("tile") / 2) * 4).cast("int"), "x0": (F.col("tile") % 2 * 4).cast("int")})
+        cut = place.withColumn("codes", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("codes", (F.col("y0") + i) * 8 + F.col("x0") + 1, F.lit(4)))))
+        return tiles.from_arrays(cut.withColumns({"frame": F.lit(0), "w": F.lit(4), "h": F.lit(4)}), "codes")
+
     @cached_property
     def buffers(self) -> DataFrame:
         """Raw bytes of each document as an 8-bit buffer, and a rendition in
@@ -65,6 +134,25 @@ class Tables:
             F.col("doc_id").alias("asset_id"), F.lit(0).alias("part"), F.encode("text", "UTF-8").alias("buf"),
             F.encode(F.translate("text", "abcdefgh", "bcdefghi"), "UTF-8").alias("buf2"))
 
+    @cached_property
+    def text_rgb_tiles(self) -> DataFrame:
+        """The bytes of each document as R of an image 64 wide, its complement as G, its half as B; the last line may be short."""
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for doc, raw in zip(batch.column("asset_id").to_pylist(), batch.column("buf").to_pylist(), strict=True):
+                    r = np.frombuffer(raw or b"", np.uint8)
+                    px, body = np.stack([r, 255 - r, r // 2], 1), len(r) // 64
+                    rows += [(doc, y, 64, min(4096, body - y), px[y * 64 : min(y + 4096, body) * 64].tobytes()) for y in range(0, body, 4096)]
+                    if len(r) % 64:
+                        rows.append((doc, body, len(r) % 64, 1, px[body * 64 :].tobytes()))
+                asset, y0, w, h, buf = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asset, pa.int64()), *(pa.array(x, pa.int32()) for x in (y0, w, h)), pa.array(buf, pa.binary())], names=["asset_id", "y0", "w", "h", "buf"])
+
+        cut = self.buffers.select("asset_id", "buf").mapInArrow(run, "asset_id bigint, y0 int, w int, h int, buf binary")
+        return cut.withColumns({"frame": F.lit(0), "x0": F.lit(0), "channels": F.lit(3), "bits": F.lit(8)})
+
     @cached_property
     def text_px(self) -> DataFrame:
         return unpack_bytes(self.buffers, "buf", 64)

@@ -96,11 +96,16 @@ def gain_range(gains: DataFrame) -> DataFrame:
     fine = gain_bin(F.col("g"), 8192).alias("bin")
     hist = keep_finite_gain(gains).groupBy("asset_id", fine).agg(
         F.count(F.lit(1)).alias("k"), F.min("g").alias("mn"), F.max("g").alias("mx"))
-    rising = Window.partitionBy("asset_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("asset_id")
+    return gain_bounds(hist, ["asset_id"])
+
+
+def gain_bounds(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """Bounds from histograms of 8192 bins: one row per key and bin, with its count k and its extremes mn and mx."""
+    rising = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
     run, total = F.col("run"), F.col("total")
     ends = hist.withColumn("run", F.sum("k").over(rising)).withColumn("total", F.sum("k").over(whole)).groupBy(
-        "asset_id").agg(
+        *keys).agg(
         F.max("total").alias("n"),
         F.min(F.when(run >= F.floor(total / 100), F.col("bin"))).alias("lo"),
         F.max(F.when(total - run + F.col("k") >= F.greatest(F.floor(total / 10000), F.lit(1)), F.col("bin"))).alias("hi"),
@@ -111,7 +116,7 @@ def gain_range(gains: DataFrame) -> DataFrame:
     at_low = (F.floor(F.col("lo") / 2) + 0.5) * span / 4096 + GAIN_LOW
     at_high = (F.col("hi") + 0.5) * span / 8192 + GAIN_LOW
     return ends.select(
-        "asset_id", "n", measured.alias("measured"),
+        *keys, "n", measured.alias("measured"),
         F.when(measured, F.least(at_low, F.lit(0.0))).otherwise(F.lit(0.0)).alias("low"),
         F.when(measured, F.greatest(at_high, F.lit(0.0))).otherwise(F.lit(0.0)).alias("high"),
         "abs_min", "abs_max",

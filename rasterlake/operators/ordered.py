@@ -110,11 +110,17 @@ def hist_quantile(df: DataFrame, keys: list[str], bin_col: str, target: Column,
     shuffle, so a window holds at most the bins of one key, never its pixels.
     """
     hist = df.groupBy(*keys, bin_col).agg(F.count(F.lit(1)).alias("__n"))
+    return binned_quantile(hist, keys, bin_col, "__n", target, from_top, out)
+
+
+def binned_quantile(hist: DataFrame, keys: list[str], bin_col: str, n: str, target: Column, from_top: bool = False,
+                    out: str = "bin") -> DataFrame:
+    """hist_quantile of a histogram: one row per key and bin, its count in n."""
     rank = F.col(bin_col).desc() if from_top else F.col(bin_col).asc()
     run = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     hist = hist.select(
-        *keys, bin_col, F.sum("__n").over(run).alias("__run"), F.sum("__n").over(whole).alias("total"))
+        *keys, bin_col, F.sum(n).over(run).alias("__run"), F.sum(n).over(whole).alias("total"))
     pick = F.max if from_top else F.min
     return hist.groupBy(*keys).agg(
         F.max("total").alias("total"),
