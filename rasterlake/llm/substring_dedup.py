@@ -14,9 +14,10 @@ whole shared chunk has no run, and so no span.
 One pass over the texts makes the chunks; one aggregation by digest, combined
 before its shuffle, finds those of two documents or more; one join brings that
 back to the chunks. A second pass reads the bytes beside the chunks that end a
-run; digests of their first 64, 128, .. bytes, then of the lengths between, are
-aggregated and joined the same way. Nothing gathers a digest's chunks, however
-many they are.
+run, wherever these chunks stand, and sorts them over range partitions: what
+agrees longest with a place in another document is its neighbour in that order,
+so one walk over the sorted rows finds it, and at the borders of partitions one
+row of each. Nothing gathers a digest's chunks, however many they are.
 
 Cases: a null text is an empty one and has no chunks; rows that share an id are
 one document, though each text has spans of its own; rows without an id are
@@ -27,11 +28,12 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +43,8 @@ from rasterlake.session import work_dir
 
 BITS, LEAST, MOST = 5, 16, 256
 SPAN = 128
+#: Bytes beside a chunk that the first comparison of run ends reads; most cut chunks are shorter.
+WIDTH = 64
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -67,6 +71,11 @@ def cuts(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOS
     return out
 
 
+def _text_key(text: Column) -> Column:
+    """The first 64 bits of a text's SHA-256."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 16), 16, -10).cast("long")
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (64 bits of the text's digest), at (place in the text), start, end (bytes), d0, d1 (the chunk's digest)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -76,11 +85,10 @@ def chunks(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 data, offsets = buffers(part.column("text"))
                 raw = memoryview(data)
-                doc, key, at, start, end, digest = [], [], [], [], [], []
+                doc, at, start, end, digest = [], [], [], [], []
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     ends = cuts(data[a:b]) if b > a else []
                     doc.append(np.full(len(ends), k))
-                    key.append(np.full(len(ends), int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little", signed=True)))
                     at.append(np.arange(len(ends)))
                     begins = [0, *ends[:-1]]
                     start.append(begins[: len(ends)])
@@ -88,11 +96,12 @@ def chunks(docs: DataFrame) -> DataFrame:
                     digest += [hashlib.blake2b(raw[a + x : a + y], digest_size=16).digest() for x, y in zip(begins, ends, strict=False)]
                 d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 flat = lambda x: pa.array(np.concatenate([np.asarray(y, np.int32) for y in x]) if x else np.zeros(0, np.int32))
+                rows = pa.array(np.concatenate(doc))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(key)), flat(at), flat(start), flat(end), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
+                    [part.column("doc_id").take(rows), part.column("text_key").take(rows), flat(at), flat(start), flat(end), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
                     names=["doc_id", "text_key", "at", "start", "end", "d0", "d1"])
 
-    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, text_key bigint, at int, start int, end int, d0 bigint, d1 bigint")
+    return docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), "text").mapInArrow(split, f"doc_id {kind}, text_key bigint, at int, start int, end int, d0 bigint, d1 bigint")
 
 
 def _contexts(docs: DataFrame, sites: DataFrame, width: int) -> DataFrame:
@@ -100,26 +109,23 @@ def _contexts(docs: DataFrame, sites: DataFrame, width: int) -> DataFrame:
     own_key, own_id = fresh([*sites.columns, "text"], "own_key", "own_id")
     kind = docs.schema["doc_id"].dataType
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[own_id, "text", own_key])
-
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = []
-            for text, own_sites in zip(batch.column("text").to_pylist(), batch.column("sites").to_pylist(), strict=True):
+            texts, lists = batch.column("text").to_pylist(), batch.column("sites")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            own, at = [], 0
+            side, pos = flat.field("side").to_pylist(), flat.field("pos").to_pylist()
+            for text, n in zip(texts, lengths.tolist(), strict=True):
                 raw = text.encode()
-                for s in own_sites:
-                    own.append((s["site"], s["side"], s["pos"], s["edge"], s["tag"], raw[max(s["pos"] - width, 0) : s["pos"]][::-1] if s["side"] < 0 else raw[s["pos"] : s["pos"] + width]))
-            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column("sites").to_pylist()])))
-            text_key = batch.column("text_key").take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column("sites").to_pylist()])))
-            site, side, pos, edge, tag, near = zip(*own, strict=True) if own else ((),) * 6
+                own += [raw[max(p - width, 0) : p][::-1] if d < 0 else raw[p : p + width] for d, p in zip(side[at : at + n], pos[at : at + n], strict=True)]
+                at += n
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(site, pa.int64()), doc, text_key, pa.array(side, pa.int32()), pa.array(pos, pa.int32()), pa.array(edge, pa.bool_()), pa.array(tag, pa.binary()), pa.array(near, pa.binary())],
+                [flat.field("site"), batch.column("doc_id").take(rows), batch.column("text_key").take(rows), *(flat.field(c) for c in ("side", "pos", "edge", "tag")), pa.array(own, pa.binary())],
                 names=["site", "doc_id", "text_key", "side", "pos", "edge", "tag", "own"])
 
-    texts = docs.select("doc_id", "text").where("text <> ''").mapInArrow(key, T.StructType([T.StructField(own_id, kind), T.StructField("text", T.StringType()), T.StructField(own_key, T.LongType())]))
+    texts = docs.where("text <> ''").select(F.col("doc_id").alias(own_id), "text", _text_key(F.col("text")).alias(own_key))
     # As many sites as one text holds. Rows that share an id and a text have the same sites.
     sites = sites.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("site", "side", "pos", "edge", "tag")).alias("sites"))
     schema = T.StructType([
@@ -129,6 +135,107 @@ def _contexts(docs: DataFrame, sites: DataFrame, width: int) -> DataFrame:
     return joined.select("doc_id", "text_key", "text", "sites").mapInArrow(around, schema)
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sorted partition (tag, own, doc_id): site, got of the edge sites, and one row of borders.
+
+    Consecutive rows of one tag and document are a run; the row before it and the one behind it are the nearest of
+    other documents. What lies beyond the partition is left open: the agreement with the partition's own first (last)
+    row, which holds up to what that row has beyond it.
+    """
+    out: list[tuple] = []
+    run, before, first, ends = [], None, None, []
+    part = tag = doc = last = None
+
+    def close(behind) -> None:
+        """The run ends at the row behind it, None at the partition's end."""
+        for site, own in run:
+            got = max(_common(own, before[2]) if before and before[0] == tag else 0, _common(own, behind[2]) if behind and behind[0] == tag else 0)
+            out.append((site, got, _common(own, first[2]) if before is None else None, _common(own, last) if behind is None else None, part, None))
+        # Of all runs, the first two and the last two matter to other partitions.
+        ends.append((head, (tag, doc, last)))
+        if len(ends) > 4:
+            ends.pop(2)
+
+    def batch_of(rows) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["site", "got", "open_left", "open_right", "part", "ends"])
+
+    head = None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("tag", "doc_id", "own", "site", "edge", "part")]
+        for t, d, own, site, edge, part in zip(*columns, strict=True):
+            if t != tag or d != doc:
+                if tag is None:
+                    first = (t, d, own)
+                else:
+                    close((t, d, own))
+                    before = (tag, doc, last)
+                tag, doc, run, head = t, d, [], (t, d, own)
+            last = own
+            if edge:
+                run.append((site, own))
+        if len(out) > 10_000:
+            yield batch_of(out)
+            out = []
+    if tag is not None:
+        close(None)
+        out.append((None, None, None, None, part, pickle.dumps(ends)))
+        yield batch_of(out)
+
+
+def _beyond(parts: list[tuple[int, list]]) -> dict[int, tuple[int, int]]:
+    """How far the first row of each partition agrees with another document's before it, and the last row with one behind it.
+
+    parts: (part, ends of its first two and last two runs) in order.
+    """
+    out = {}
+    for i, (part, ends) in enumerate(parts):
+        agreed = []
+        for edge, others, pick in ((ends[0][0], reversed(parts[:i]), lambda e: [x[1] for x in reversed(e)]), (ends[-1][1], parts[i + 1 :], lambda e: [x[0] for x in e])):
+            found = 0
+            for _, theirs in others:
+                row = next((r for r in pick(theirs) if r[:2] != edge[:2]), None)
+                if row is not None:
+                    found = _common(edge[2], row[2]) if row[0] == edge[0] else 0
+                    break
+            agreed.append(found)
+        out[part] = tuple(agreed)
+    return out
+
+
+def _nearest(contexts: DataFrame) -> DataFrame:
+    """site, got (the most bytes of own that the same tag has in another document too) of the sites at ends of runs, in documents with an id."""
+    spark = contexts.sparkSession
+    order = ["tag", "own", "doc_id"]
+    rows = contexts.where("doc_id is not null").select(*order, "site", "edge")
+    path = work_dir(spark, "nearest")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).mapInArrow(
+        _walk, "site bigint, got int, open_left int, open_right int, part int, ends binary").write.parquet(path)
+    walked = spark.read.parquet(path)
+    # The ends of four runs a partition, whatever it holds.
+    parts = sorted((r["part"], pickle.loads(r["ends"])) for r in walked.where("ends is not null").select("part", "ends").collect())
+    beyond = spark.createDataFrame([(k, *v) for k, v in _beyond(parts).items()], "part int, left int, right int")
+    got = F.greatest("got", F.least("open_left", F.when(F.col("open_left").isNotNull(), F.col("left"))), F.least("open_right", F.when(F.col("open_right").isNotNull(), F.col("right"))))
+    return walked.where("site is not null").join(F.broadcast(beyond), "part").select("site", got.alias("got"))
+
+
+def _least(contexts: DataFrame, best: DataFrame) -> DataFrame:
+    """best with least: the least doc_id that has those bytes. As many digests a context as its tag has different lengths."""
+    rung = lambda k: F.unhex(F.md5(F.concat("tag", F.col("own").substr(F.lit(1), k))))
+    own = contexts.join(best.where("got > 0"), "site").select("site", "got", "tag", rung(F.col("got")).alias("rung"))
+    held = (
+        contexts.where("doc_id is not null").join(own.select("tag", "got").distinct(), "tag").where(F.length("own") >= F.col("got"))
+        .groupBy(rung(F.col("got")).alias("rung")).agg(F.min("doc_id").alias("least")))
+    return best.join(own.join(held, "rung").select("site", "least"), "site", "left")
+
+
 def _agreed(contexts: DataFrame, width: int) -> DataFrame:
     """site, got (the most bytes of own that the same tag has in another document too), least (the least doc_id that has them)
     and cell (their digest) of the sites at ends of runs.
@@ -162,13 +269,13 @@ def _agreed(contexts: DataFrame, width: int) -> DataFrame:
     return state
 
 
-def _extended(docs: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, text_key, side (-1, 1), pos, more (bytes), least: how far the ends of runs go on into the cut chunks, byte by byte.
+def _extended(docs: DataFrame, found: DataFrame, runs: DataFrame, holders: bool) -> DataFrame:
+    """site, more (bytes) and, for holders, least: how far the ends of runs go on into the cut chunks, byte by byte.
 
     A site is a place where a chunk that ends some run stands, in any document.
-    Sites of one chunk are compared by digests of the bytes next to it, on a
-    ladder of 4 lengths and again between two rungs. Where a whole width of
-    bytes agrees, the next round goes on behind it, with 16 times the width."""
+    Sites of one chunk are compared by the bytes next to it. Where a whole width of
+    bytes agrees, the next round goes on behind it, with 16 times the width. The few sites without a
+    doc_id need two other documents, which a ladder of digests finds."""
     spark = docs.sparkSession
     ends = F.array(F.struct(F.lit(-1).alias("side"), "d_first.*"), F.struct(F.lit(1).alias("side"), "d_last.*"))
     tags = runs.select(F.explode(ends).alias("e")).select("e.*").distinct()
@@ -181,15 +288,23 @@ def _extended(docs: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
         both.join(tags, ["side", "d0", "d1"], "left_semi").distinct()
         .select(F.xxhash64("doc_id", "text_key", "side", "pos").alias("site"), "doc_id", "text_key", "side", "pos", F.unhex(F.md5(F.concat_ws(" ", "side", "d0", "d1"))).alias("tag"))
         .join(edges, "site", "left").withColumn("edge", F.coalesce("edge", F.lit(False))))
-    width, parts = 256, []
+    width, parts = WIDTH, []
     while True:
         path = work_dir(spark, "contexts")
         _contexts(docs, sites.distinct(), width).write.parquet(path)
         contexts = spark.read.parquet(path)
-        best = _agreed(contexts, width)
+        best = _nearest(contexts)
+        nameless = contexts.where("doc_id is null and edge").select("tag").distinct()
+        if not nameless.isEmpty():
+            best = best.unionByName(_agreed(contexts.join(nameless, "tag", "left_semi"), width).join(
+                contexts.where("doc_id is null").select("site"), "site", "left_semi").select("site", "got"))
+        best = _least(contexts, best) if holders else best.withColumn("least", F.lit(None).cast(contexts.schema["doc_id"].dataType))
+        path = work_dir(spark, "extended")
+        best.write.parquet(path)
+        best = spark.read.parquet(path)
         parts.append(best)
         whole = contexts.where(F.length("own") == width).withColumn("next", F.unhex(F.md5(F.concat("tag", "own"))))
-        on = best.where(F.col("got") == width).select(F.col("cell").alias("next")).distinct()
+        on = whole.join(best.where(F.col("got") == width), "site", "left_semi").select("next").distinct()
         if on.isEmpty():
             break
         sites = whole.join(on, "next", "left_semi").select("site", "doc_id", "text_key", "side", (F.col("pos") + F.col("side") * width).alias("pos"), "edge", F.col("next").alias("tag"))
@@ -201,8 +316,8 @@ def _extended(docs: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
     return got.groupBy("site").agg(F.sum("got").cast("int").alias("more"), F.max_by("least", "got").alias("least"))
 
 
-def _spans(docs: DataFrame, span: int) -> DataFrame:
-    """What repeated() gives, and from, to: the bytes that an earlier document holds as well where doc_id is not first_doc."""
+def _spans(docs: DataFrame, span: int, holders: bool) -> DataFrame:
+    """What repeated() gives, and with holders from, to: the bytes that an earlier document holds as well where doc_id is not first_doc."""
     spark = docs.sparkSession
     path = work_dir(spark, "chunks")
     chunks(docs).write.parquet(path)
@@ -222,7 +337,7 @@ def _spans(docs: DataFrame, span: int) -> DataFrame:
         F.min_by(F.struct("d0", "d1"), "at").alias("d_first"), F.max_by(F.struct("d0", "d1"), "at").alias("d_last"),
     ).drop("run").write.parquet(path)
     runs = spark.read.parquet(path)
-    more = _extended(docs, found, runs)
+    more = _extended(docs, found, runs, holders)
     for side, pos, name in ((-1, "start", "left"), (1, "end", "right")):
         own = more.select("site", F.col("more").alias(name), F.col("least").alias(f"{name}_doc"))
         runs = runs.withColumn("site", F.xxhash64("doc_id", "text_key", F.lit(side), pos)).join(own, "site", "left").drop("site")
@@ -237,22 +352,16 @@ def _spans(docs: DataFrame, span: int) -> DataFrame:
 def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, text_key, start, end (bytes), n_chunks, first_doc (the least doc_id that holds the span's first whole chunk)
     of every repeated span."""
-    return _spans(docs, span).drop("from", "to")
+    return _spans(docs, span, holders=False).drop("from", "to")
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs, all columns, with the repeated spans cut out of every document but the one that holds them first."""
-    spans = _spans(docs, span).where("doc_id <> first_doc").groupBy("doc_id", "text_key").agg(
+    spans = _spans(docs, span, holders=True).where("doc_id <> first_doc").groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list(F.struct(F.col("from").alias("start"), F.col("to").alias("end")))).alias("spans"))  # as many as one text holds
     kept = docs.schema
     own_key, own_id, own_text, own_spans = fresh(docs.columns, "own_key", "own_id", "own_text", "own_spans")
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keys = [int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*kept.names, own_key])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -268,6 +377,6 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             columns = [pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in kept.names]
             yield pa.RecordBatch.from_arrays(columns, names=kept.names)
 
-    keyed = docs.mapInArrow(key, T.StructType([*kept.fields, T.StructField(own_key, T.LongType())]))
+    keyed = docs.withColumn(own_key, _text_key(F.col("text")))
     spans = spans.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text), F.col("spans").alias(own_spans))
     return keyed.join(spans, (keyed["doc_id"] == spans[own_id]) & (keyed[own_key] == spans[own_text]), "left").mapInArrow(cut, kept)

@@ -280,6 +280,37 @@ def test_ends_longer_than_a_window(spark):
     assert {(r["doc_id"]) for r in got if r["end"] - r["start"] >= 4321 + 400} == {1, 2}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5, 40])
+def test_nearest_by_brute_force(spark, parts):
+    """Agreement with the best other document by comparing all pairs: equal contexts, runs of one document, tags of one row, many partitions of a few rows."""
+    rng = random.Random(parts)
+    rows = []
+    for site in range(300):
+        own = bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 3, 8, 8, 8])))
+        rows.append((site, rng.choice([1, 1, 1, 2, 3, 4]), bytes([rng.randrange(6)]) * 2, own, rng.random() < 0.7))
+    rows += [(300 + i, 7, b"zz", b"same", True) for i in range(30)] + [(400 + i, 8, b"zz", b"same" + b"x" * i, True) for i in range(5)] + [(500, 9, b"yy", b"alone", True)]
+    table = spark.createDataFrame(rows, "site bigint, doc_id bigint, tag binary, own binary, edge boolean").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["site"]: r["got"] for r in substring_dedup._nearest(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    assert got == {s: max((common(own, o) for _, e, t, o, _ in rows if t == tag and e != d), default=0) for s, d, tag, own, edge in rows if edge}
+
+
+def test_ends_of_rows_without_an_id(spark):
+    """A row without an id goes on as far as two documents do, or not at all with one."""
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared, tail = own(500), own(70)
+    rows = [(k, own(90).upper() + shared + tail[:n] + own(90).upper()) for k, n in ((1, 20), (2, 21), (None, 55), (4, 30))]
+    got = {r["doc_id"]: (r["start"], r["end"]) for r in substring_dedup.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (90, 610), 2: (90, 611), None: (90, 611), 4: (90, 611)}
+
+
 def test_insertions_move_few_borders(texts):
     text = max(texts.values(), key=len).encode()
     moved = text[:1000] + b"inserted" + text[1000:]
