@@ -43,7 +43,9 @@ PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
 #: Side of a grid cell in scaled units.
-CELL = 512
+CELL = 256
+#: Intervals of a component that tables hold.
+SIDES = 256
 HELD_CELLS = 1 << 16
 #: Components from here on are out of range: squares of their differences, summed over 4,096 of them, would exceed a long.
 LIMIT = 4096.0
@@ -68,36 +70,69 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class Cells:
-    """Which entries can be nearest somewhere in a cell, remembered by cell."""
+    """Which entries can be nearest somewhere in a cell, remembered by cell.
+
+    Squared distances add up over components, so the bounds of a cell are sums of one-dimensional ones, which
+    a table holds for the `SIDES` intervals around 0. Cells beyond them are worked out one by one.
+    """
 
     def __init__(self, entries: np.ndarray, cell: int) -> None:
         self.entries, self.cell = entries, cell
-        self.known: dict[bytes, np.ndarray] = {}
         self.evaluated = 0
-
-    def _bounds(self, cells: np.ndarray) -> np.ndarray:
-        """One row a cell: may the entry win there?"""
+        self._forget()
+        size = entries.shape[1]
+        self.packs = size <= 8
+        near, far = self._intervals(np.repeat(np.arange(-SIDES // 2, SIDES // 2)[:, None], size, 1))
+        self.near, self.far = near.transpose(2, 0, 1).copy(), far.transpose(2, 0, 1).copy()
+
+    def _forget(self) -> None:
+        self.known: dict = {}
+        self.marks = np.zeros((1024, len(self.entries)), bool)
+
+    def _intervals(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest squared distance of each component (cell, entry, component)."""
         low = cells[:, None, :].astype(np.int64) * self.cell
         high = low + self.cell - 1
         e = self.entries[None]
         near = np.maximum(np.maximum(low - e, e - high), 0)
         far = np.maximum(np.abs(e - low), np.abs(e - high))
-        return (near * near).sum(2) <= (far * far).sum(2).min(1)[:, None]
+        return near * near, far * far
+
+    def _bounds(self, cells: np.ndarray, inside: bool) -> np.ndarray:
+        """One row a cell: may the entry win there?"""
+        if inside:
+            at, size = cells + SIDES // 2, range(cells.shape[1])
+            near, far = sum(self.near[c, at[:, c]] for c in size), sum(self.far[c, at[:, c]] for c in size)
+        else:
+            near, far = (x.sum(2) for x in self._intervals(cells))
+        return near <= far.min(1)[:, None]
 
     def candidates(self, x: np.ndarray) -> np.ndarray:
         """Marks of the entries to evaluate, one row a part."""
         cells = np.ascontiguousarray(np.floor_divide(x, self.cell).astype(np.int32))
-        keys = cells.view(np.dtype((np.void, cells.shape[1] * 4))).ravel()
-        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        names = [keys[i].tobytes() for i in first]
+        inside = bool((cells >= -SIDES // 2).all() and (cells < SIDES // 2).all())
+        if inside and self.packs:
+            # A byte a component: the key is the cell itself.
+            keys = np.zeros((len(cells), 8), np.uint8)
+            keys[:, : cells.shape[1]] = cells + SIDES // 2
+            keys = keys.view(np.uint64).ravel()
+            unique, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            names = unique.tolist()
+        else:
+            keys = cells.view(np.dtype((np.void, cells.shape[1] * 4))).ravel()
+            _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            names = [keys[i].tobytes() for i in first]
         if len(self.known) + len(names) > HELD_CELLS:
-            self.known = {}
+            self._forget()
         new = [i for i, n in enumerate(names) if n not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for i, mark in zip(some, self._bounds(cells[first[some]]), strict=True):
-                self.known[names[i]] = mark
-        return np.stack([self.known[n] for n in names])[place]
+        at = len(self.known)
+        if at + len(new) > len(self.marks):
+            self.marks = np.concatenate([self.marks, np.zeros((at + len(new), len(self.entries)), bool)])
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            self.marks[at + i : at + i + len(some)] = self._bounds(cells[first[some]], inside)
+        self.known.update(zip([names[i] for i in new], range(at, at + len(new)), strict=True))
+        return self.marks[np.fromiter((self.known[n] for n in names), np.int64, len(names))[place]]
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of the nearest entry of each part."""
