@@ -12,12 +12,15 @@ open document is drawn on its own, and the words taken differ from the target by
 less than that one document.
 
 Documents of a source are dealt to leaves of about `LEAF` rows by a hash of id and
-text. A leaf meets them from long to short, so that what stays open is short, and
-leaves one open document; `FAN` leaves' rests meet on the next level, up to one
-rest a source. A task streams its sorted rows and holds one of them, and each
-level is written to the shared folder.
-
-Draws are hashes of id, text, level and seed, so the same table gives the same mix
+text. In a leaf all have one probability. So its longest document is paired with the
+pool of all shorter ones, which move together: the document becomes 0 or 1 at once, the
+pool takes up the difference, and then its own longest is next. What stays
+open is the shortest document, or one that outweighs all shorter ones. The rests of `FAN`
+leaves meet one by one on the next level, from long to short, up to one rest a source. A
+task streams its sorted rows and holds a batch of them (a leaf that a batch cuts is several
+pools, and the rest of one meets the next), and each level is written to the shared folder.
+
+Draws are hashes of id, text, source, level and seed, so the same table gives the same mix
 however it is split. Sources are ranked over range partitions, and targets need
 single numbers on the driver.
 
@@ -88,30 +91,66 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return table.select("source", "source_size", "n", target.alias("target"))
 
 
-def _meet(level: int):
-    """Rows (of, bucket, size, p, key, ...) sorted by group: p becomes 0 or 1 in all rows of a group but at most one."""
-    def duel(p: list, size: list, draw: list, of: list) -> int:
-        """Work through the rows; the row that stays open at the end."""
-        a = 0
-        for b in range(1, len(p)):
-            if of[b] != of[a]:
-                a = b
-                continue
-            if not 0.0 < p[a] < 1.0:
-                a = b
+def _pool(p: list, size: list, draw: list, of: list) -> int:
+    """Each group's longest open row against the pool of the rows behind it, which share one probability; the first row may have its own.
+
+    The row that stays open in the last group, or its last one."""
+    start, kept = 0, 0
+    while start < len(p):
+        end = start + 1
+        while end < len(p) and of[end] == of[start]:
+            end += 1
+        rest, q, kept = sum(size[start:end]), p[min(start + 1, end - 1)], end - 1
+        for a in range(start, end):
+            s, own = size[a], p[a] if a == start else q
+            rest -= s
+            p[a] = own
+            if rest <= 0:
+                break
+            if not 0.0 < own < 1.0:
                 continue
-            sa, sb, pa_, pb = size[a], size[b], p[a], p[b]
-            up, down = min((1.0 - pa_) * sa, pb * sb), min(pa_ * sa, (1.0 - pb) * sb)
-            rise = draw[b] * (up + down) < down
-            move = up if rise else -down
-            # Whoever ends is set to 0 or 1 exactly.
-            a_ends = (1.0 - pa_) * sa <= pb * sb if rise else pa_ * sa <= (1.0 - pb) * sb
-            b_ends = pb * sb <= (1.0 - pa_) * sa if rise else (1.0 - pb) * sb <= pa_ * sa
-            p[a] = (1.0 if rise else 0.0) if a_ends else pa_ + move / sa
-            p[b] = (0.0 if rise else 1.0) if b_ends else pb - move / sb
-            if a_ends:
-                a = b
-        return a
+            words, room, more, less = q * rest, (1.0 - q) * rest, (1.0 - own) * s, own * s
+            up, down = min(more, words), min(less, room)
+            if rise := draw[a] * (up + down) < down:
+                p[a], q = (1.0, (words - more) / rest) if more <= words else (own + words / s, 0.0)
+            else:
+                p[a], q = (0.0, (words + less) / rest) if less <= room else (own - room / s, 1.0)
+            q = min(max(q, 0.0), 1.0)
+            if (more > words) if rise else (less > room):
+                # The pool has ended before the document.
+                p[a + 1 : end] = [q] * (end - a - 1)
+                kept = a
+                break
+        start = end
+    return kept
+
+
+def _pairs(p: list, size: list, draw: list, of: list) -> int:
+    """Rows of a group against each other in their order, whoever stays open against the next; the row that stays open at the end."""
+    a = 0
+    for b in range(1, len(p)):
+        if of[b] != of[a] or not 0.0 < p[a] < 1.0:
+            a = b
+            continue
+        sa, sb, own, other = size[a], size[b], p[a], p[b]
+        up, down = min((1.0 - own) * sa, other * sb), min(own * sa, (1.0 - other) * sb)
+        rise = draw[b] * (up + down) < down
+        move = up if rise else -down
+        # Whoever ends is set to 0 or 1 exactly.
+        a_ends = (1.0 - own) * sa <= other * sb if rise else own * sa <= (1.0 - other) * sb
+        b_ends = other * sb <= (1.0 - own) * sa if rise else (1.0 - other) * sb <= own * sa
+        p[a] = (1.0 if rise else 0.0) if a_ends else own + move / sa
+        p[b] = (0.0 if rise else 1.0) if b_ends else other - move / sb
+        if a_ends:
+            a = b
+    return a
+
+
+def _meet(level: int, pooled: bool):
+    """Rows (of, bucket, size, p, key, ...) sorted by group: p becomes 0 or 1 in all rows of a group but at most one.
+
+    pooled: all rows of a group come with one p."""
+    duel = _pool if pooled else _pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -121,7 +160,9 @@ def _meet(level: int):
             whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             p, size = whole.column("p").to_pylist(), whole.column("size").to_pylist()
             key = whole.column("key").to_numpy().astype(np.int64).view(np.uint64)
-            draw = (spread(key + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) / 2.0**53
+            salted = spread(key + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+            # A row that met a pool and stayed open meets the next one with another draw: the first row of the pool has a say in it.
+            draw = ((spread(salted * np.uint64(3) + np.roll(salted, -1)) if pooled else salted) >> np.uint64(11)) / 2.0**53
             of = list(zip(whole.column("of").to_pylist(), whole.column("bucket").to_pylist(), strict=True))
             last = duel(p, size, draw.tolist(), of)
             at = whole.schema.get_field_index("p")
@@ -153,7 +194,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     width, level, now = -(-most_rows // LEAF), 1, rows.where(worth)
     while True:
         met = now.repartition("of", "bucket").sortWithinPartitions("of", "bucket", F.col("size").desc(), "key", "doc_id")
-        met = _kept(met.mapInArrow(_meet(level), now.schema), f"level-{level}")
+        met = _kept(met.mapInArrow(_meet(level, level == 1), now.schema), f"level-{level}")
         if width <= 1:
             parts.append(met)
             break
