@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rasterlake.llm.textkit import Words, buffers, gram_hashes, slices, span_hashes, words
 
@@ -112,12 +113,20 @@ class Block:
             slack = len(own) // 2 + N
             low = max(int(diagonal[a]) - slack, int(w.bounds[d]))
             high = min(int(diagonal[b - 1]) + len(own) + slack, int(w.bounds[d + 1]))
-            text = hashes[low:high]
-            best, end = align(own, text)
-            got = best / (MATCH * min(len(own), LONGEST))
-            if got >= similarity:
-                back = align(own[::-1], text[:end][::-1])[1]
-                yield d, i, min(got, 1.0), low - int(w.bounds[d]) + end - back, low - int(w.bounds[d]) + end
+            full, base, rest = min(len(own), LONGEST), int(w.bounds[d]), [(low, high)]
+            while rest:
+                low, high = rest.pop()
+                # So few words cannot reach the limit.
+                if high - low < similarity * full:
+                    continue
+                text = hashes[low:high]
+                best, end = align(own, text)
+                got = best / (MATCH * full)
+                if got >= similarity:
+                    back = align(own[::-1], text[:end][::-1])[1]
+                    yield d, i, min(got, 1.0), low - base + end - back, low - base + end
+                    # Copies may follow each other: what lies before and behind this one is aligned again.
+                    rest += [(low, low + end - back), (low + end, high)]
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -208,7 +217,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, similarity: float =
                     got = list(own.pairs(*plain_words(part.column("text")), similarity))
                     if got:
                         d, i, s, a, b = zip(*got, strict=True)
-                        ids = pa.array([own.ids[k] for k in i], pa.int64() if item.dataType == T.LongType() else None)
+                        ids = pa.array([own.ids[k] for k in i], to_arrow_type(item.dataType))
                         yield pa.RecordBatch.from_arrays(
                             [part.column("doc_id").take(pa.array(d)), ids, pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=schema.names)
 

@@ -199,6 +199,17 @@ def test_decontamination_odd_rows(docs, none, benchmark):
     assert decontaminate.find(docs, benchmark.limit(0)).collect() == [] and decontaminate.clean(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_copies_one_after_another_and_types_of_ids(spark):
+    rng = random.Random(3)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    other = " ".join(f"v{rng.randrange(10**6)}" for _ in range(30))
+    docs = spark.createDataFrame([(1, " ".join([item] * 10)), (2, f"{other} {item} {item} {other}"), (3, other)], "doc_id int, text string")
+    for kind in ("smallint", "int", "bigint", "string"):
+        items = spark.createDataFrame([("7", item)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        got = sorted((r["doc_id"], str(r["item_id"]), r["first_word"], r["end_word"]) for r in decontaminate.find(docs, items).collect())
+        assert got == [(1, "7", 20 * k, 20 * k + 20) for k in range(10)] + [(2, "7", 30, 50), (2, "7", 50, 70)]
+
+
 def chunks_by_recurrence(data):
     """One byte at a time."""
     h, last, out = 0, 0, []

@@ -75,3 +75,17 @@ def test_run(spark, stages):
     rows = pipeline.run(spark, FOLDER)
     assert rows.count() == stages["best_fit_packing"][1].count()
     assert pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_on_odd_rows(spark, docs, none, kind, tmp_path):
+    """Nulls in every column, repeated ids and rows, long and blank texts, clashing columns; an empty table."""
+    rows = docs if kind == "odd" else none
+    for name, stage in pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, rows, FOLDER).write.parquet(path)
+        after = spark.read.parquet(path)
+        if name != "best_fit_packing":
+            assert after.columns == rows.columns
+        assert after.isEmpty() == (kind == "empty")
+        rows = after

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from rasterlake.llm import packing, token_files
+from rasterlake.llm import packing, textkit, token_files
 from rasterlake.llm.queries import tokenizer_path
 from rasterlake.llm.tokens import encoder
 
@@ -26,6 +26,22 @@ def test_piecewise_ids_are_those_of_whole_texts(texts):
         assert ids[a:b].tolist() == whole(s)
 
 
+def thue_morse(n, swap=False):
+    """Two words that a sum of powers modulo 2**64 cannot tell apart."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [256, 512, 2048, 4096])
+def test_built_words_are_told_apart(n):
+    a, b = thue_morse(n), thue_morse(n, True)
+    ids, bounds = encoder(tokenizer_path()).encode(pa.array([a, b, f"{a} {b}"]))
+    assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == [whole(a), whole(b), whole(f"{a} {b}")]
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    for seed in (0, 5):
+        one, other = textkit.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]), seed)
+        assert one != other
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_files_round_trip(spark, docs, tmp_path, encoding):
     path = str(tmp_path / "tokens")
