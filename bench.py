@@ -18,6 +18,8 @@ HEADLINE = [
     "r07_compute_gain_map", "j18_gain_bilinear", "j22_same_colour_outliers", "j15_tag_coverage_diff",
     "a16_ledger_summary", "w01_assign_output_names", "w06_silence_gaps", "a18_bench_arm_summary", "a21_throughput_best_of",
     "a22_linear_fit", "p01_plan_color", "p13_build_jobs", "x01_job_status_counts",
+    "r06_transform_volume_buffers", "r06_by_plan_buffers", "a02_psnr_multiframe_buffers", "a04_ssim_blocks_buffers", "a09_gamut_fit_buffers",
+    "a11_gain_base_class_buffers", "r07_compute_gain_map_buffers", "j22_same_colour_outliers_buffers",
 ]
 
 
@@ -43,7 +45,9 @@ def main() -> None:
         "metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": cores,
         "mpix_per_sec": {
-            q: round(samples / 1e6 / seconds[q], 2) for q in ("a01_psnr_buffers", "r01_unpack_bytes", "a11_gain_base_class", "r06_transform_volume")},
+            q: round(samples / 1e6 / seconds[q], 2) for q in (
+                "a01_psnr_buffers", "r01_unpack_bytes", "a11_gain_base_class", "a11_gain_base_class_buffers", "r06_transform_volume",
+                "r06_transform_volume_buffers")},
     }))
 
 

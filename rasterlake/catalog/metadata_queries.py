@@ -65,6 +65,24 @@ def _(t):
     return out.withColumn("rel_dev", F.round("rel_dev", 6))
 
 
+_BYTE_TAG = "case when tag = 'Model' and asset_id % 4 = 0 then 'BitsPerSample' when tag = 'Model' and asset_id % 4 = 1 then 'Software' else tag end"
+
+
+@query("j15_standard_scope", f"""with s as (select asset_id, grp, {_BYTE_TAG} tag, value from tags)
+    select status, count(*) n, count(distinct asset_id) assets from (
+    select coalesce(s.asset_id, d.asset_id) asset_id, case when s.value is null then 'extra'
+    when not (s.grp in ('ExifIFD', 'GPS', 'InteropIFD') or s.grp = 'IFD0' and s.tag in ('Make', 'Model', 'Software')) then 'not_standard'
+    when s.value = d.value then 'present' when d.value is not null then 'differs'
+    when s.tag = 'FocalLength' and s.value = '0' or s.tag = 'FNumber' and s.value = 'undef (0/0)' then 'empty_skipped' when s.tag = 'ISO' then 'waived' else 'missing' end status
+    from s full join product_tags d on s.asset_id = d.asset_id and s.grp = d.grp and s.tag = d.tag) group by status""")
+def _(t):
+    """Profiles, descriptions of vendors and byte layout leave the denominator."""
+    src = t.tags.withColumn("tag", F.expr(_BYTE_TAG))
+    out = metadata.tag_coverage_diff(src, t.product_tags, waived=("ISO",), standard=True)
+    per = out.groupBy("status", "asset_id").agg(F.count(F.lit(1)).alias("k"))
+    return per.groupBy("status").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("assets"))
+
+
 _RULES = [
     ("M1", "^(Make|Model)$", "^Brand#1", "identity", "carry_verified", "verified"),
     ("M2", "^(Make|Model)$", None, "identity", "carry_indirect", "source_inferred"),

@@ -121,13 +121,30 @@ def _side_by_side(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return both.groupBy(*KEY).agg(F.max(a).alias(a), F.max(b).alias(b))
 
 
-def tag_coverage_diff(src: DataFrame, dst: DataFrame, waived=()) -> DataFrame:
-    """Status of each standard tag: present, differs, waived, empty, layout or missing."""
+# --- fixed values: groups of the public registry, and what describes the picture in IFD0 ---------
+STANDARD_GROUPS = ("IFD0", "ExifIFD", "GPS", "InteropIFD")
+IFD0_DESCRIPTIVE = (
+    "ImageDescription", "Make", "Model", "Orientation", "XResolution", "YResolution", "ResolutionUnit", "Software", "ModifyDate", "Artist", "Copyright",
+)
+
+
+def is_standard(grp: Column, tag: Column) -> Column:
+    """Has the tag a place in the registry that a product must keep? Vendors' groups have none, and other
+    IFD0 tags describe how their own file lies in bytes."""
+    return F.coalesce(grp.isin(*STANDARD_GROUPS) & ((grp != "IFD0") | tag.isin(*IFD0_DESCRIPTIVE)), F.lit(False))
+
+
+def tag_coverage_diff(src: DataFrame, dst: DataFrame, waived=(), standard: bool = False) -> DataFrame:
+    """Status of each standard tag: present, differs, waived, empty, layout or missing.
+
+    standard: source tags without a place in the registry are `not_standard`, whatever became of them.
+    """
     both = _side_by_side(src, dst, "src_value", "dst_value")
     deviation = relative_deviation(F.col("src_value"), F.col("dst_value"))
     empty = F.col("tag").isin(*OMIT_IF_EMPTY) & _is_empty(F.col("src_value"))
     status = (
         F.when(F.col("src_value").isNull(), "extra")
+        .when(F.lit(standard) & ~is_standard(F.col("grp"), F.col("tag")), "not_standard")
         .when(F.col("dst_value").isNotNull() & (F.col("src_value") == F.col("dst_value")), "present")
         .when(F.col("dst_value").isNotNull(), "differs")
         .when(empty, "empty_skipped")

@@ -105,8 +105,8 @@ def read_tag_dump(spark: SparkSession, path: str, border: str = RECORD_BORDERS[0
 
     The text between two records separates rows for the scan, which finds it in byte
     ranges, so one huge dump is many tasks. No string of a JSON text holds a
-    line break, so the border is never inside of a value. A dump written without line breaks, or with other ones
-    (pass its border), is one row.
+    line break, so the border is never inside of a value. It must not stand between nested objects either: of an indented dump,
+    pass the border with the indentation of its records. A dump written without line breaks, or with other ones, is one row.
     """
     pieces = spark.read.option("lineSep", border).text(path)
     # The first record of a file has the array's opening before it, the last one its end behind it; the rest lost both braces.

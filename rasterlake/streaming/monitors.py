@@ -86,14 +86,17 @@ def terminal_first(stream: DataFrame, retention: str = RETENTION) -> DataFrame:
     ends = stream.where(is_terminal(F.col("status"))).withWatermark("ts", retention).select("item_id", "ts", "event_id", "status")
 
     def first(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         best = None
         for frame in frames:
+            if frame.empty:
+                continue
             row = frame.sort_values(["ts", "event_id"]).iloc[[0]]
             if best is None or (row["ts"].iloc[0], row["event_id"].iloc[0]) < (best["ts"].iloc[0], best["event_id"].iloc[0]):
                 best = row
-        if state.hasTimedOut:
-            state.remove()
-        elif best is not None and not state.exists:
+        if best is not None and not state.exists:
             state.update((True,))
             state.setTimeoutTimestamp(max(int(best["ts"].iloc[0].timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
             yield best[["item_id", "ts", "event_id", "status"]]
