@@ -16,8 +16,8 @@ before its shuffle, finds those of two documents or more; one join brings that
 back to the chunks. A second pass reads the bytes beside the chunks that end a
 run, wherever these chunks stand, and sorts them over range partitions: what
 agrees longest with a place in another document is its neighbour in that order,
-so one walk over the sorted rows finds it, and at the borders of partitions one
-row of each. Nothing gathers a digest's chunks, however many they are.
+so one walk over the sorted rows finds it, and at the borders of partitions a walk over
+their first and last rows. Nothing gathers a digest's chunks, however many they are.
 
 Cases: a null text is an empty one and has no chunks; rows that share an id are
 one document, though each text has spans of its own; rows without an id are
@@ -28,7 +28,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +44,8 @@ BITS, LEAST, MOST = 5, 16, 256
 SPAN = 128
 #: Bytes beside a chunk that the first comparison of run ends reads; most cut chunks are shorter.
 WIDTH = 64
+#: Partitions whose border rows one task walks.
+PARTS = 1024
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -142,33 +143,35 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted partition (tag, own, doc_id): site, got of the edge sites, and one row of borders.
+    """One sorted partition (tag, own, doc_id): site, got of the edge sites, and the rows at its borders (site null).
 
     Consecutive rows of one tag and document are a run; the row before it and the one behind it are the nearest of
     other documents. What lies beyond the partition is left open: the agreement with the partition's own first (last)
-    row, which holds up to what that row has beyond it.
+    row, which holds up to what that row has beyond it. Of a border row, got says what it is: 0 the first row, 1 the last,
+    2 the first of the second run or the last of the last but one, which are the nearest where a run goes on into the next partition.
     """
     out: list[tuple] = []
-    run, before, first, ends = [], None, None, []
+    run, before, first, heads, tails = [], None, None, [], []
     part = tag = doc = last = None
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def close(behind) -> None:
         """The run ends at the row behind it, None at the partition's end."""
         for site, own in run:
             got = max(_common(own, before[2]) if before and before[0] == tag else 0, _common(own, behind[2]) if behind and behind[0] == tag else 0)
-            out.append((site, got, _common(own, first[2]) if before is None else None, _common(own, last) if behind is None else None, part, None))
-        # Of all runs, the first two and the last two matter to other partitions.
-        ends.append((head, (tag, doc, last)))
-        if len(ends) > 4:
-            ends.pop(2)
+            out.append((site, got, _common(own, first[2]) if before is None else None, _common(own, last) if behind is None else None, part, None, None, None))
+        tails.append((tag, doc, last))
+        del tails[:-2]
 
     def batch_of(rows) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["site", "got", "open_left", "open_right", "part", "ends"])
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, t) for c, t in zip(columns, kinds, strict=False)), pa.array(columns[7], doc_type)],
+            names=["site", "got", "open_left", "open_right", "part", "tag", "own", "doc_id"])
 
-    head = None
+    doc_type = None
     for batch in batches:
+        doc_type = batch.column("doc_id").type
         columns = [batch.column(c).to_pylist() for c in ("tag", "doc_id", "own", "site", "edge", "part")]
         for t, d, own, site, edge, part in zip(*columns, strict=True):
             if t != tag or d != doc:
@@ -177,7 +180,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     close((t, d, own))
                     before = (tag, doc, last)
-                tag, doc, run, head = t, d, [], (t, d, own)
+                if len(heads) < 2:
+                    heads.append((t, d, own))
+                tag, doc, run = t, d, []
             last = own
             if edge:
                 run.append((site, own))
@@ -186,44 +191,37 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if tag is not None:
         close(None)
-        out.append((None, None, None, None, part, pickle.dumps(ends)))
+        rows = [(0, heads[0]), (1, tails[-1]), *((2, r) for r in heads[1:] + tails[:-1])]
+        out += [(None, what, None, None, part, t, own, d) for what, (t, d, own) in rows]
         yield batch_of(out)
 
 
-def _beyond(parts: list[tuple[int, list]]) -> dict[int, tuple[int, int]]:
-    """How far the first row of each partition agrees with another document's before it, and the last row with one behind it.
+def _nearest(contexts: DataFrame, dealt: int | None = None) -> DataFrame:
+    """site, got (the most bytes of own that the same tag has in another document too) of the sites at ends of runs, in documents with an id.
 
-    parts: (part, ends of its first two and last two runs) in order.
+    The border rows of the partitions, four each, are a table of the same kind, which is walked in turn over an
+    eighth of the partitions, until one task can do it. dealt: how many partitions to walk.
     """
-    out = {}
-    for i, (part, ends) in enumerate(parts):
-        agreed = []
-        for edge, others, pick in ((ends[0][0], reversed(parts[:i]), lambda e: [x[1] for x in reversed(e)]), (ends[-1][1], parts[i + 1 :], lambda e: [x[0] for x in e])):
-            found = 0
-            for _, theirs in others:
-                row = next((r for r in pick(theirs) if r[:2] != edge[:2]), None)
-                if row is not None:
-                    found = _common(edge[2], row[2]) if row[0] == edge[0] else 0
-                    break
-            agreed.append(found)
-        out[part] = tuple(agreed)
-    return out
-
-
-def _nearest(contexts: DataFrame) -> DataFrame:
-    """site, got (the most bytes of own that the same tag has in another document too) of the sites at ends of runs, in documents with an id."""
     spark = contexts.sparkSession
     order = ["tag", "own", "doc_id"]
     rows = contexts.where("doc_id is not null").select(*order, "site", "edge")
+    rows = rows.repartitionByRange(*order) if dealt is None else rows.coalesce(1) if dealt == 1 else rows.repartitionByRange(dealt, *order)
+    ints = [T.StructField(c, T.IntegerType()) for c in ("got", "open_left", "open_right", "part")]
+    schema = T.StructType([T.StructField("site", T.LongType()), *ints, T.StructField("tag", T.BinaryType()), T.StructField("own", T.BinaryType()), contexts.schema["doc_id"]])
     path = work_dir(spark, "nearest")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).mapInArrow(
-        _walk, "site bigint, got int, open_left int, open_right int, part int, ends binary").write.parquet(path)
+    rows.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).mapInArrow(_walk, schema).write.parquet(path)
     walked = spark.read.parquet(path)
-    # The ends of four runs a partition, whatever it holds.
-    parts = sorted((r["part"], pickle.loads(r["ends"])) for r in walked.where("ends is not null").select("part", "ends").collect())
-    beyond = spark.createDataFrame([(k, *v) for k, v in _beyond(parts).items()], "part int, left int, right int")
-    got = F.greatest("got", F.least("open_left", F.when(F.col("open_left").isNotNull(), F.col("left"))), F.least("open_right", F.when(F.col("open_right").isNotNull(), F.col("right"))))
-    return walked.where("site is not null").join(F.broadcast(beyond), "part").select("site", got.alias("got"))
+    found, borders = walked.where("site is not null"), walked.where("site is null")
+    if dealt == 1:
+        return found.select("site", "got")
+    parts = borders.agg(F.countDistinct("part")).first()[0]
+    sites = borders.select(*order, (F.col("part") * 2 + F.col("got")).cast("long").alias("site"), (F.col("got") < 2).alias("edge"))
+    ends = _nearest(sites, 1 if parts <= PARTS else max(1, parts // 8))
+    beyond = ends.groupBy(F.floor(F.col("site") / 2).cast("int").alias("part")).agg(
+        F.max(F.when(F.col("site") % 2 == 0, F.col("got"))).alias("left"), F.max(F.when(F.col("site") % 2 == 1, F.col("got"))).alias("right"))
+    open_ = lambda side: F.when(F.col(f"open_{side}").isNotNull(), F.least(f"open_{side}", side))
+    # Two numbers a partition.
+    return found.join(F.broadcast(beyond), "part").select("site", F.greatest("got", open_("left"), open_("right")).alias("got"))
 
 
 def _least(contexts: DataFrame, best: DataFrame) -> DataFrame:

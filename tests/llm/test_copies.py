@@ -291,9 +291,10 @@ def test_ends_longer_than_a_window(spark):
     assert {(r["doc_id"]) for r in got if r["end"] - r["start"] >= 4321 + 400} == {1, 2}
 
 
-@pytest.mark.parametrize("parts", [1, 2, 5, 40])
-def test_nearest_by_brute_force(spark, parts):
+@pytest.mark.parametrize("parts,single", [(1, 64), (2, 64), (5, 64), (40, 64), (7, 5), (40, 9)])
+def test_nearest_by_brute_force(spark, parts, single, monkeypatch):
     """Agreement with the best other document by comparing all pairs: equal contexts, runs of one document, tags of one row, many partitions of a few rows."""
+    monkeypatch.setattr(substring_dedup, "PARTS", single)
     rng = random.Random(parts)
     rows = []
     for site in range(300):
