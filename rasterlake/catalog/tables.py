@@ -365,14 +365,17 @@ class Tables:
     def probe_inputs(self) -> DataFrame:
         return self.pages.selectExpr("page_id asset_id", "url path", "page_id % 50 mtime")
 
+    def _stream(self, name: str) -> DataFrame:
+        """A table as a stream, be it one file or a folder of them: a stream takes no file by its name, but a pattern that fits it alone."""
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(f"{self.sf_dir}/{name}.[p]arquet")
+
     @property
     def event_stream(self) -> DataFrame:
-        source = self.spark.readStream.schema(self.events.schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
-        return job_events(source)
+        return job_events(self._stream("events"))
 
     @property
     def page_stream(self) -> DataFrame:
-        return self.spark.readStream.schema(self.pages.schema).option("pathGlobFilter", "pages.parquet").parquet(self.sf_dir)
+        return self._stream("pages")
 
 
 def job_events(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from rasterlake.catalog import all_queries
 from rasterlake.session import work_dir
 from rasterlake.streaming import monitors, runner
 
@@ -148,3 +149,12 @@ def test_finished_batch_raises_no_stall(spark, feed):
     left = F.when(F.col("event_id") == 3, 0).when(F.col("event_id") == 4, 5).otherwise(1)
     alerts = monitors.queue_stall(feed.stream(), 60, 3, "1 minute", batch="item_id", remaining=left)
     assert [r.item_id for r in runner.run_append(alerts, "stall").collect()] == [2]
+
+
+def test_streams_take_tables_of_several_files(spark, tmp_path):
+    """A table may be one file or a folder of them."""
+    for name in ("events", "pages"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("x05_terminal_dedup", "x08_asset_intake"):
+        got, want = (sorted(map(str, all_queries().QUERIES[name](spark, at).collect())) for at in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert got == want != []
