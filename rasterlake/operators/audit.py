@@ -121,9 +121,12 @@ def throughput_best_of(runs: DataFrame, baseline_arm) -> DataFrame:
 
 # --- fits ----------------------------------------------------------------------
 def _moments(samples: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
+    # Partial variances of one x merge to a rounding error other than 0, so the x themselves say whether they vary.
+    paired = F.when(y.isNotNull(), x)
+    varies = F.min(paired) < F.max(paired)
     return samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+        F.when(varies, F.regr_slope(y, x)).alias("slope"), F.when(varies, F.regr_intercept(y, x)).alias("intercept"),
         (F.max(y) - F.min(y)).alias("span"), F.max(F.abs(y)).alias("top"))
 
 

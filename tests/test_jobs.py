@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import jobs
+from rasterlake.operators import audit, jobs
 
 
 def sequential(stems):
@@ -59,3 +59,11 @@ def test_stall_needs_three_windows(spark):
     df = spark.createDataFrame([(1, 0), (2, 1799), (3, 3599)], "event_id int, s int").select(
         "event_id", F.timestamp_seconds("s").alias("ts"), F.lit("completed").alias("status"))
     assert [r.event_id for r in jobs.stall_gaps(df).collect()] == [2]
+
+
+def test_one_x_in_many_partitions_has_no_slope(spark):
+    """The fit's partial sums differ by rounding alone; a field whose x vary beside a null y only has no slope either."""
+    rows = spark.range(0, 30_000, 1, 8).selectExpr("pmod(hash(id), 97) field", "7D x", "cast(id % 31 as double) y", "id")
+    more = spark.sql("select 100 field, cast(id as double) x, if(id = 0, 1D, null) y, id from range(9)")
+    got = audit.linear_fit(rows.unionByName(more), "field", "x", "y", ["id"]).collect()
+    assert len(got) == 98 and {(r.slope, r.intercept, r.max_resid, r.reject_reason) for r in got} == {(None, None, None, "no_x_variance")}
