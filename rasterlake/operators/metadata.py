@@ -70,6 +70,20 @@ def can_absorb_strip(gps: Column, time: Column, camera: Column, exif: Column, xm
     return (gps | xmp) & ~time & ~camera & ~exif
 
 
+#: Parts that the rows of one key are dealt to.
+SPREAD = 64
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows over the partitions of a shuffle, those of a repeated key over many of them.
+
+    An aggregate combines in every task before it shuffles, and what it needs there grows with the task's rows. A task
+    that reads a file has as many as the file's split expands to; behind a shuffle it has a partition's.
+    """
+    place = F.monotonically_increasing_id() % SPREAD
+    return rows.withColumn("__place", place).repartition(*keys, "__place").drop("__place")
+
+
 def carry_tags(src: DataFrame, dst: DataFrame, exclude_groups=(), drop_orientation: bool = True) -> DataFrame:
     """Copy source tags into a product; product tags not overwritten stay.
 
@@ -160,14 +174,23 @@ def missing_required(required: DataFrame, present: DataFrame, waived=()) -> Data
     """Required minus present (asset, tag) pairs, but for waived tags, those that
     locate data in their own file, and empty values of the few tags that may go then."""
     spared = F.col("tag").isin(*LAYOUT_TAGS, *waived) | (F.col("tag").isin(*OMIT_IF_EMPTY) & _is_empty(F.col("value")))
-    wanted = required.where(~F.coalesce(spared, F.lit(False))).select("asset_id", "tag")
-    return wanted.subtract(present.select("asset_id", "tag"))
+    return _pairs(required.where(~F.coalesce(spared, F.lit(False))), present).where("in_a and not in_b").select("asset_id", "tag")
 
 
 def covered_common(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("asset_id", "tag").intersect(b.select("asset_id", "tag"))
 
 
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct (asset, tag) pairs of both tables and where each is.
+
+    One aggregation in place of a join: an expanded table looks small to the optimiser, which would send it whole through the driver.
+    """
+    keys = ["asset_id", "tag"]
+    both = a.select(*keys, F.lit(True).alias("in_a")).unionByName(b.select(*keys, F.lit(False).alias("in_a")))
+    return _dealt(both, keys).groupBy(*keys).agg(F.max("in_a").alias("in_a"), (~F.min("in_a")).alias("in_b"))
+
+
 def version_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     """Tags that changed between two versions; offset tags never count."""
     both = _side_by_side(base, current, "before", "after").where(~F.col("tag").isin(*OFFSET_TAGS))

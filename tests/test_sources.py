@@ -152,6 +152,24 @@ def test_coverage_statuses(spark):
     assert [r.tag for r in metadata.missing_required(src, dst, waived=("W",)).collect()] == ["Lens"]
 
 
+PAIRS = "asset_id int, grp string, tag string, value string"
+
+
+def _twice(spark):
+    """Two tag tables with repeats and nulls."""
+    a = spark.createDataFrame([(1, "E", "ISO", "1"), (1, "G", "ISO", "2"), (2, "E", "Lens", "x"), (None, "E", "ISO", "1"), (3, "E", None, "1"), (4, "E", "W", "1")], PAIRS)
+    b = spark.createDataFrame([(1, "E", "ISO", "9"), (1, "E", "ISO", "8"), (None, "X", "ISO", "1"), (3, "E", None, None), (5, "E", "W", "1")], PAIRS)
+    return a, b
+
+
+def test_missing_pairs_need_no_join(spark):
+    """A join would send the expanded side through the driver, as the optimiser takes it for small."""
+    a, b = _twice(spark)
+    got = metadata.missing_required(a, b)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, a.select("asset_id", "tag").subtract(b.select("asset_id", "tag")).collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sql_functions_equal_the_columns(spark):
     from rasterlake.functions import curves, gain, media, text
     from rasterlake.functions.registered import register_functions
