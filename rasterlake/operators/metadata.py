@@ -178,7 +178,7 @@ def missing_required(required: DataFrame, present: DataFrame, waived=()) -> Data
 
 
 def covered_common(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("asset_id", "tag").intersect(b.select("asset_id", "tag"))
+    return _pairs(a, b).where("in_a and in_b").select("asset_id", "tag")
 
 
 def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -170,6 +170,13 @@ def test_missing_pairs_need_no_join(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_common_pairs_need_no_join(spark):
+    a, b = _twice(spark)
+    got = metadata.covered_common(a, b)
+    assert sorted(map(str, got.collect())) == sorted(map(str, a.select("asset_id", "tag").intersect(b.select("asset_id", "tag")).collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sql_functions_equal_the_columns(spark):
     from rasterlake.functions import curves, gain, media, text
     from rasterlake.functions.registered import register_functions
