@@ -87,8 +87,8 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
 def carry_tags(src: DataFrame, dst: DataFrame, exclude_groups=(), drop_orientation: bool = True) -> DataFrame:
     """Copy source tags into a product; product tags not overwritten stay.
 
-    One shuffle on (asset, group, tag) picks the source value where there is
-    one; at most one row per side remains after the map-side combine.
+    One aggregation on (asset, group, tag) picks the source value where there
+    is one; repeats are combined in each task before it shuffles.
     """
     carried = src.where(~F.col("grp").isin(*exclude_groups) if exclude_groups else F.lit(True))
     if drop_orientation:
@@ -99,7 +99,7 @@ def carry_tags(src: DataFrame, dst: DataFrame, exclude_groups=(), drop_orientati
 def _overlay(top: DataFrame, base: DataFrame) -> DataFrame:
     both = top.select(*KEY, F.struct(F.lit(0).alias("rank"), "value").alias("v")).unionByName(
         base.select(*KEY, F.struct(F.lit(1).alias("rank"), "value").alias("v")))
-    picked = both.groupBy(*KEY).agg(F.min("v").alias("v"))
+    picked = _dealt(both, KEY).groupBy(*KEY).agg(F.min("v").alias("v"))
     return picked.select(
         *KEY, F.col("v.value").alias("value"),
         F.when(F.col("v.rank") == 0, "source").otherwise("product").alias("origin"))

@@ -177,6 +177,22 @@ def test_common_pairs_need_no_join(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def _sorts_no_file_split(df):
+    """Below the first shuffle, where a task has a file split's rows, nothing is held to be combined."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    last = max(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)
+    return not any("Aggregate" in x or " Sort " in x for x in lines[last:])
+
+
+def test_overlays_combine_behind_a_shuffle(spark):
+    a, b = _twice(spark)
+    got = metadata.carry_tags(a, b)
+    assert _sorts_no_file_split(got)
+    assert {(r.asset_id, r.grp, r.tag, r.value, r.origin) for r in got.where("asset_id < 3").collect()} == {
+        (1, "E", "ISO", "1", "source"), (1, "G", "ISO", "2", "source"), (2, "E", "Lens", "x", "source")}
+    assert _sorts_no_file_split(metadata.backfill_capture_tags(a, b))
+
+
 def test_sql_functions_equal_the_columns(spark):
     from rasterlake.functions import curves, gain, media, text
     from rasterlake.functions.registered import register_functions
