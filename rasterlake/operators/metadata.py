@@ -132,7 +132,7 @@ def _side_by_side(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     """
     both = left.select(*KEY, F.col("value").alias(a), F.lit(None).cast("string").alias(b)).unionByName(
         right.select(*KEY, F.lit(None).cast("string").alias(a), F.col("value").alias(b)))
-    return both.groupBy(*KEY).agg(F.max(a).alias(a), F.max(b).alias(b))
+    return _dealt(both, KEY).groupBy(*KEY).agg(F.max(a).alias(a), F.max(b).alias(b))
 
 
 # --- fixed values: groups of the public registry, and what describes the picture in IFD0 ---------

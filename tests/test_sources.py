@@ -193,6 +193,13 @@ def test_overlays_combine_behind_a_shuffle(spark):
     assert _sorts_no_file_split(metadata.backfill_capture_tags(a, b))
 
 
+def test_differences_combine_behind_a_shuffle(spark):
+    a, b = _twice(spark)
+    assert _sorts_no_file_split(metadata.tag_coverage_diff(a, b)) and _sorts_no_file_split(metadata.version_diff(a, b))
+    assert {(r.asset_id, r.tag, r.before, r.after) for r in metadata.version_diff(a, b).where("asset_id in (1, 2)").collect()} == {
+        (1, "ISO", "1", "9"), (1, "ISO", "2", None), (2, "Lens", "x", None)}
+
+
 def test_sql_functions_equal_the_columns(spark):
     from rasterlake.functions import curves, gain, media, text
     from rasterlake.functions.registered import register_functions
