@@ -206,8 +206,8 @@ def long_to_map(tags: DataFrame) -> DataFrame:
     Duplicates of a tag are reduced to one value before the maps are built, so
     a map is bounded by the tag vocabulary, not by the number of rows.
     """
-    name = F.concat_ws(":", "grp", "tag")
-    single = tags.groupBy("asset_id", name.alias("name")).agg(F.max("value").alias("value"))
+    named = tags.select("asset_id", F.concat_ws(":", "grp", "tag").alias("name"), "value")
+    single = _dealt(named, ["asset_id", "name"]).groupBy("asset_id", "name").agg(F.max("value").alias("value"))
     return single.groupBy("asset_id").agg(
         F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("tags"))
 

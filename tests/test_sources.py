@@ -200,6 +200,13 @@ def test_differences_combine_behind_a_shuffle(spark):
         (1, "ISO", "1", "9"), (1, "ISO", "2", None), (2, "Lens", "x", None)}
 
 
+def test_maps_combine_behind_a_shuffle(spark):
+    _, b = _twice(spark)
+    got = metadata.long_to_map(b.where("tag is not null"))
+    assert _sorts_no_file_split(got)
+    assert {r.asset_id: r.tags for r in got.collect()} == {1: {"E:ISO": "9"}, None: {"X:ISO": "1"}, 5: {"E:W": "1"}}
+
+
 def test_sql_functions_equal_the_columns(spark):
     from rasterlake.functions import curves, gain, media, text
     from rasterlake.functions.registered import register_functions
