@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlake.llm.textkit import slices
 from rasterlake.operators import ordered, tiles
 from rasterlake.operators.pixels import split_frames, unpack_bytes, unpack_pixels
+from rasterlake.operators.transform import PIECE
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -138,7 +140,7 @@ class Tables:
     def text_rgb_tiles(self) -> DataFrame:
         """The bytes of each document as R of an image 64 wide, its complement as G, its half as B; the last line may be short."""
         def run(batches):
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in slices(whole, "buf", PIECE)):
                 rows = []
                 for doc, raw in zip(batch.column("asset_id").to_pylist(), batch.column("buf").to_pylist(), strict=True):
                     r = np.frombuffer(raw or b"", np.uint8)

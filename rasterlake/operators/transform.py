@@ -3,8 +3,8 @@
 `colorspace.transform_pixels` is the definition, one row a pixel and one plan a call. Here a
 row is a tile and names its plan; the plans are a bounded vocabulary that the call
 holds as numbers. A task builds the tables of a plan when it first meets it and
-keeps them. Samples are worked on in strips, so a tile's size does not
-set the memory of a task.
+keeps them. Samples are worked on in strips, and batches in pieces, so neither a tile's size nor
+the number of tiles in a batch sets the memory of a task.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlake.functions import arrays, color
+from rasterlake.llm.textkit import slices
 from rasterlake.operators.colorspace import Transform
 from rasterlake.operators.tiles import SHAPE, TILE, TILE_KEY, _buffers, sample_type
 
 #: Pixels of a strip: a few MB in double precision, which the processor's caches still hold.
 PIXELS = 1 << 16
+#: Bytes of buffers, or one tile, that are transformed before they are passed on.
+PIECE = 4 << 20
 #: Plans a call may name; their tables are at most a few MB each.
 MOST_PLANS = 256
 
@@ -91,7 +94,7 @@ def transform_tiles(tiles: DataFrame, plans: Mapping[str, Transform], plan: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels: dict[str, Kernel] = {}
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, "buf", PIECE)):
             names = batch.column("plan").to_pylist()
             place = [batch.column(c).to_pylist() for c in ("y0", "x0", *SHAPE)]
             out, status = [], []

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,35 @@ def test_deviation_at_tile_borders(spark, size, monkeypatch):
                 want[a, y, x] = len(near), abs(px[y, x, 0] - np.median(near)) if len(near) >= 8 else None
     assert {k: (v[0], None if np.isnan(v[1]) else v[1]) for k, v in got.items()} == want
     assert "Window" not in whole_._jdf.queryExecution().executedPlan().toString()
+
+
+class Local:
+    """A tile table that keeps the kernel it is given, to be run in this process."""
+
+    schema = "asset_id long, frame int, y0 int, x0 int, w int, h int, channels int, bits int, plan string, buf binary"
+
+    def __init__(self):
+        from pyspark.sql.types import StructType
+        self.schema = StructType.fromDDL(self.schema)
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = select
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+    @staticmethod
+    def batch(n, size):
+        columns = {"asset_id": np.arange(n), **{c: np.zeros(n, np.int32) for c in ("frame", "y0", "x0")}, "w": np.full(n, size, np.int32), "h": np.ones(n, np.int32)}
+        return pa.RecordBatch.from_pydict({**columns, "channels": np.full(n, 3, np.int32), "bits": np.full(n, 8, np.int32), "plan": ["srgb"] * n, "buf": [bytes([i % 256]) * size * 3 for i in range(n)]})
+
+
+def test_a_long_batch_is_transformed_in_pieces(spark):
+    local, plan = Local(), Transform(named_curve("iec61966-2-1"), named_curve("iec61966-2-1"))
+    transform.transform_tiles(local, {"srgb": plan})
+    out = list(local.run(iter([local.batch(600, 10_000)])))
+    assert len(out) > 4 and max(b.nbytes for b in out) < 5 << 20
+    assert [x.as_py()[:1] for b in out for x in b.column("buf")] == [bytes([i % 256]) for i in range(600)]
