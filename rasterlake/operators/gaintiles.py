@@ -33,8 +33,8 @@ from rasterlake.operators.ordered import binned_quantile
 from rasterlake.operators.skew import attach
 from rasterlake.operators.tiles import SHAPE, STRIP, TILE, TILE_KEY, _buffers, _linear, _pairs, align, sample_type
 
-#: Arrays a task holds before it sends them on.
-HELD_BYTES = 64 << 20
+#: Arrays a task holds before it sends them on. What is sent is copied a few times on its way.
+HELD_BYTES = 16 << 20
 #: Quarter steps of the 16-bit luminance bins: the floor of the fit is a multiple of one.
 FINE = 4 * 65535 + 1
 GAIN_BINS = 8192

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import arrays, color
 from rasterlake.functions.curves import Curve, PARAMETRIC, from_linear, named_curve
-from rasterlake.operators import halo, quality, tiles, transform
+from rasterlake.operators import gaintiles, halo, quality, tiles, transform
 from rasterlake.operators.colorspace import Transform, transform_pixels
 
 RNG = np.random.default_rng(12)
@@ -249,3 +249,11 @@ def test_a_long_batch_is_transformed_in_pieces(spark):
     out = list(local.run(iter([local.batch(600, 10_000)])))
     assert len(out) > 4 and max(b.nbytes for b in out) < 5 << 20
     assert [x.as_py()[:1] for b in out for x in b.column("buf")] == [bytes([i % 256]) for i in range(600)]
+
+
+def test_histograms_are_sent_a_few_mb_at_once(spark):
+    """Of 20,000 images with a tile each, 2 KB an image."""
+    local = Local()
+    gaintiles.histogram(local)
+    out = list(local.run(iter([local.batch(10_000, 1), local.batch(10_000, 1)])))
+    assert sum(b.num_rows for b in out) == 20_000 and max(b.num_rows for b in out) * 2048 < 17 << 20
