@@ -6,15 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlake.functions.color import Stages, delta_e76
 from rasterlake.functions.matrices import colorants_d50
+from rasterlake.llm.textkit import slices
 from rasterlake.model import PRIMARIES
 from rasterlake.operators.pixels import align_pixels
 
+#: Samples that buffers are compared by.
+STRIP = 1 << 20
+
 
 def psnr_of(sse: Column, samples: Column, peak: float) -> Column:
     """Squared error to dB; a lossless pair is +infinity, not a cap."""
@@ -72,43 +77,50 @@ def psnr_tiles(ref: DataFrame, enc: DataFrame, keys=("asset_id", "tile"), bits:
 
 
 def _buffer_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sse, n and unmatched samples of each pair of buffers, all pairs of a batch at once."""
-    for batch in batches:
-        flat, size = [], []
-        for name in ("a", "b"):
-            column = batch.column(name)
-            _, at, raw = column.buffers()
-            at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
-            flat.append(np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw else np.zeros(0, np.uint8))
-            size.append(np.diff(at))
-        a, b = size
-        same = a == b
-        if not same.all():
-            flat = [x[np.repeat(same, n)] for x, n in zip(flat, size, strict=True)]
-        d = flat[0].astype(np.int16) - flat[1]
-        total = np.concatenate([[0], np.cumsum(d.astype(np.int32) ** 2, dtype=np.int64)])
-        end = np.cumsum(np.where(same, a, 0))
-        sse = total[end] - total[end - np.where(same, a, 0)]
+    """sse, n and unmatched samples of each pair of buffers; a few MB of pairs at once, in strips of `STRIP` samples."""
+    for batch in (piece for whole in batches for piece in slices(whole, "a")):
+        size = [pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) for c in "ab"]
+        same = size[0] == size[1]
+        n = np.where(same, size[0], 0)
+        a, b = (_flat(batch.column(c).filter(pa.array(same))) for c in "ab")
+        end, total, before = np.cumsum(n), np.zeros(len(n), np.int64), 0
+        for s in range(0, len(a), STRIP):
+            d = np.subtract(a[s : s + STRIP], b[s : s + STRIP], dtype=np.int32)
+            error = np.cumsum(d * d, dtype=np.int64)
+            here = slice(*np.searchsorted(end, [s, s + STRIP], side="right"))
+            total[here] = before + error[end[here] - s - 1]
+            before += error[-1]
+        kept = [k for k in batch.schema.names if k not in "ab"]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in batch.schema.names if k not in "ab"), pa.array(sse), pa.array(np.where(same, a, 0).astype(np.int64)),
-             pa.array(np.where(same, 0, np.maximum(a, b)).astype(np.int64))],
-            names=[*(k for k in batch.schema.names if k not in "ab"), "sse", "n", "unmatched"])
+            [*(batch.column(k) for k in kept), pa.array(np.diff(total, prepend=0)), pa.array(n), pa.array(np.where(same, 0, np.maximum(*size)))],
+            names=[*kept, "sse", "n", "unmatched"])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    """The bytes of all rows on end, without copies."""
+    _, at, raw = column.buffers()
+    if not len(column) or raw is None:
+        return np.zeros(0, np.uint8)
+    at = np.frombuffer(at, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    return np.frombuffer(raw, np.uint8)[at[column.offset] : at[column.offset + len(column)]]
 
 
 def psnr_buffers(ref: DataFrame, enc: DataFrame, keys=("asset_id", "part"), bits: int = 8) -> DataFrame:
     """PSNR over raw 8-bit buffers: asset_id, part, buf on both sides.
 
-    One row per buffer is joined; the samples of all pairs of a batch are
-    compared at once where the pair lies. A part is a bounded stretch of an
-    image, so a huge image is many rows. Buffers without a partner or of another
-    length leave their image without a score.
+    One row per buffer is joined; the samples of many pairs are compared at once
+    where the pair lies. A part is a bounded stretch of an image, so a huge
+    image is many rows. Buffers without a partner or of another length leave
+    their image without a score. An image without a sample on either side (a null
+    buffer is empty) has no row, as it has none in the long form.
     """
     empty = F.lit(bytearray())
     both = ref.withColumnRenamed("buf", "a").join(enc.withColumnRenamed("buf", "b"), list(keys), "full").select(
         "asset_id", *(F.coalesce(F.col(c), empty).alias(c) for c in "ab"))
     schema = T.StructType([both.schema["asset_id"], *(T.StructField(c, T.LongType()) for c in ("sse", "n", "unmatched"))])
-    scores = both.mapInArrow(_buffer_errors, schema).groupBy("asset_id").agg(
-        *(F.sum(c).alias(c) for c in ("sse", "n", "unmatched"))).withColumn("psnr", psnr_of(F.col("sse"), F.col("n"), float(2**bits - 1)))
+    sums = both.mapInArrow(_buffer_errors, schema).groupBy("asset_id").agg(
+        *(F.sum(c).alias(c) for c in ("sse", "n", "unmatched"))).where(F.col("n") + F.col("unmatched") > 0)
+    scores = sums.withColumn("psnr", psnr_of(F.col("sse"), F.nullif(F.col("n"), F.lit(0)), float(2**bits - 1)))
     return _whole(scores, "sse", "psnr")
 
 

@@ -1,7 +1,10 @@
 """Pixel operators against direct numpy computation."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,46 @@ def test_psnr_buffers(spark):
         assert (row.psnr, row.sse, row.status) == (None, None, "length_mismatch")
 
 
+def test_psnr_buffers_without_samples(spark):
+    """An image of empty or null buffers is none, and no reason to fail; an empty one beside samples is a part that was lost."""
+    def frame(*rows):
+        return spark.createDataFrame([(k, part, raw if raw is None else bytearray(raw)) for k, part, raw in rows], "asset_id int, part int, buf binary")
+
+    ref = frame((1, 0, b""), (2, 0, None), (3, 0, b"ab"), (4, 0, b"ab"), (5, 0, b"ab"), (5, 1, b""), (6, 0, b""))
+    enc = frame((1, 0, b""), (2, 0, None), (3, 0, b"ac"), (4, 0, b""), (5, 0, b"ab"), (5, 1, None))
+    got = {r.asset_id: (r.sse, r.n, r.status) for r in quality.psnr_buffers(ref, enc).collect()}
+    assert got == {3: (1, 2, "ok"), 4: (None, 0, "length_mismatch"), 5: (0, 2, "ok")}
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_buffers_are_compared_in_strips(kind, monkeypatch):
+    """Sums do not depend on where strips and pieces of a batch end."""
+    monkeypatch.setattr(quality, "STRIP", 7)
+    rng = np.random.default_rng(8)
+    a = [rng.integers(0, 256, n, dtype=np.uint8) for n in (0, 7, 14, 1, 0, 30, 5, 0)]
+    b = [rng.integers(0, 256, len(x) + (i == 5), dtype=np.uint8) for i, x in enumerate(a)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 18)), *(pa.array([x.tobytes() for x in side], kind) for side in (a, b))], names=["asset_id", "a", "b"])
+    for some, first in ((batch, 0), (batch.slice(2), 2), (batch.slice(5, 1), 5)):
+        out, = quality._buffer_errors(iter([some]))
+        pairs = list(zip(a, b))[first : first + some.num_rows]
+        assert out.column("asset_id").to_pylist() == list(range(10 + first, 10 + first + some.num_rows))
+        assert out.column("sse").to_pylist() == [((x.astype(int) - y) ** 2).sum() if len(x) == len(y) else 0 for x, y in pairs]
+        assert out.column("n").to_pylist() == [len(x) if len(x) == len(y) else 0 for x, y in pairs]
+        assert out.column("unmatched").to_pylist() == [0 if len(x) == len(y) else len(y) for x, y in pairs]
+    assert list(quality._buffer_errors(iter([batch.slice(0, 0)]))) == []
+
+
+@pytest.mark.parametrize("rows,size", [(10_000, 2_000), (1, 20_000_000)])
+def test_a_long_batch_of_buffers_takes_little_memory(rows, size):
+    raw = [bytes(size)] * rows
+    batch = pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(raw, pa.binary()), pa.array(raw[1:] + [bytes(size + 1)] if rows > 1 else raw, pa.binary())], names=["asset_id", "a", "b"])
+    tracemalloc.start()
+    out = list(quality._buffer_errors(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == rows and most < 2 * rows * size
+
+
 def test_no_score_for_a_part(spark):
     """A truncated frame, a missing tile, a short tile: no score on what happens to overlap."""
     px = [(1, f, y, x, 10 * f + y + x) for f in range(2) for y in range(8) for x in range(8)]
