@@ -30,6 +30,17 @@ def test_matches_sql(name, spark, duck):
     assert compare(got, want) == ""
 
 
+def test_scores_of_events_without_k(spark, tmp_path):
+    """Props that are null, lack k or hold one that leaves no number: no score, in the SQL as in the query."""
+    con = duckdb.connect()
+    con.execute(f"""copy (select event_id, ts, user_id, event_type, value, case event_id % 9 when 0 then null when 1 then '{{}}' when 2 then '{{"k": -130}}'
+        when 3 then '{{"k": -7}}' when 4 then '{{"k": 4000}}' else props end props from '{FOLDER}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)""")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got, want = QUERIES["c08_parse_scores"](spark, str(tmp_path)).toPandas(), con.execute(ORACLES["c08_parse_scores"]).df()
+    assert len(got) == 1000 and got[got.event_id % 9 < 2].drop(columns="event_id").isna().all(axis=None)
+    assert compare(got, want) == ""
+
+
 def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
 
